@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equityjobs.llm import mixing, sharding
+from equityjobs.llm import binary_output, mixing, packing, sharding
+from equityjobs.llm.shared import scratch_path
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +20,19 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token_ids")
+    binary_output.write_ids(_documents(spark, sf_dir), path, TOKENIZER, end_id=2)
+    return binary_output.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_digest(_documents(spark, sf_dir), TOKENIZER, end_id=0, capacity=1024)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(_documents(spark, sf_dir), shards=40)
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op9_sharding": op9_sharding}
+QUERIES = {"op2_mixing": op2_mixing, "op4_binary_output": op4_binary_output, "op6_packing": op6_packing, "op9_sharding": op9_sharding}
 ORACLE_SQL: dict[str, str] = {}
