@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equityjobs.llm import binary_output, mixing, packing, sharding
+from equityjobs.llm import binary_output, mixing, packing, sharding, simhash
 from equityjobs.llm.shared import scratch_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,9 +30,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(_documents(spark, sf_dir), TOKENIZER, end_id=0, capacity=1024)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, sf_dir), width=4, radius=4, seed=42)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(_documents(spark, sf_dir), shards=40)
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_binary_output": op4_binary_output, "op6_packing": op6_packing, "op9_sharding": op9_sharding}
+QUERIES = {"op2_mixing": op2_mixing, "op4_binary_output": op4_binary_output, "op6_packing": op6_packing, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding}
 ORACLE_SQL: dict[str, str] = {}
