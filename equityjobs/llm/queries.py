@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equityjobs.llm import binary_output, mixing, packing, sharding, simhash
+from equityjobs.llm import binary_output, line_dedup, mixing, packing, sharding, simhash
 from equityjobs.llm.shared import scratch_path
 
+#: A line on so many of the distinct sources is boilerplate.
+LINE_SITES = 12
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -39,5 +41,28 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(_documents(spark, sf_dir), shards=40)
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_binary_output": op4_binary_output, "op6_packing": op6_packing, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding}
-ORACLE_SQL: dict[str, str] = {}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
+    return line_dedup.dedup_lines(docs, sites=LINE_SITES).select("doc_id", "text", F.col("lines_removed").cast("long").alias("lines_removed"))
+
+
+QUERIES = {"op2_mixing": op2_mixing, "op4_binary_output": op4_binary_output, "op6_packing": op6_packing, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": f"""
+        WITH lines AS (
+            SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+            FROM documents),
+        bare AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS b FROM lines),
+        common AS (
+            SELECT b, min(doc_id) AS owner FROM bare WHERE b <> '' GROUP BY b
+            HAVING count(DISTINCT coalesce('=' || source, '~')) >= {LINE_SITES}),
+        marked AS (
+            SELECT x.*, c.b IS NULL OR (x.doc_id = c.owner
+                   AND row_number() OVER (PARTITION BY x.doc_id, x.b ORDER BY x.pos) = 1) AS stays
+            FROM bare x LEFT JOIN common c ON x.b = c.b)
+        SELECT d.doc_id,
+               CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (WHERE m.stays), '') END AS text,
+               CAST(count(*) FILTER (WHERE NOT m.stays) AS BIGINT) AS lines_removed
+        FROM documents d JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id, d.text""",
+}
