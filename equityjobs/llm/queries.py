@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equityjobs.llm import binary_output, line_dedup, mixing, packing, sharding, simhash
+from equityjobs.llm import binary_output, language_id, line_dedup, mixing, packing, sharding, simhash
 from equityjobs.llm.shared import scratch_path
 
 #: A line on so many of the distinct sources is boilerplate.
@@ -18,6 +18,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    net = language_id.fit(docs)
+    found = language_id.predict(docs.withColumn("held_out", language_id.held_out()), net, keep=("held_out",))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -46,7 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, sites=LINE_SITES).select("doc_id", "text", F.col("lines_removed").cast("long").alias("lines_removed"))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_binary_output": op4_binary_output, "op6_packing": op6_packing, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_language_id": op1_language_id, "op2_mixing": op2_mixing, "op4_binary_output": op4_binary_output, "op6_packing": op6_packing, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
 ORACLE_SQL: dict[str, str] = {
     "op10_line_dedup": f"""
         WITH lines AS (
