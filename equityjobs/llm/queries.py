@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equityjobs.llm import binary_output, language_id, line_dedup, mixing, packing, sharding, simhash
+from equityjobs.llm import binary_output, language_id, line_dedup, mixing, packing, sharding, simhash, topk
 from equityjobs.llm.shared import scratch_path
 
 #: A line on so many of the distinct sources is boilerplate.
@@ -35,6 +35,11 @@ def op4_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.scaled(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), factor=256)
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(_documents(spark, sf_dir), TOKENIZER, end_id=0, capacity=1024)
 
@@ -53,8 +58,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, sites=LINE_SITES).select("doc_id", "text", F.col("lines_removed").cast("long").alias("lines_removed"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_mixing": op2_mixing, "op4_binary_output": op4_binary_output, "op6_packing": op6_packing, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_language_id": op1_language_id, "op2_mixing": op2_mixing, "op4_binary_output": op4_binary_output, "op5_topk": op5_topk, "op6_packing": op6_packing, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
 ORACLE_SQL: dict[str, str] = {
+    "op5_topk": """
+        WITH valid AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
+            FROM valid q JOIN valid d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 5""",
     "op10_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
