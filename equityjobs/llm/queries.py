@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equityjobs.llm import binary_output, language_id, line_dedup, mixing, packing, sharding, simhash, topk
+from equityjobs.llm import binary_output, language_id, line_dedup, media, mixing, packing, sharding, simhash, topk
 from equityjobs.llm.shared import scratch_path
 
 #: A line on so many of the distinct sources is boilerplate.
@@ -44,6 +44,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(_documents(spark, sf_dir), TOKENIZER, end_id=0, capacity=1024)
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(media.media_column(_documents(spark, sf_dir)))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, sf_dir), width=4, radius=4, seed=42)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -58,7 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, sites=LINE_SITES).select("doc_id", "text", F.col("lines_removed").cast("long").alias("lines_removed"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_mixing": op2_mixing, "op4_binary_output": op4_binary_output, "op5_topk": op5_topk, "op6_packing": op6_packing, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_language_id": op1_language_id, "op2_mixing": op2_mixing, "op4_binary_output": op4_binary_output, "op5_topk": op5_topk, "op6_packing": op6_packing, "op7_media": op7_media, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
 ORACLE_SQL: dict[str, str] = {
     "op5_topk": """
         WITH valid AS (
