@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equityjobs.llm import binary_output, language_id, line_dedup, media, mixing, packing, sharding, simhash, topk
+from equityjobs.llm import binary_output, language_id, line_dedup, media, mixing, packing, secret_scan, sharding, simhash, topk
 from equityjobs.llm.shared import scratch_path
 
 #: A line on so many of the distinct sources is boilerplate.
@@ -29,6 +29,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_documents(spark, sf_dir))
+
+
 def op4_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token_ids")
     binary_output.write_ids(_documents(spark, sf_dir), path, TOKENIZER, end_id=2)
@@ -62,7 +66,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, sites=LINE_SITES).select("doc_id", "text", F.col("lines_removed").cast("long").alias("lines_removed"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_mixing": op2_mixing, "op4_binary_output": op4_binary_output, "op5_topk": op5_topk, "op6_packing": op6_packing, "op7_media": op7_media, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_language_id": op1_language_id, "op2_mixing": op2_mixing, "op3_secret_scan": op3_secret_scan, "op4_binary_output": op4_binary_output, "op5_topk": op5_topk, "op6_packing": op6_packing, "op7_media": op7_media, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_line_dedup": op10_line_dedup}
 ORACLE_SQL: dict[str, str] = {
     "op5_topk": """
         WITH valid AS (
