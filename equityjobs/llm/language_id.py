@@ -253,7 +253,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     A text that is null, empty or without a letter is ``und`` with score 0; so is every text without a
     network. Texts are read whole. Repeated rows are predicted alike; an empty table gives no rows.
     """
-    columns = [id_col, text_col, *keep]
+    columns = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,7 +270,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
                 best = p.argmax(axis=1)
                 langs[read[first:at]] = [net.languages[b] for b in best]
                 scores[read[first:at]] = np.clip(p[np.arange(len(p)), best], 0, 1)
-            kept = [batch.column(i) for i in range(2, len(columns))]
+            kept = [batch.column(i) for i in range(2, 2 + len(keep))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), *kept], ["doc_id", "lang_pred", "score", *keep])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -61,9 +61,12 @@ def dedup_lines(docs: DataFrame, sites: int = 12, id_col: str = "doc_id", text_c
     # Per document: its boilerplate hashes, and those of them that it owns.
     owned = F.when(F.col("_id") == F.col("_owner"), F.col("h"))
     marks = hits.join(owners, "h").groupBy("_id").agg(F.collect_set("h").alias("_common"), F.collect_set(owned).alias("_own"))
-    joined = docs.join(marks, docs[id_col].eqNullSafe(marks["_id"]), "left").drop("_id")
+    # All columns of a document travel in one struct, so no name can clash.
+    wrapped = docs.select(F.struct("*").alias("_doc"))
+    joined = wrapped.join(marks, F.col(f"_doc.{id_col}").eqNullSafe(F.col("_id")), "left")
 
-    lines = _lines(F.col(text_col))
+    old = F.col(f"_doc.{text_col}")
+    lines = _lines(old)
     known = F.transform(lines, lambda x: _hash(x))
 
     def stays(line: Column, at: Column) -> Column:
@@ -73,6 +76,7 @@ def dedup_lines(docs: DataFrame, sites: int = 12, id_col: str = "doc_id", text_c
 
     touched = F.col("_common").isNotNull()
     kept = joined.withColumn("_known", F.when(touched, known)).withColumn("_kept", F.when(touched, F.filter(lines, stays)))
-    text = F.when(touched, F.array_join("_kept", "\n")).otherwise(F.col(text_col))
+    text = F.when(touched, F.array_join("_kept", "\n")).otherwise(old)
     removed = F.when(touched, F.size(lines) - F.size("_kept")).otherwise(0).alias("lines_removed")
-    return kept.select(*[text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns], removed)
+    others = [c for c in docs.columns if c != "lines_removed"]
+    return kept.select(*[text.alias(c) if c == text_col else F.col(f"_doc.{c}").alias(c) for c in others], removed)

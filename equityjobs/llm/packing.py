@@ -66,11 +66,14 @@ def pack(pieces: DataFrame, capacity: int = 1024, length_col: str = "length", or
     several times and should be a stored table.
     """
     spark = pieces.sparkSession
-    length = F.col(length_col)
-    full = salted_rank(pieces.filter(length >= capacity), [], list(order), "sequence_id").withColumn("offset", F.lit(0).cast("long"))
-    rest = pieces.filter(length < capacity)
-    counts = {r["n"]: r["c"] for r in rest.groupBy(length.alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}  # below capacity rows
-    window = pieces.filter(length >= capacity).count()
+    payload = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    keys = [f"_key{i}" for i in range(len(order))]
+    # All columns of a piece travel in one struct, so no name can clash.
+    wrapped = pieces.select(F.struct(*payload).alias("_piece"), F.col(length_col).cast("long").alias("_length"), *[F.col(c).alias(k) for c, k in zip(order, keys)])
+    whole, rest = wrapped.filter(F.col("_length") >= capacity), wrapped.filter(F.col("_length") < capacity)
+    full = salted_rank(whole, [], keys, "sequence_id").withColumn("offset", F.lit(0).cast("long"))
+    counts = {r["n"]: r["c"] for r in rest.groupBy(F.col("_length").alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}  # below capacity rows
+    window = whole.count()
     rows, taken = [], dict.fromkeys(counts, 0)
     for used, times in minimum_slack_patterns(counts, capacity):
         offset = 0
@@ -82,15 +85,15 @@ def pack(pieces: DataFrame, capacity: int = 1024, length_col: str = "length", or
         window += times
     # At most capacity * ln(capacity) patterns of at most sqrt(2 * capacity) lengths, whatever the input.
     plan = spark.createDataFrame(rows, "_n long, _lo long, _hi long, _k long, _window long, _offset long")
-    ranked = salted_rank(rest, [length_col], list(order), "_rank")
-    on = (length == F.col("_n")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
+    ranked = salted_rank(rest, ["_length"], keys, "_rank")
+    on = (F.col("_length") == F.col("_n")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
     index = F.col("_rank") - F.col("_lo")
     placed = ranked.join(F.broadcast(plan), on).select(
-        *pieces.columns,
+        "_piece.*",
         (F.col("_window") + F.floor(index / F.col("_k"))).cast("long").alias("sequence_id"),
-        (F.col("_offset") + (index % F.col("_k")) * length).cast("long").alias("offset"),
+        (F.col("_offset") + (index % F.col("_k")) * F.col("_length")).cast("long").alias("offset"),
     )
-    return full.select(*placed.columns).unionByName(placed)
+    return full.select("_piece.*", "sequence_id", "offset").unionByName(placed)
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
