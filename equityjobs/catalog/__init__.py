@@ -1 +1,4 @@
+"""Registered queries over the test tables, with the SQL that checks them."""
 
+from equityjobs.catalog import coverage, prices, reports  # noqa: F401
+from equityjobs.catalog.registry import ORACLE_SQL, QUERIES  # noqa: F401

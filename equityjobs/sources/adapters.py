@@ -67,8 +67,8 @@ TABLES: dict[str, str] = {
         from orders""",
     "summaries": """
         select o_orderkey as id, case when o_orderkey % 5 = 0 then 'v1' else 'v2' end as summary_version,
-               case when o_orderkey % 3 = 0 then null else cast(o_totalprice as bigint) % 1000 end as target_price_new,
-               case when o_orderkey % 4 = 0 then null else cast(o_totalprice as bigint) % 900 end as target_price_old,
+               case when o_orderkey % 3 = 0 then null else cast(floor(o_totalprice) as bigint) % 1000 end as target_price_new,
+               case when o_orderkey % 4 = 0 then null else cast(floor(o_totalprice) as bigint) % 900 end as target_price_old,
                case when o_orderkey % 2 = 0 then '신규' else 'N/A' end as target_price_dir,
                case when o_orderkey % 7 = 0 then null else concat(cast(o_orderkey as string), '원') end as target_price_raw,
                case when o_orderkey % 6 = 0 then ARR() else ARR(cast(o_orderkey % 5 as int), cast(o_custkey % 3 + 1 as int), cast(o_orderkey % 5 as int)) end as source_pages,
