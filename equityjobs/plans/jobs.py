@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equityjobs.operators import coverage, prices
+from equityjobs.functions.dates import expected_trading_day
+from equityjobs.operators import compare, coverage, prices
+from equityjobs.operators.reports import newest_in_scope, summary_invariants
 
 
 def price_snapshot(daily: DataFrame, quotes: DataFrame, stocks: DataFrame, arrival: list[str], since: date | None = None) -> DataFrame:
@@ -40,3 +42,30 @@ def company_activity(rows: DataFrame, unit: str) -> dict[str, DataFrame]:
         "publishers": coverage.publisher_distribution(held, ["code"]),
         "totals": held.groupBy("code").agg(F.count(F.lit(1)).alias("total")),
     }
+
+
+def freshness(runs: DataFrame, reports: DataFrame, now: datetime, stale_days: int = 3) -> DataFrame:
+    """Q10: one row: last prices and newest report, whether they are stale, and why the prices are."""
+    latest = prices.latest_runs(runs).select(F.col("ok_as_of").alias("as_of"), "status")
+    newest = newest_in_scope(reports)
+    moment = F.lit(now).cast("timestamp")
+    behind = F.concat(F.lit("주가가 "), F.month("as_of"), F.lit("월 "), F.day("as_of"), F.lit("일 기준으로 밀려 있습니다. 휴장일이면 정상입니다"))
+    note = (
+        F.when(F.col("as_of").isNull(), "주가를 갱신한 적이 없습니다").when(F.col("status") == "failed", "마지막 주가 갱신이 실패했습니다")
+        .when(F.col("as_of") < expected_trading_day(moment), behind)
+    )
+    late = F.col("latest_at").isNull() | (F.col("latest_at") < moment - F.expr(f"interval {stale_days} days"))
+    both = latest.join(F.broadcast(newest))  # one row each
+    return both.select("as_of", "status", note.isNotNull().alias("prices_stale"), note.alias("note"), "latest_at", late.alias("reports_stale"))
+
+
+def ground_summaries(metrics: DataFrame, pages: DataFrame, summaries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Q9: grounded metrics, and summaries with tidy pages and the invariant's verdict."""
+    return compare.ground_metrics(metrics, pages), summary_invariants(summaries)
+
+
+def compare_reports(reports: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Q8: revisions between every report and the previous one of its stock."""
+    linked = compare.previous_reports(reports).filter("prev_report_id is not null")
+    pairs = linked.select(F.col("prev_report_id").alias("previous_id"), F.col("id").alias("current_id")).distinct()
+    return compare.revisions(pairs, metrics)

@@ -60,7 +60,7 @@ TABLES: dict[str, str] = {
                cast(o_orderdate as timestamp) + HOURS(cast(o_orderkey % 11 as int)) as tagging_locked_at,
                concat('w', cast(o_orderkey % 3 as string)) as tagging_worker_id,
                case when o_orderkey % 13 = 0 then 'plain.pdf' else concat('R_20260511_',
-                    case o_orderkey % 5 when 0 then 'P3' when 1 then 'pub4' when 2 then 'Zeta+X' when 3 then '31780' else 'No One' end,
+                    case o_orderkey % 5 when 0 then 'pubd' when 1 then 'pube' when 2 then 'Zeta+X' when 3 then '31780' else 'No One' end,
                     '_', cast(o_orderkey as string), '.pdf') end as file_name,
                concat('Report on ', cast(o_custkey % 100 as string)) as title,
                case when o_orderkey % 8 = 0 then 'old' else 'v3' end as taxonomy_version, 'v9' as tagger_version
@@ -89,7 +89,7 @@ TABLES: dict[str, str] = {
                case when turn % 2 = 0 then concat('R_20260511_TAG', cast(conv_id % 5 as string), '.PDF') else concat('note: ', cast(conv_id as string), '?.txt') end as file_name
         from conversations""",
     "attempts": """
-        select user_id % 4 as chat, event_id % 500 as message_id, ts as at, concat('e', cast(event_id % 7 as string)) as error, event_id
+        select user_id % 4 as chat, event_id % 500 as message_id, ts as failed_at, concat('e', cast(event_id % 7 as string)) as error, event_id
         from events where event_type = 'error'""",
     "runs": """
         select event_id as run_id, case event_type when 'click' then 'ok' when 'view' then 'partial' when 'error' then 'failed' else 'running' end as status,
@@ -101,7 +101,7 @@ TABLES: dict[str, str] = {
                concat('m', cast(n_nationkey % 2 as string)) as embed_model, (n_nationkey * 7) % 25 as finished_no
         from nation""",
     "publishers": """
-        select concat('P', cast(s_suppkey as string)) as canonical, concat('pub', cast(s_suppkey as string)) as alias,
+        select concat('P', cast(s_suppkey as string)) as canonical, concat('pub', substr('abcdefghijklmno', cast(s_suppkey + 1 as int), 1)) as alias,
                case s_suppkey % 4 when 0 then 'broker' when 1 then 'data_provider' when 2 then 'ir_agency' else 'other' end as publisher_type
         from supplier where s_suppkey < 15 and s_suppkey <> 7""",
     "vectors": f"""
