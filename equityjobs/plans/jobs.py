@@ -69,3 +69,11 @@ def compare_reports(reports: DataFrame, metrics: DataFrame) -> DataFrame:
     linked = compare.previous_reports(reports).filter("prev_report_id is not null")
     pairs = linked.select(F.col("prev_report_id").alias("previous_id"), F.col("id").alias("current_id")).distinct()
     return compare.revisions(pairs, metrics)
+
+
+def peer_build_counts(targets: DataFrame, profiles: DataFrame, terms: DataFrame) -> DataFrame:
+    """Q5: one row for a build's log: eligible and profiled companies, terms and their holders."""
+    ok = profiles.filter("status = 'ok'").select("stock_code").distinct().withColumn("_ok", F.lit(True))
+    counts = targets.join(ok, "stock_code", "left").agg(F.count(F.lit(1)).alias("eligible"), F.count("_ok").alias("profiled"))
+    held = terms.agg(F.count(F.lit(1)).alias("terms"), F.sum("companies").alias("holdings"))
+    return counts.join(F.broadcast(held))  # one row each
