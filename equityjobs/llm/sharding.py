@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from equityjobs.llm.shared import running_total, salt_count, salted, salted_rank, stored
 
 GROUP = ["_h", "_c", "_z"]
+#: Label of linked documents that their first shard has no room for; it has no room of its own.
+UNPLACED = -1
 
 
 def _text_facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -32,16 +34,25 @@ def _rooms(state: DataFrame, capacity: int, shards: int) -> DataFrame:
     return every.join(used, "shard", "left").select("shard", F.greatest(F.lit(capacity) - F.coalesce("_used", F.lit(0)), F.lit(0)).alias("_room"))
 
 
+def _within(state: DataFrame, capacity: int) -> DataFrame:
+    """Never more linked documents in a shard than its quota; larger piles are kept first."""
+    salts = salt_count(state.sparkSession)
+    level = (F.lit(40) - F.least(F.log2(F.col("n")), F.lit(40))).cast("int") * F.lit(salts) + F.pmod(F.xxhash64(*GROUP), F.lit(salts)).cast("int")
+    queue = running_total(state.filter(F.col("shard") != UNPLACED), ["shard"], [F.desc("n"), *[F.col(c) for c in GROUP]], level, "n", "_before")
+    return queue.select(*GROUP, "shard", F.least("n", F.greatest(F.lit(capacity) - F.col("_before"), F.lit(0))).alias("n")).filter("n > 0")
+
+
 def _round(state: DataFrame, capacity: int, shards: int) -> DataFrame:
     """One propagation round over (group, shard, n)."""
-    best = Window.partitionBy(*GROUP).orderBy(F.desc("n"), F.pmod(F.xxhash64(*GROUP, "shard"), F.lit(1 << 30)), "shard")
+    best = Window.partitionBy(*GROUP).orderBy(F.col("shard") == UNPLACED, F.desc("n"), F.pmod(F.xxhash64(*GROUP, "shard"), F.lit(1 << 30)), "shard")
     upto = best.rowsBetween(Window.unboundedPreceding, 0)
     after = best.rowsBetween(1, Window.unboundedFollowing)
     before = best.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
     # Shards by members: the first ones receive as far as their room goes, the others give.
     ranked = (
-        state.join(F.broadcast(_rooms(state, capacity, shards)), "shard")
+        state.join(F.broadcast(_rooms(state, capacity, shards)), "shard", "left")
+        .withColumn("_room", F.coalesce("_room", zero))
         .withColumn("_room_upto", F.sum("_room").over(upto))
         .withColumn("_room_before", F.coalesce(F.sum("_room").over(before), zero))
         .withColumn("_rest", F.coalesce(F.sum("n").over(after), zero))
@@ -60,7 +71,7 @@ def _round(state: DataFrame, capacity: int, shards: int) -> DataFrame:
     # What a group was granted leaves its smallest piles first.
     giving = ranked.filter(~F.col("_takes")).select(*GROUP, "shard", "n")
     granted = got.groupBy(*GROUP).agg(F.sum("_got").alias("_granted"))
-    least = Window.partitionBy(*GROUP).orderBy("n", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    least = Window.partitionBy(*GROUP).orderBy(F.col("shard") != UNPLACED, "n", "shard").rowsBetween(Window.unboundedPreceding, -1)
     lost = (
         giving.join(granted, GROUP)
         .withColumn("_gone", F.coalesce(F.sum("n").over(least), zero))
@@ -103,14 +114,13 @@ def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 3, id_col:
     piles = labels.groupBy(*GROUP, "shard").agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy(*GROUP)
     linked = piles.withColumn("_members", F.sum("n").over(whole)).filter("_members > 1").drop("_members")
-    state = stored(linked, "labels")
+    first = stored(_within(linked, capacity), "labels")
+    over = linked.unionByName(first.select(*GROUP, "shard", (-F.col("n")).alias("n"))).groupBy(*GROUP).agg(F.sum("n").alias("n")).filter("n > 0")
+    state = stored(first.unionByName(over.select(*GROUP, F.lit(UNPLACED).alias("shard"), "n")), "labels")
     for _ in range(rounds):
         state = stored(_round(state, capacity, shards), "labels")
 
-    # Never more linked documents in a shard than its quota; larger piles are kept first.
-    level = (F.lit(40) - F.least(F.log2(F.col("n")), F.lit(40))).cast("int") * F.lit(salts) + F.pmod(F.xxhash64(*GROUP), F.lit(salts)).cast("int")
-    queue = running_total(state, ["shard"], [F.desc("n"), *[F.col(c) for c in GROUP]], level, "n", "_before")
-    kept = stored(queue.select(*GROUP, "shard", F.least("n", F.greatest(F.lit(capacity) - F.col("_before"), F.lit(0))).alias("n")).filter("n > 0"), "kept")
+    kept = stored(_within(state, capacity), "kept")
 
     # Members of a group by rank: intervals of ranks go to shards; ranks are built per (group, salt).
     runs = Window.partitionBy(*GROUP).orderBy("shard")
