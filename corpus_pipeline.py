@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equityjobs.llm import language_id, line_dedup, mixing, packing, simhash
-from equityjobs.llm.shared import stored
+from equityjobs.llm.shared import join_side, stored
 
 #: A line on so many distinct sources is boilerplate.
 LINE_SITES = 12
@@ -45,8 +45,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """Of each component of near duplicates, one document stays."""
     rows = _numbered(docs)
     found = simhash.near_duplicates(rows.select("_row", "text"), id_col="_row")
-    first = stored(found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row")), "survivors")
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    others = stored(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_row")), "near_copies")
+    return rows.join(join_side(others), "_row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs)
     taken = mixing.mix(rows.select("_row", "text", "source"), id_col="_row").filter("copies > 0").select(F.col("doc_id").alias("_row"), "copies")
     times = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")
-    return rows.join(stored(taken, "copies"), "_row").select(*docs.columns, times).drop("_copy")
+    return rows.join(join_side(stored(taken, "copies")), "_row").select(*docs.columns, times).drop("_copy")
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -256,7 +256,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     columns = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(first, 1024) for b in batches for first in range(0, b.num_rows, 1024)):  # bounds memory
             texts = batch.column(1).to_pylist()
             langs, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
             read = [n for n, t in enumerate(texts) if t and _has_letter(t)] if net else []

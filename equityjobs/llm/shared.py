@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_own_folder: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temp folder where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(f"file://{tempfile.mkdtemp(prefix='equityjobs-')}")
-    return _own_folder[0]
-
+from equityjobs.sources.scratch import scratch_path, stored  # noqa: F401
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/equityjobs/{uuid.uuid4().hex}/{name}"
+#: Rows of a narrow table (an id and a number) that may be broadcast: some tens of MB.
+BROADCAST_ROWS = 1_000_000
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def join_side(narrow: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored narrow table, to be broadcast if its counted rows allow; else it is joined by a shuffle."""
+    return F.broadcast(narrow) if narrow.count() <= most_rows else narrow
 
 
 def salt_count(spark: SparkSession) -> int:
