@@ -333,7 +333,7 @@ def shots(luma: np.ndarray) -> tuple[list[int], np.ndarray]:
     """First frames of the shots, and the histogram differences between neighbours (0 to 2).
 
     A frame starts a shot where its difference is over 0.2 and over the mean and three standard deviations of
-    the ``MEMORY`` differences before it (over 0.4 while there are fewer than two).
+    up to ``MEMORY`` differences before it within the shot (over 0.4 while there are fewer than two).
     """
     n, pixels = luma.shape
     if not n:
@@ -343,7 +343,7 @@ def shots(luma: np.ndarray) -> tuple[list[int], np.ndarray]:
     moved = np.abs(np.diff(hist, axis=0)).sum(axis=1)
     starts = [0]
     for i, d in enumerate(moved):
-        past = moved[max(0, i - MEMORY) : i]
+        past = moved[max(starts[-1], i - MEMORY) : i]
         if d > (max(0.2, past.mean() + 3 * past.std()) if len(past) > 1 else 0.4):
             starts.append(i + 1)
     return starts, moved

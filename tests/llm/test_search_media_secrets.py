@@ -1,0 +1,206 @@
+"""Top-k search, media columns, secret scans and the pipeline against brute force and edge cases."""
+
+import hashlib
+import struct
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from equityjobs.llm import media, secret_scan, topk
+
+# --- op 5 -------------------------------------------------------------------------------------------------
+
+
+def brute_top(vectors, asks, k):
+    out = []
+    for q in sorted(asks):
+        found = sorted(((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q))[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    return out
+
+
+@pytest.mark.parametrize("shape", ["plain", "ties", "few", "large"])
+def test_top_k_matches_brute_force(spark, shape):
+    rng = np.random.default_rng(7)
+    n, d = (4, 3) if shape == "few" else (700, 8)
+    v = rng.integers(-300, 300, (n, d))
+    if shape == "ties":
+        v[100:600] = v[3]
+    if shape == "large":
+        v = v * 10**6
+    rows = [(i, [float(x) / 256 for x in row], "clash") for i, row in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block string")
+    got = topk.top_k(topk.scaled(df), F.col("vec_id") % 50 == 0, k=5, block_rows=200, query_rows=6, run=2).collect()
+    vectors = {i: [int(x) for x in row] for i, row in enumerate(v)}
+    assert sorted(map(tuple, got)) == brute_top(vectors, [i for i in vectors if i % 50 == 0], 5)
+
+
+def test_bad_vectors_take_no_part(spark):
+    rows = [(0, [1.0, 2.0]), (50, None), (100, [1.0, None]), (150, [float("nan"), 1.0]), (200, [float("inf"), 1.0]), (None, [1.0, 1.0]), (1, [0.999, -0.001]), (2, [3.0, 1.0, 9.0]), (3, []), (2, [3.0, 1.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    ints = topk.scaled(df)
+    assert sorted(r["vec_id"] for r in ints.collect()) == [0, 1, 2, 2, 3] and ints.filter("vec_id = 1").first()["v"] == [255, -1]
+    got = topk.top_k(ints, F.col("vec_id") % 50 == 0, k=5).collect()
+    assert [tuple(r) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 2, 327680), (0, 2, 2, 327680), (0, 3, 1, 64768), (0, 4, 3, 0)]
+    assert topk.top_k(ints.filter("vec_id < 0"), F.lit(True)).count() == 0 and topk.top_k(ints, F.lit(False)).count() == 0
+
+
+def test_trees_cover_their_points():
+    rng = np.random.default_rng(1)
+    tree = topk.CoverTree.build(np.arange(500), rng.integers(-99, 99, (500, 5)), 20)
+    again = topk.CoverTree.from_bytes(tree.to_bytes())
+    for node in range(len(again.radii)):
+        far = np.sqrt(((again.points[again.low[node] : again.high[node]] - again.centres[node]) ** 2).sum(axis=1)).max()
+        assert far <= again.radii[node] + 1e-9
+        kids = again.children(node)
+        assert not kids or (again.low[kids[0]] == again.low[node] and again.high[kids[-1]] == again.high[node])
+
+
+# --- op 7 -------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 15, 16, 17, 70])
+@pytest.mark.parametrize("top", [127, 256])
+def test_media_bytes_round_trip_by_both_decoders(blocks, top, monkeypatch):
+    payload = np.random.default_rng(blocks).integers(0, top, 64 * blocks, dtype="u1").tobytes()
+    raw = media.to_avi(payload)
+    assert media.payload_of(media.read_avi(raw)) == payload
+    quick = media.read_avi(raw).coefficients
+    monkeypatch.setattr(media, "_plain_scan", lambda *a: None)
+    general = media.read_avi(raw)
+    assert media.payload_of(general) == payload and (general.coefficients == quick).all()
+
+
+def bits_of(codes):
+    text = "".join(codes)
+    text += "1" * (-len(text) % 8)
+    return bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8)).replace(b"\xff", b"\xff\0")
+
+
+def test_general_huffman_frames_with_runs_and_prediction():
+    # Two symbols per table: DC categories 0 and 3; AC end of block, (run 2, size 1) and a run of sixteen zeros.
+    dc = media._segment(0xC4, bytes([0x00, 0, 2, *[0] * 14, 0, 3]))
+    ac = media._segment(0xC4, bytes([0x10, 0, 3, *[0] * 14, 0x00, 0x21, 0xF0]))
+    size = media._segment(0xC0, struct.pack(">BHHBBBB", 8, 8, 24, 1, 1, 0x11, 0))
+    scan = bits_of(["01", "101", "00", "00", "00", "01", "010", "10", "01", "1", "00"])  # +5; +0; -5 then 16 zeros, 2 zeros, +1
+    jpeg = b"\xff\xd8" + media._segment(0xDB, bytes([0, *[2] * 64])) + size + dc + ac + media._segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + scan + b"\xff\xd9"
+    movie = media._chunk(b"LIST", b"movi" + media._chunk(b"00dc", jpeg))
+    video = media.read_avi(media._chunk(b"RIFF", b"AVI " + movie))
+    assert video.coefficients[:, 0].tolist() == [5, 5, 0] and video.coefficients[2, 19] == 1 and np.count_nonzero(video.coefficients) == 3
+    assert video.luma()[0, 0] == round(128 + 5 * 2 / 8)
+
+
+def test_shots_at_large_changes():
+    dark, light = np.zeros((1, 64), "u1"), np.full((1, 64), 200, "u1")
+    assert media.shots(np.concatenate([dark] * 5 + [light] * 4 + [dark] * 3))[0] == [0, 5, 9]
+    assert media.shots(np.zeros((0, 64), "u1"))[0] == []
+
+
+def test_media_column_and_clips(spark):
+    texts = ["a", "", None, "é" * 5000, "x" * 64, "x" * 65, "a"]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, media string")
+    column = media.media_column(df).cache()
+    got = {r["doc_id"]: r for r in media.media_digest(column).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert got[0]["media_sha256"] == got[6]["media_sha256"] and got[0]["feature"] == got[6]["feature"]
+    odd = column.select("doc_id", F.when(F.col("doc_id") == 0, F.lit(b"junk")).when(F.col("doc_id") == 1, F.lit(None)).otherwise(F.col("media")).alias("media"))
+    clips = media.clip_rows(odd).collect()
+    assert [r["error"] for r in clips if r["doc_id"] == 0] == ["not an AVI file"] and not [r for r in clips if r["doc_id"] == 1]
+    long = sorted((r for r in clips if r["doc_id"] == 3), key=lambda r: r["clip"])
+    assert long[0]["start_ms"] == 0 and all(a["end_ms"] == b["start_ms"] for a, b in zip(long, long[1:])) and sum(r["frames"] for r in long) == 10
+    assert media.media_digest(media.media_column(df.filter("doc_id < 0"))).count() == 0
+
+
+# --- op 3 -------------------------------------------------------------------------------------------------
+
+
+def secrets_corpus(n=400):
+    rng = np.random.default_rng(9)
+    letters, hexes = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+    rows = []
+    for i in range(n):
+        prose = " ".join("".join(rng.choice(list(letters[:9]), rng.integers(2, 9))) for _ in range(30))
+        extra = ""
+        if i % 4 == 0:
+            extra = ' token = "' + "".join(rng.choice(list(hexes), 40)) + '" '
+        elif i % 4 == 1:
+            extra = " AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16)) + " "
+        elif i % 4 == 2:
+            extra = " " + "".join(rng.choice(list(letters[:9]), 24)) + " " + "".join(rng.choice(list("0123456789"), 16)) + " "
+        rows.append((i, prose + extra + prose, None if i == 8 else f"s{i % 3}"))
+    return rows + [(1000, None, "s1"), (1001, "", "s1"), (0, rows[0][1], "s0")]
+
+
+def test_forest_keeps_secrets_and_drops_the_rest(spark):
+    data = secrets_corpus()
+    df = spark.createDataFrame([(*r, "clash") for r in data], "doc_id long, text string, source string, score string")
+    got = secret_scan.scan(df).collect()
+    found = {(r["doc_id"], r["start"]) for r in got}
+    secret = {r[0] for r in data if r[1] and ("AKIA" in r[1] or "token" in r[1])}
+    held = {i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert len({d for d, _ in found} & held & secret) >= 0.97 * len(held & secret)
+    assert len(({d for d, _ in found} & held) - secret) <= 0.02 * len(held)
+    texts = {r[0]: r[1] for r in data}
+    assert all(hashlib.sha256(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]].encode()).hexdigest() == r["sha256"] for r in got)
+    assert sum(r["doc_id"] == 0 for r in got) == 2
+    assert secret_scan.scan(df.filter("doc_id < 0")).count() == 0
+
+
+def test_given_labels_decide(spark):
+    df = spark.createDataFrame(secrets_corpus(), "doc_id long, text string, source string")
+    corpus = secret_scan.corpus_statistics(df)
+    found = secret_scan.candidates(df, corpus)
+    labels = found.select("doc_id", "start", F.col("numbers")[1].between(0.99, 1.0).alias("secret")).distinct()  # digits only
+    got = secret_scan.scan(df, labels).select("doc_id").distinct().collect()
+    assert {r["doc_id"] for r in got} == {i for i in range(400) if i % 4 == 2}
+
+
+def test_statistics_cover_all_texts(spark):
+    df = spark.createDataFrame([("abcd " * 3,), ("zabcdq",), (None,)], "text string")
+    c = secret_scan.corpus_statistics(df, share=0.5)
+    code = ((0 * 26 + 1) * 26 + 2) * 26 + 3
+    assert c.usual[code] and c.usual.sum() == 1
+
+
+# --- the pipeline -----------------------------------------------------------------------------------------
+
+
+def test_stages_keep_clean_documents_and_columns(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(11)
+    words = {"en": "the and that with from river stone".split(), "de": "der und dass mit von fluss stein".split()}
+    shared = "This very line stands on all of the sites."
+    rows = []
+    for i in range(80):
+        lang = ["en", "de"][i % 2]
+        body = "\n".join(" ".join(rng.choice(words[lang], 30)) for _ in range(3))
+        rows.append((i, body + (f"\n{shared}" if i < 40 else ""), lang, f"s{i % 20}", 0))
+    rows += [(100, rows[50][1], "en", "s3", 0), (100, rows[50][1], "en", "s3", 0), (101, "12 -- 34", "en", "s1", 0), (102, None, "en", "s2", 0)]
+    path = f"file://{tmp_path}/in"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    docs, at = spark.read.parquet(f"{path}/documents.parquet"), {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, path).write.parquet(f"{path}/{k}")
+        docs = at[name] = spark.read.parquet(f"{path}/{k}")
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    assert all(at[n].columns == columns for n, _ in corpus_pipeline.STAGES[:-1])
+    ids = {n: sorted(r["doc_id"] for r in at[n].select("doc_id").collect()) for n, _ in corpus_pipeline.STAGES}
+    assert ids["language_id"] == [*range(80), 100, 100]
+    kept = [r["doc_id"] for r in at["line_dedup"].filter(F.contains("text", F.lit(shared))).collect()]
+    assert kept == [0]
+    assert len(ids["near_dedup"]) == 80 and set(range(80)) - {50} <= set(ids["near_dedup"])
+    assert max(ids["mixing"].count(i) for i in ids["mixing"]) <= 2
+    pieces = at["packing"].collect()
+    from equityjobs.llm.tokens import Encoder
+
+    texts = [r["text"] for r in at["mixing"].collect()]
+    total = sum(int(n.sum()) for _, _, _, n in Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(texts)) + len(texts)
+    assert sum(r["length"] for r in pieces) == total and all(len(r["ids"]) == 4 * r["length"] for r in pieces)
+    assert corpus_pipeline.run(spark, path).count() > 0 and corpus_pipeline.ORACLE_SQL is None
