@@ -42,9 +42,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, one document stays."""
+    """Of each component of near duplicates on five-word shingles, one document stays."""
     rows = _numbered(docs)
-    found = simhash.near_duplicates(rows.select("_row", "text"), id_col="_row")
+    found = simhash.near_copies(rows.select("_row", "text"), id_col="_row")
     others = stored(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_row")), "near_copies")
     return rows.join(join_side(others), "_row", "left_anti").select(*docs.columns)
 

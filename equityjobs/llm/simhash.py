@@ -44,13 +44,13 @@ def _shingle_hashes(text: str, width: int, seed: int) -> list[int]:
     return [xxh64_intdigest(line[i:j], seed) for i, j in zip(starts, ends[width - 1 :])]
 
 
-def _majority(hashes: list[int], counts: list[int]) -> np.ndarray:
+def _majority(hashes: np.ndarray, counts: list[int]) -> np.ndarray:
     """Fingerprints of consecutive runs of hashes: a bit is 1 if set in over half of the run."""
     out = np.zeros(len(counts), "uint64")
     sizes = np.array(counts)
     full = np.flatnonzero(sizes)
     if len(full):
-        raw = np.array(hashes, "<u8").view("uint8").reshape(-1, 8)
+        raw = hashes.astype("<u8").view("uint8").reshape(-1, 8)
         bits = np.unpackbits(raw, axis=1, bitorder="little")
         starts = (np.cumsum(sizes) - sizes)[full]
         ones = np.add.reduceat(bits, starts, axis=0, dtype="int32")
@@ -59,24 +59,74 @@ def _majority(hashes: list[int], counts: list[int]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every whole text; null, empty and blank texts have 0."""
+def _mixed(hashes: np.ndarray, rank: int) -> np.ndarray:
+    """The hashes for rank 0, else a bijective mix of them that stands for another hash function."""
+    if not rank:
+        return hashes
+    x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * rank & (2**64 - 1))) * np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    return x * np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def _min_hashes(hashes: np.ndarray, counts: list[int], bands: int, rows: int) -> np.ndarray:
+    """(text, band): a key of ``rows`` minima of the text's hashes under different hash functions; 0 without a word."""
+    out = np.zeros((len(counts), bands), "uint64")
+    sizes = np.array(counts)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        starts = (np.cumsum(sizes) - sizes)[full]
+        for k in range(bands * rows):
+            least = np.minimum.reduceat(_mixed(hashes, 101 + k), starts)
+            out[full, k // rows] = (out[full, k // rows] ^ least) * np.uint64(0x9FB21C651E98DF25)
+    return out
+
+
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", words: int = 1, bands: int = 0, rows: int = 3) -> DataFrame:
+    """doc_id, fp (64 bits as a signed long) of every whole text; null, empty and blank texts have 0.
+
+    With more ``words``, fp1, fp2, ... carry on the fingerprint under other hash functions; with ``bands``, the array
+    ``bands`` holds min-hash keys of the shingles.
+    """
+    names = ["fp", *(f"fp{v}" for v in range(1, words))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, hashes, counts = [], [], []
+            prints: list[list[np.ndarray]] = [[] for _ in names]
+            keys: list[np.ndarray] = []
+            hashes: list[int] = []
+            counts: list[int] = []
+
+            def settle() -> None:
+                h = np.array(hashes, "uint64")
+                for v in range(words):
+                    prints[v].append(_majority(_mixed(h, v), counts))
+                if bands:
+                    keys.append(_min_hashes(h, counts, bands, rows))
+                hashes.clear()
+                counts.clear()
+
             for text in texts_of(batch, 1):
                 one = _shingle_hashes(text, width, seed)
                 hashes += one
                 counts.append(len(one))
                 if len(hashes) > 200_000:
-                    found.append(_majority(hashes, counts))
-                    hashes, counts = [], []
-            found.append(_majority(hashes, counts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found).view("int64"))], ["doc_id", "fp"])
+                    settle()
+            settle()
+            columns = [pa.array(np.concatenate(p).view("int64")) for p in prints]
+            if bands:
+                flat = np.concatenate(keys).view("int64").ravel()
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype="int32") * bands), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names, *(["bands"] if bands else [])])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long")
+    schema = [f"doc_id {kind}", *(f"{n} long" for n in names), *(["bands array<long>"] if bands else [])]
+    return docs.select(id_col, text_col).mapInArrow(run, ", ".join(schema))
+
+
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hamming distance of fingerprints of 64 bits, or of rows of several words."""
+    bits = np.bitwise_count(x ^ y)
+    return bits.astype("int64") if bits.ndim == 1 else bits.sum(axis=1, dtype="int64")
 
 
 def _bk_forest(values: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,14 +135,14 @@ def _bk_forest(values: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.nda
     The elements of a tree are inserted in their order: at each level, the first element to come to a
     (node, distance) edge becomes that child and the later ones go down to it.
     """
-    n = len(values)
+    n, span = len(values), 64 * values[:1].size + 1
     _, roots = np.unique(tree, return_index=True)
     parent, edge = np.full(n, -1), np.zeros(n, "int64")
     node = roots[tree].copy()
     left = np.setdiff1d(np.arange(n), roots, assume_unique=True)
     while len(left):
-        distance = np.bitwise_count(values[left] ^ values[node[left]]).astype("int64")
-        _, first, group = np.unique(node[left] * 65 + distance, return_index=True, return_inverse=True)
+        distance = _distance(values[left], values[node[left]])
+        _, first, group = np.unique(node[left] * span + distance, return_index=True, return_inverse=True)
         child = left[first]
         parent[child], edge[child] = node[child], distance[first]
         node[left] = child[group]
@@ -104,21 +154,22 @@ def _bk_forest(values: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _bk_links(values: np.ndarray, tree: np.ndarray, asks: np.ndarray, asked_tree: np.ndarray, radius: int, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """(question, element) pairs within ``radius``; question i searches the tree numbered ``asked_tree[i]``."""
+    span = 64 * values[:1].size + 1
     roots, parent, edge = _bk_forest(values, tree)
     child = np.flatnonzero(parent >= 0)
-    child = child[np.argsort(parent[child] * 65 + edge[child], kind="stable")]
-    keys = parent[child] * 65 + edge[child]
+    child = child[np.argsort(parent[child] * span + edge[child], kind="stable")]
+    keys = parent[child] * span + edge[child]
     one, other = [], []
     for first in range(0, len(asks), step):  # bounds the pairs that are held at once
         q = np.arange(first, min(first + step, len(asks)))
         node = roots[asked_tree[q]]
         while len(q):
-            distance = np.bitwise_count(asks[q] ^ values[node]).astype("int64")
+            distance = _distance(asks[q], values[node])
             hit = distance <= radius
             one.append(q[hit])
             other.append(node[hit])
-            low = np.searchsorted(keys, node * 65 + np.maximum(distance - radius, 0))
-            high = np.searchsorted(keys, node * 65 + np.minimum(distance + radius, 64), side="right")
+            low = np.searchsorted(keys, node * span + np.maximum(distance - radius, 0))
+            high = np.searchsorted(keys, node * span + np.minimum(distance + radius, span - 1), side="right")
             many = high - low
             total = np.cumsum(many)
             at = np.repeat(low - total + many, many) + np.arange(total[-1])
@@ -140,22 +191,37 @@ def _forest_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _shard_links(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """Spanning links (fp, root) of the block pairs in one task: ``shard`` is the pair, ``side`` 0, 1, or 2 for both."""
-    rows = rows.drop_duplicates(["shard", "side", "fp"])
+def _shard_links(rows: pd.DataFrame, names: list[str], radius: int) -> pd.DataFrame:
+    """Spanning links (node, root) of the block pairs in one task: ``side`` of a ``shard`` is 0, 1, or 2 for both."""
+    rows = rows.drop_duplicates(["shard", "side", "node"])
     _, number = np.unique(rows["shard"].to_numpy(), return_inverse=True)
-    fp, side = rows["fp"].to_numpy().view("uint64"), rows["side"].to_numpy()
+    prints, side = rows[names].to_numpy("int64").view("uint64"), rows["side"].to_numpy()
+    prints = prints[:, 0] if len(names) == 1 else prints
     held, asking = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     known = np.unique(number[held])
     asking = asking[np.isin(number[asking], known)]
     if not len(held) or not len(asking):
         return pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64")})
-    q, e = _bk_links(fp[held], np.searchsorted(known, number[held]), fp[asking], np.searchsorted(known, number[asking]), radius)
-    unique, at = np.unique(fp, return_inverse=True)
+    q, e = _bk_links(prints[held], np.searchsorted(known, number[held]), prints[asking], np.searchsorted(known, number[asking]), radius)
+    unique, at = np.unique(rows["node"].to_numpy(), return_inverse=True)
     a, b = at[asking[q]], at[held[e]]
     root = _forest_of(len(unique), a[a != b], b[a != b])
     linked = np.flatnonzero(root != np.arange(len(unique)))
-    return pd.DataFrame({"a": unique[linked].view("int64"), "b": unique[root[linked]].view("int64")})
+    return pd.DataFrame({"a": unique[linked], "b": unique[root[linked]]})
+
+
+def _linked_shards(keyed: DataFrame, names: list[str], radius: int, block: int, task_rows: int) -> DataFrame:
+    """a, b: links between nodes that share a shard (band, value), from rows (node, ``names``, band, value)."""
+    sizes = keyed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    blocks = stored(sizes.select("band", "value", "_n", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")), "blocks")
+    tasks = max(1, -(-(blocks.agg(F.sum("_n")).first()[0] or 0) // task_rows))
+    # With c blocks, block i meets each block j in the pair (min, max); the smaller side holds the tree.
+    mine = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("_blocks")).cast("int")
+    pairs = keyed.join(blocks.drop("_n"), ["band", "value"]).withColumn("_i", mine).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    side = F.when(F.col("_i") == F.col("_j"), 2).when(F.col("_i") < F.col("_j"), 0).otherwise(1).cast("int")
+    shard = F.xxhash64("band", "value", F.least("_i", "_j"), F.greatest("_i", "_j"))
+    dealt = pairs.select("node", *names, shard.alias("shard"), side.alias("side")).withColumn("_task", F.pmod(F.xxhash64(F.lit(3), "shard"), F.lit(tasks)).cast("int"))
+    return dealt.groupBy("_task").applyInPandas(lambda rows: _shard_links(rows, names, radius), "a long, b long")
 
 
 def links(prints: DataFrame, radius: int = 4, block: int = 4096, task_rows: int = 1 << 15) -> DataFrame:
@@ -167,17 +233,8 @@ def links(prints: DataFrame, radius: int = 4, block: int = 4096, task_rows: int
     for k in range(bands):
         low, high = k * 64 // bands, (k + 1) * 64 // bands
         spread.append(F.shiftrightunsigned("fp", low).bitwiseAND((1 << (high - low)) - 1).alias(f"v{k}"))
-    keyed = prints.select("fp", F.posexplode(F.array(*spread)).alias("band", "value"))
-    sizes = keyed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    blocks = stored(sizes.select("band", "value", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")), "blocks")
-    tasks = max(1, -(-prints.count() * bands // task_rows))
-    # With c blocks, block i meets each block j in the pair (min, max); the smaller side holds the tree.
-    mine = F.pmod(F.xxhash64(F.lit(5), "fp"), F.col("_blocks")).cast("int")
-    pairs = keyed.join(blocks, ["band", "value"]).withColumn("_i", mine).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    side = F.when(F.col("_i") == F.col("_j"), 2).when(F.col("_i") < F.col("_j"), 0).otherwise(1).cast("int")
-    shard = F.xxhash64("band", "value", F.least("_i", "_j"), F.greatest("_i", "_j"))
-    dealt = pairs.select("fp", shard.alias("shard"), side.alias("side")).withColumn("_task", F.pmod(F.xxhash64(F.lit(3), "shard"), F.lit(tasks)).cast("int"))
-    return dealt.groupBy("_task").applyInPandas(lambda rows: _shard_links(rows, radius), "a long, b long")
+    keyed = prints.select(F.col("fp").alias("node"), "fp", F.posexplode(F.array(*spread)).alias("band", "value"))
+    return _linked_shards(keyed, ["fp"], radius, block, task_rows)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -213,3 +270,26 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int
     smallest = classed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(classed.join(smallest, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 4, bands: int = 10, rows: int = 3, seed: int = 42, block: int = 4096, task_rows: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id over links between texts whose shingles are about ``similarity`` alike (Jaccard) or more.
+
+    Fingerprints of ``64 * words`` bits differ in about their share arccos(2 s / (1 + s)) / pi of bits at
+    similarity s; the radius lies one standard deviation above it. Bands of so long fingerprints would not part them,
+    so the shards of the BK-trees are min-hash keys: a pair at 0.8 shares one of 10 keys of 3 minima with
+    probability 0.999. Edge cases are those of ``near_duplicates``.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    radius = round(64 * words * share + (64 * words * share * (1 - share)) ** 0.5)
+    prints = stored(fingerprints(docs, width, seed, id_col, text_col, words, bands, rows), "fingerprints")
+    names = ["fp", *(f"fp{v}" for v in range(1, words))]
+    node = F.xxhash64(*names).alias("node")
+    classes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands")).withColumn("node", node), "classes")
+    keyed = classes.select("node", *names, F.posexplode("bands").alias("band", "value"))
+    edges = stored(_linked_shards(keyed, names, radius, block, task_rows).distinct(), "links")
+    roots = stored(components(edges), "roots")
+    rooted = classes.join(roots.select(F.col("fp").alias("node"), "root"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(rooted.join(smallest, "root").select("node", "component_id"), "named")
+    return prints.select("doc_id", node).join(named, "node").select("doc_id", "component_id")

@@ -328,3 +328,26 @@ def test_languages_are_told_apart_and_whole_texts_read(spark):
     assert got[500] == got[501] == got[502] == ("und", 0.0) and got[503][0] == "xx" and got[504][0] in kinds
     assert language_id.predict(df, None).filter("lang_pred = 'und'").count() == df.count()
     assert language_id.predict(df.filter("doc_id < 0"), net).count() == 0 and language_id.fit(df.filter("doc_id < 0")) is None
+
+
+def test_near_copies_by_shared_shingles(spark, docs, empty):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(900)]
+    data, family = [], {}
+    for g in range(25):
+        words_ = list(rng.choice(vocabulary, 400))
+        for edits in (0, 1, 3, 3):
+            copy = list(words_)
+            for p in rng.choice(400, edits, replace=False):
+                copy[p] = f"x{rng.integers(10**6)}"
+            family[len(data)] = g
+            data.append((len(data), " ".join(copy)))
+    # Half of the words shared is no near copy.
+    for g in range(25):
+        family[len(data)] = 100 + g
+        data.append((len(data), " ".join(data[4 * g][1].split()[:200] + list(rng.choice(vocabulary, 200)))))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {i: min(j for j in family if family[j] == g) for i, g in family.items()}
+    edge = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    assert edge[6] == edge[7] == edge[8] == 6 and edge[3] == edge[4] == edge[5] == 3
+    assert simhash.near_copies(empty).count() == 0
