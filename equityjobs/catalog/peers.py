@@ -81,7 +81,6 @@ def _(t):
     return vectors.match_vector(t.segment_vectors, asked, 30, ["code", "seg_no"], one_per="code")
 
 
-C_NEAR = f"cn AS (SELECT * FROM (SELECT seed, peer, c, row_number() OVER (PARTITION BY seed ORDER BY c DESC, peer) AS k FROM cp) x WHERE k <= 100)"
 
 
 @query("k3_nearest_companies", f"WITH {C_PAIRS} SELECT seed, peer, round(c, 6) AS similarity, k AS rank FROM (SELECT seed, peer, c, row_number() OVER (PARTITION BY seed ORDER BY c DESC, peer) AS k FROM cp) x WHERE k <= 10")

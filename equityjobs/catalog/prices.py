@@ -82,9 +82,6 @@ def _(t):
     return P.run_summary(t.stocks, got)
 
 
-_OLD = "(SELECT stock_code, as_of, close, flags FROM snap WHERE close % 3 = 0)"
-
-
 @query("u5_partial_run", f"""
     WITH {SNAP}, got AS (SELECT * FROM snap WHERE traded)
     SELECT stock_code, close, array_to_string(flags, '|') AS flags FROM got

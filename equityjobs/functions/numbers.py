@@ -8,13 +8,8 @@ from pyspark.sql import functions as F
 from equityjobs.schemas import FLAG_ORDER, PROFIT_METRICS
 
 
-def half_up(total: Column, count: Column) -> Column:
-    """A10: total / count rounded half up in whole numbers; null without a value."""
-    return F.when(count > 0, F.floor((2 * total + count) / (2 * count)).cast("long"))
-
-
 def half_up_exact(total: str, count: str) -> Column:
-    """As ``half_up``, by integer division (exact beyond 2**53; totals are not negative)."""
+    """A10: total / count rounded half up by integer division (totals are not negative); null without a value."""
     return F.expr(f"case when {count} > 0 then (2 * {total} + {count}) div (2 * {count}) end")
 
 
