@@ -15,7 +15,9 @@ _ODD = re.compile("[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u
 _RUNS = ("  ", "\n\n", " \n", "\n ")
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= \S)")
 #: Characters of text in one step, and of words in the cache before it starts anew.
-_STEP, _CACHED = 2_000_000, 6_000_000
+_STEP, _CACHED = 2_000_000, 8_000_000
+#: New words that are encoded in one line.
+_LINE = 400
 
 
 def _words(text: str) -> list[str]:
@@ -49,21 +51,58 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # In a byte-level vocabulary each character of a token stands for one byte.
+        self.n_bytes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())])
         self._forget()
 
     def _forget(self) -> None:
-        self.places, self.chars = _Places(), 0
+        self.places, self.chars, self.n_ids = _Places(), 0, 0
         self.ids, self.starts, self.lengths = np.zeros(0, "uint32"), np.zeros(0, "int64"), np.zeros(0, "int64")
 
+    def _many(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in one array, and the number of ids of each."""
+        found = self._many(words)
+        lengths = np.fromiter(map(len, found), "int64", len(found))
+        return np.fromiter((i for ids in found for i in ids), "uint32", int(lengths.sum())), lengths
+
+    def _ids_in_lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_ids_of`` for words with one leading blank, several words a call: a cut stands before each.
+
+        The ids part where their bytes add up to the words' bytes.
+        """
+        found = self._many(["".join(words[i : i + _LINE]) for i in range(0, len(words), _LINE)])
+        ids = np.fromiter((i for line in found for i in line), "uint32", sum(map(len, found)))
+        ends = np.cumsum(self.n_bytes[ids])
+        word_ends = np.cumsum([len(w.encode()) for w in words])
+        last = np.searchsorted(ends, word_ends)
+        if len(ends) == 0 or last[-1] >= len(ends) or (ends[last] != word_ends).any():
+            return self._ids_of(words)
+        return ids, np.diff(last + 1, prepend=0)
+
     def _learn(self) -> None:
         new, self.places.new = self.places.new, []
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), "int64", len(found))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), "uint32", int(lengths.sum()))])
+        usual = np.fromiter((len(w) > 1 and w[0] == " " and not w[1].isspace() and not w[-1].isspace() for w in new), bool, len(new))
+        for mine, ids_of in ((usual, self._ids_in_lines), (~usual, self._ids_of)):
+            at = np.flatnonzero(mine)
+            if len(at):
+                ids, lengths = ids_of([new[i] for i in at])
+                self._keep(len(self.places) - len(new) + at, ids, lengths)
         self.chars += sum(map(len, new))
 
+    def _keep(self, places: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        if len(self.places) > len(self.starts):
+            more = np.zeros(len(self.places), "int64")
+            self.starts, self.lengths = (np.concatenate([x, more]) for x in (self.starts, self.lengths))
+        self.starts[places] = self.n_ids + np.cumsum(lengths) - lengths
+        self.lengths[places] = lengths
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), "uint32")])
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n_ids += len(ids)
+
     def _step(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words: list[str] = []
         counts = np.empty(len(texts), "int64")
