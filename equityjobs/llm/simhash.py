@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equityjobs.llm.shared import stored
-from equityjobs.llm.tokens import texts_of
+from equityjobs.llm.tokens import sliced, texts_of
 
 #: Blanks that part words, as in the pattern [^\x20\x09-\x0D]+.
 _BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str =
     names = ["fp", *(f"fp{v}" for v in range(1, words))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             prints: list[list[np.ndarray]] = [[] for _ in names]
             keys: list[np.ndarray] = []
             hashes: list[int] = []

@@ -15,7 +15,7 @@ _ODD = re.compile("[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u
 _RUNS = ("  ", "\n\n", " \n", "\n ")
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= \S)")
 #: Characters of text in one step, and of words in the cache before it starts anew.
-_STEP, _CACHED = 2_000_000, 8_000_000
+_STEP, _CACHED = 1_000_000, 4_000_000
 #: New words that are encoded in one line.
 _LINE = 400
 
@@ -137,6 +137,13 @@ def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndar
     return np.insert(ids, ends, np.uint32(end_id)), lengths + 1
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that fewer texts are Python strings at once."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def texts_of(batch: pa.RecordBatch, column: int) -> list[str]:
     """Whole texts; null is the empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]
@@ -151,7 +158,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, uid = Encoder(tokenizer), TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in sliced(batches):
             texts = texts_of(batch, 1)
             for first, last, ids, lengths in encoder.encode(texts):
                 ids, lengths = with_end(ids, lengths, end_id)
