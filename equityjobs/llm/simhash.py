@@ -11,14 +11,15 @@ pairs. Trees of many shards are built and searched together, one level at a time
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, floor
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from equityjobs.llm.shared import stored
+from equityjobs.llm.shared import join_side, stored
 from equityjobs.llm.tokens import sliced, texts_of
 
 #: Blanks that part words, as in the pattern [^\x20\x09-\x0D]+.
@@ -81,11 +82,20 @@ def _min_hashes(hashes: np.ndarray, counts: list[int], bands: int, rows: int) ->
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", words: int = 1, bands: int = 0, rows: int = 3) -> DataFrame:
+def _set_of(hashes: list[int], seed: int) -> tuple[np.ndarray, int]:
+    """The distinct hashes in order, and a key of their set."""
+    from xxhash import xxh64_intdigest
+
+    distinct = np.unique(np.array(hashes, "uint64"))
+    return distinct, xxh64_intdigest(distinct.tobytes(), seed)
+
+
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", words: int = 1, bands: int = 0, rows: int = 3, sets: bool = False) -> DataFrame:
     """doc_id, fp (64 bits as a signed long) of every whole text; null, empty and blank texts have 0.
 
     With more ``words``, fp1, fp2, ... carry on the fingerprint under other hash functions; with ``bands``, the array
-    ``bands`` holds min-hash keys of the shingles.
+    ``bands`` holds min-hash keys of the shingles. With ``sets``, a repeated shingle counts once, ``node`` is a key of
+    the set of shingles and ``n`` its size.
     """
     names = ["fp", *(f"fp{v}" for v in range(1, words))]
 
@@ -95,6 +105,8 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str =
             keys: list[np.ndarray] = []
             hashes: list[int] = []
             counts: list[int] = []
+            nodes: list[int] = []
+            sizes: list[int] = []
 
             def settle() -> None:
                 h = np.array(hashes, "uint64")
@@ -107,6 +119,11 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str =
 
             for text in texts_of(batch, 1):
                 one = _shingle_hashes(text, width, seed)
+                if sets:
+                    distinct, node = _set_of(one, seed)
+                    one = distinct.tolist()
+                    nodes.append(node)
+                    sizes.append(len(one))
                 hashes += one
                 counts.append(len(one))
                 if len(hashes) > 200_000:
@@ -116,13 +133,29 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str =
             if bands:
                 flat = np.concatenate(keys).view("int64").ravel()
                 columns.append(pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype="int32") * bands), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names, *(["bands"] if bands else [])])
+            if sets:
+                columns += [pa.array(np.array(nodes, "uint64").view("int64")), pa.array(np.array(sizes, "int64"))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names, *(["bands"] if bands else []), *(["node", "n"] if sets else [])])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = [f"doc_id {kind}", *(f"{n} long" for n in names), *(["bands array<long>"] if bands else [])]
+    schema = [f"doc_id {kind}", *(f"{n} long" for n in names), *(["bands array<long>"] if bands else []), *(["node long", "n long"] if sets else [])]
     return docs.select(id_col, text_col).mapInArrow(run, ", ".join(schema))
 
 
+def _shingle_sets(docs: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """node, shingles: the set of shingle hashes of every row's whole text, under the key that ``fingerprints`` gives it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = [_set_of(_shingle_hashes(text, width, seed), seed) for text in texts_of(batch, 1)]
+            ends = np.cumsum([0, *(len(h) for h, _ in found)]).astype("int32")
+            flat = np.concatenate([np.zeros(0, "uint64"), *(h for h, _ in found)]).view("int64")
+            nodes = np.array([k for _, k in found], "uint64").view("int64")
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "shingles"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, "node long, shingles array<long>")
+
+
 def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Hamming distance of fingerprints of 64 bits, or of rows of several words."""
     bits = np.bitwise_count(x ^ y)
@@ -152,29 +185,34 @@ def _bk_forest(values: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.nda
     return roots, parent, edge
 
 
-def _bk_links(values: np.ndarray, tree: np.ndarray, asks: np.ndarray, asked_tree: np.ndarray, radius: int, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """(question, element) pairs within ``radius``; question i searches the tree numbered ``asked_tree[i]``."""
+def _bk_hits(values: np.ndarray, tree: np.ndarray, asks: np.ndarray, asked_tree: np.ndarray, radius: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(question, element, distance) of the pairs within the question's ``radius``, for ``step`` questions at a time."""
     span = 64 * values[:1].size + 1
     roots, parent, edge = _bk_forest(values, tree)
     child = np.flatnonzero(parent >= 0)
     child = child[np.argsort(parent[child] * span + edge[child], kind="stable")]
     keys = parent[child] * span + edge[child]
-    one, other = [], []
     for first in range(0, len(asks), step):  # bounds the pairs that are held at once
         q = np.arange(first, min(first + step, len(asks)))
         node = roots[asked_tree[q]]
+        found = []
         while len(q):
             distance = _distance(asks[q], values[node])
-            hit = distance <= radius
-            one.append(q[hit])
-            other.append(node[hit])
-            low = np.searchsorted(keys, node * span + np.maximum(distance - radius, 0))
-            high = np.searchsorted(keys, node * span + np.minimum(distance + radius, span - 1), side="right")
+            hit = distance <= radius[q]
+            found.append((q[hit], node[hit], distance[hit]))
+            low = np.searchsorted(keys, node * span + np.maximum(distance - radius[q], 0))
+            high = np.searchsorted(keys, node * span + np.minimum(distance + radius[q], span - 1), side="right")
             many = high - low
             total = np.cumsum(many)
             at = np.repeat(low - total + many, many) + np.arange(total[-1])
             q, node = np.repeat(q, many), child[at]
-    return np.concatenate(one or [np.zeros(0, int)]), np.concatenate(other or [np.zeros(0, int)])
+        yield tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _bk_links(values: np.ndarray, tree: np.ndarray, asks: np.ndarray, asked_tree: np.ndarray, radius: int, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(question, element) pairs within ``radius``; question i searches the tree numbered ``asked_tree[i]``."""
+    hits = list(_bk_hits(values, tree, asks, asked_tree, np.full(len(asks), radius), step))
+    return np.concatenate([q for q, _, _ in hits] or [np.zeros(0, int)]), np.concatenate([e for _, e, _ in hits] or [np.zeros(0, int)])
 
 
 def _forest_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -210,8 +248,54 @@ def _shard_links(rows: pd.DataFrame, names: list[str], radius: int) -> pd.DataFr
     return pd.DataFrame({"a": unique[linked], "b": unique[root[linked]]})
 
 
-def _linked_shards(keyed: DataFrame, names: list[str], radius: int, block: int, task_rows: int) -> DataFrame:
-    """a, b: links between nodes that share a shard (band, value), from rows (node, ``names``, band, value)."""
+def _spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Indexes of the pairs (a, b) that make a minimum spanning forest of n elements, by Boruvka's rounds."""
+    order = np.argsort(weight, kind="stable")
+    label, picked = np.arange(n), []
+    while len(order := order[label[a[order]] != label[b[order]]]):
+        best = np.full(n, len(order))
+        np.minimum.at(best, label[a[order]], np.arange(len(order)))
+        np.minimum.at(best, label[b[order]], np.arange(len(order)))
+        chosen = order[np.unique(best[best < len(order)])]
+        picked.append(chosen)
+        label = _forest_of(n, label[a[chosen]], label[b[chosen]])[label]
+    return np.concatenate(picked or [np.zeros(0, int)])
+
+
+def _shard_pairs(rows: pd.DataFrame, names: list[str], radii: np.ndarray, similarity: float, step: int = 256) -> pd.DataFrame:
+    """Pairs (a, b) of nodes of one task that may be ``similarity`` alike, by fingerprints and set sizes.
+
+    ``radii`` has the radius by set size, the last one for all larger sets. Without a column ``root``, the pairs of a
+    minimum spanning forest (by distance); else all pairs with unlike roots.
+    """
+    rows = rows.drop_duplicates(["shard", "side", "node"])
+    _, number = np.unique(rows["shard"].to_numpy(), return_inverse=True)
+    prints, side, size = rows[names].to_numpy("int64").view("uint64"), rows["side"].to_numpy(), rows["n"].to_numpy()
+    unique, at = np.unique(rows["node"].to_numpy(), return_inverse=True)
+    held, asking = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    known = np.unique(number[held])
+    asking = asking[np.isin(number[asking], known)]
+    a = b = weight = np.zeros(0, int)
+    if len(held) and len(asking):
+        radius = radii[np.minimum(size[asking], len(radii) - 1)]
+        for q, e, distance in _bk_hits(prints[held], np.searchsorted(known, number[held]), prints[asking], np.searchsorted(known, number[asking]), radius, step):
+            q, e = asking[q], held[e]
+            low, high = np.minimum(size[q], size[e]), np.maximum(size[q], size[e])
+            keep = (at[q] != at[e]) & (low / np.maximum(high, 1) >= similarity)
+            if "root" in rows:
+                root = rows["root"].to_numpy()
+                keep &= root[q] != root[e]
+            q, e, distance = at[q[keep]], at[e[keep]], distance[keep]
+            pair, first = np.unique(np.minimum(q, e) * len(unique) + np.maximum(q, e), return_index=True)
+            a, b, weight = np.append(a, pair // len(unique)), np.append(b, pair % len(unique)), np.append(weight, distance[first])
+            if "root" not in rows:
+                forest = _spanning(len(unique), a, b, weight)
+                a, b, weight = a[forest], b[forest], weight[forest]
+    return pd.DataFrame({"a": unique[a], "b": unique[b]})
+
+
+def _dealt_shards(keyed: DataFrame, columns: list[str], block: int, task_rows: int) -> GroupedData:
+    """Rows (node, ``columns``, shard, side) of the block pairs of all shared band values, grouped into tasks."""
     sizes = keyed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     blocks = stored(sizes.select("band", "value", "_n", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")), "blocks")
     tasks = max(1, -(-(blocks.agg(F.sum("_n")).first()[0] or 0) // task_rows))
@@ -220,8 +304,13 @@ def _linked_shards(keyed: DataFrame, names: list[str], radius: int, block: int,
     pairs = keyed.join(blocks.drop("_n"), ["band", "value"]).withColumn("_i", mine).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     side = F.when(F.col("_i") == F.col("_j"), 2).when(F.col("_i") < F.col("_j"), 0).otherwise(1).cast("int")
     shard = F.xxhash64("band", "value", F.least("_i", "_j"), F.greatest("_i", "_j"))
-    dealt = pairs.select("node", *names, shard.alias("shard"), side.alias("side")).withColumn("_task", F.pmod(F.xxhash64(F.lit(3), "shard"), F.lit(tasks)).cast("int"))
-    return dealt.groupBy("_task").applyInPandas(lambda rows: _shard_links(rows, names, radius), "a long, b long")
+    dealt = pairs.select("node", *columns, shard.alias("shard"), side.alias("side")).withColumn("_task", F.pmod(F.xxhash64(F.lit(3), "shard"), F.lit(tasks)).cast("int"))
+    return dealt.groupBy("_task")
+
+
+def _linked_shards(keyed: DataFrame, names: list[str], radius: int, block: int, task_rows: int) -> DataFrame:
+    """a, b: links between nodes that share a shard (band, value), from rows (node, ``names``, band, value)."""
+    return _dealt_shards(keyed, names, block, task_rows).applyInPandas(lambda rows: _shard_links(rows, names, radius), "a long, b long")
 
 
 def links(prints: DataFrame, radius: int = 4, block: int = 4096, task_rows: int = 1 << 15) -> DataFrame:
@@ -272,24 +361,77 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _differing(common: int, one: int, other: int) -> float:
+    """Share of bits that differ between the fingerprints of two sets with ``common`` shingles and ``one``, ``other`` of their own."""
+
+    def coins(n: int) -> np.ndarray:
+        return np.array([comb(n, k) / 2**n for k in range(n + 1)])
+
+    # above[m]: chance that a set of common + x shingles has its bit set if m of the common ones have it.
+    def above(x: int) -> np.ndarray:
+        p = coins(x)
+        return np.array([p[max(0, (common + x) // 2 - m + 1) :].sum() for m in range(common + 1)])
+
+    p, q = above(one), above(other)
+    return float((coins(common) * (p * (1 - q) + q * (1 - p))).sum())
+
+
+def radii(similarity: float, bits: int, sigmas: float = 4.0, exact: int = 64) -> np.ndarray:
+    """Radius by set size: ``sigmas`` standard deviations above the expected distance of two sets ``similarity`` alike.
+
+    The bits of a fingerprint are independent, so a distance is binomial. Its share is counted out for sets of
+    up to ``exact`` shingles, where ties count as 0 (worst over the sizes of the other set); the last entry, for all larger ones,
+    is the greater of the limit arccos(2 s / (1 + s)) / pi and the share at the largest sizes counted.
+    """
+
+    def worst(n: int) -> float:
+        shares = [0.0]
+        for other in range(ceil(n * similarity), floor(n / similarity) + 1):
+            common = ceil(similarity * (n + other) / (1 + similarity) - 1e-9)
+            if 0 < common <= min(n, other):
+                shares.append(_differing(common, n - common, other - common))
+        return max(shares)
+
+    shares = [0.0, *(worst(n) for n in range(1, exact + 1))]
+    shares.append(max(float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), *shares[-8:]))
+    return np.array([ceil(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5) for p in shares])
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 4, bands: int = 10, rows: int = 3, seed: int = 42, block: int = 4096, task_rows: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id over links between texts whose shingles are about ``similarity`` alike (Jaccard) or more.
+    """doc_id, component_id over links between texts whose sets of shingles are ``similarity`` alike (Jaccard) or more.
 
-    Fingerprints of ``64 * words`` bits differ in about their share arccos(2 s / (1 + s)) / pi of bits at
-    similarity s; the radius lies one standard deviation above it. Bands of so long fingerprints would not part them,
-    so the shards of the BK-trees are min-hash keys: a pair at 0.8 shares one of 10 keys of 3 minima with
-    probability 0.999. Edge cases are those of ``near_duplicates``.
+    Fingerprints of ``64 * words`` bits only propose pairs, within four standard deviations of their distance at
+    ``similarity`` (``radii``); each proposed pair counts its common shingles (64-bit hashes) before it links. Bands of so
+    long fingerprints would not part them, so the shards of the BK-trees are min-hash keys: a pair at 0.8 shares one of
+    10 keys of 3 minima with probability 0.999. First the spanning forests of the shards are checked, then all
+    proposed pairs that the links found so far do not join. Edge cases are those of ``near_duplicates``.
     """
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    radius = round(64 * words * share + (64 * words * share * (1 - share)) ** 0.5)
-    prints = stored(fingerprints(docs, width, seed, id_col, text_col, words, bands, rows), "fingerprints")
+    prints = stored(fingerprints(docs, width, seed, id_col, text_col, words, bands, rows, sets=True), "fingerprints")
     names = ["fp", *(f"fp{v}" for v in range(1, words))]
-    node = F.xxhash64(*names).alias("node")
-    classes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands")).withColumn("node", node), "classes")
-    keyed = classes.select("node", *names, F.posexplode("bands").alias("band", "value"))
-    edges = stored(_linked_shards(keyed, names, radius, block, task_rows).distinct(), "links")
+    radius = radii(similarity, 64 * words)
+    classes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "bands", *names))), "classes")
+    keyed = classes.select("node", "n", *names, F.posexplode("bands").alias("band", "value"))
+    proposed = stored(_dealt_shards(keyed, ["n", *names], block, task_rows).applyInPandas(lambda x: _shard_pairs(x, names, radius, similarity), "a long, b long").distinct(), "proposed")
+    nodes = stored(proposed.select(F.col("a").alias("node")).union(proposed.select("b")).distinct(), "nodes")
+    # The row with a node's smallest id has its text; rows that repeat the id with another text have other nodes.
+    wanted = stored(classes.join(nodes, "node").select(F.col("least").alias("_least")).distinct(), "wanted")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(join_side(wanted), F.col("_id").eqNullSafe(F.col("_least")), "left_semi")
+    sets = stored(_shingle_sets(texts, width, seed, "_id", "_text").join(join_side(nodes), "node", "left_semi").dropDuplicates(["node"]), "shingles")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_one")).join(join_side(pairs), "a")
+        both = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_other")), "b")
+        common = F.size(F.array_intersect("_one", "_other"))
+        return both.filter(common / (F.size("_one") + F.size("_other") - common) >= similarity).select("a", "b")
+
+    edges = stored(alike(proposed), "links")
+    roots = stored(components(edges), "roots")
+    label = roots.select(F.col("fp").alias("node"), "root")
+    again = keyed.join(nodes, "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = stored(_dealt_shards(again, ["n", *names, "root"], block, task_rows).applyInPandas(lambda x: _shard_pairs(x, names, radius, similarity), "a long, b long").distinct(), "proposed")
+    edges = stored(edges.unionByName(alike(rest.join(proposed, ["a", "b"], "left_anti"))), "links")
     roots = stored(components(edges), "roots")
     rooted = classes.join(roots.select(F.col("fp").alias("node"), "root"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(rooted.join(smallest, "root").select("node", "component_id"), "named")
-    return prints.select("doc_id", node).join(named, "node").select("doc_id", "component_id")
+    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")

@@ -351,3 +351,45 @@ def test_near_copies_by_shared_shingles(spark, docs, empty):
     edge = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
     assert edge[6] == edge[7] == edge[8] == 6 and edge[3] == edge[4] == edge[5] == 3
     assert simhash.near_copies(empty).count() == 0
+
+
+def shared_shingles(common, own):
+    """Texts of common + own five-word shingles each: the first words are shared, the others are not."""
+    shared = [f"c{common}x{own}n{i}" for i in range(common + 4)]
+    return [" ".join(shared + [f"{side}{common}x{own}n{i}" for i in range(own)]) for side in "ab"]
+
+
+def test_near_copies_are_checked_by_their_shingles(spark):
+    # (common, own of each): Jaccard 0.70, 0.78, 0.80, 0.85 and the smallest sets at 0.80 and 0.75, many times each.
+    kinds = {(140, 30): False, (78, 11): False, (80, 10): True, (170, 15): True, (8, 1): True, (6, 1): False}
+    data, expected = [], {}
+    for (common, own), linked in kinds.items():
+        for k in range(40):
+            texts = [t.replace("n", f"k{k}n") for t in shared_shingles(common, own)]
+            first = len(data)
+            for i, t in enumerate(texts):
+                expected[len(data)] = first if linked else first + i
+                data.append((len(data), t))
+    # Four shingles against five, and a text whose one repeated shingle outweighs all others.
+    for k in range(40):
+        shared = [f"s{k}n{i}" for i in range(8)]
+        expected[len(data)] = expected[len(data) + 1] = len(data)
+        data += [(len(data), " ".join(shared)), (len(data) + 1, " ".join([*shared, "end"]))]
+    for tail in ("", " " + " ".join(f"t{i}" for i in range(40))):
+        expected[len(data)] = len(data)
+        data.append((len(data), "same " * 500 + tail))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in data]
+    for i in range(0, len(data), 2):
+        assert (len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8) == (expected[i] == expected[i + 1])
+    for block in (4096, 8):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(data, "doc_id long, text string"), block=block, seed=11).collect()}
+        wrong = [i for i in expected if got[i] != expected[i]]
+        assert not wrong, wrong
+
+
+def test_spanning_pairs_are_given_pairs_and_connect():
+    rng = np.random.default_rng(8)
+    a, b, w = rng.integers(0, 60, 90), rng.integers(0, 60, 90), rng.integers(0, 5, 90)
+    picked = simhash._spanning(60, a, b, w)
+    assert (simhash._forest_of(60, a[picked], b[picked]) == simhash._forest_of(60, a, b)).all()
+    assert len(picked) == 60 - len(set(simhash._forest_of(60, a, b)))
