@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from equityjobs.llm import language_id, line_dedup, mixing, packing, simhash
 from equityjobs.llm.shared import join_side, stored
 
-#: A line on so many distinct sources is boilerplate.
-LINE_SITES = 12
+#: A line on so many distinct sources is boilerplate; for a line of over LONG_LINE_WORDS words, LONG_LINE_SITES are enough.
+LINE_SITES = 6
+LONG_LINE_SITES = 4
+LONG_LINE_WORDS = 50
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 WINDOW = 1024
@@ -31,7 +33,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from all documents but the first that has them; n_chars follows the text."""
-    cleaned = line_dedup.dedup_lines(docs, sites=LINE_SITES)
+    cleaned = line_dedup.dedup_lines(docs, sites=LINE_SITES, long_sites=LONG_LINE_SITES, long_words=LONG_LINE_WORDS)
     n_chars = F.when(F.col("lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cleaned.select(*[n_chars.alias("n_chars") if c == "n_chars" else c for c in docs.columns])
 

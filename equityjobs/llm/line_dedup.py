@@ -19,43 +19,61 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+
+
 def _hash(line: Column) -> Column:
     """Hash of a line without the blanks around it; null for a blank line, which is never boilerplate."""
-    bare = F.btrim(line, F.lit(" \t\r\x0b\x0c"))
-    return F.when(bare != "", F.xxhash64(bare))
+    return F.when(_bare(line) != "", F.xxhash64(_bare(line)))
+
+
+def _need(line: Column, sites: int, long_sites: int, long_words: int) -> Column:
+    """Sites that make the line boilerplate; a line of over ``long_words`` words has over twice as many characters."""
+    words = F.when(F.length(line) > 2 * long_words, F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(0)
+    return F.when(words > long_words, long_sites).otherwise(sites)
 
 
 def boilerplate(standings: DataFrame, sites: int, lg_k: int = 12, sigmas: float = 6.0) -> DataFrame:
     """Line hashes on at least ``sites`` distinct sites: ``h``, from stored rows (h, site), with an exact edge.
 
     With 2**lg_k registers the relative standard error is at most 1.04 / sqrt(2**lg_k); lines within ``sigmas``
-    of them (and of 1) around the threshold are counted exactly. A null site is a site of its own.
+    of them (and of 1) around the threshold are counted exactly. A null site is a site of its own. A column
+    ``need`` has the threshold of each line instead of ``sites``.
     """
-    often = standings.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= sites).select("h")
+    need = F.min("need") if "need" in standings.columns else F.lit(sites)
+    often = standings.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), need.alias("_need")).filter("_n >= _need").select("h", "_need")
     site = F.coalesce(F.concat(F.lit("="), F.col("site")), F.lit("~"))
-    candidates = standings.join(often, "h").select("h", site.alias("site"))
+    candidates = standings.join(often, "h").select("h", "_need", site.alias("site"))
     # Each task sketches the lines that it reads; the shuffle merges sketches.
-    sketched = candidates.groupBy("h").agg(F.hll_sketch_agg("site", lg_k).alias("_sketch"))
-    estimated = stored(sketched.select("h", F.hll_sketch_estimate("_sketch").alias("_sites")), "spread")
-    slack = max(1.0, sites * sigmas * 1.04 / (2**lg_k) ** 0.5)
-    sure = estimated.filter(F.col("_sites") >= sites + slack).select("h")
-    near = estimated.filter((F.col("_sites") < sites + slack) & (F.col("_sites") > sites - slack - 1)).select("h")
-    counted = candidates.join(near, "h").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("_sites"))
-    return stored(sure.unionByName(counted.filter(F.col("_sites") >= sites).select("h")), "boilerplate")
+    sketched = candidates.groupBy("h", "_need").agg(F.hll_sketch_agg("site", lg_k).alias("_sketch"))
+    estimated = stored(sketched.select("h", "_need", F.hll_sketch_estimate("_sketch").alias("_sites")), "spread")
+    slack = F.greatest(F.lit(1.0), F.col("_need") * (sigmas * 1.04 / (2**lg_k) ** 0.5))
+    sure = estimated.filter(F.col("_sites") >= F.col("_need") + slack).select("h")
+    near = estimated.filter((F.col("_sites") < F.col("_need") + slack) & (F.col("_sites") > F.col("_need") - slack - 1)).select("h")
+    counted = candidates.join(near, "h").distinct().groupBy("h", "_need").agg(F.count(F.lit(1)).alias("_sites"))
+    return stored(sure.unionByName(counted.filter("_sites >= _need").select("h")), "boilerplate")
 
 
-def dedup_lines(docs: DataFrame, sites: int = 12, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def dedup_lines(docs: DataFrame, sites: int = 12, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", long_sites: int | None = None, long_words: int = 50) -> DataFrame:
     """All rows and columns of ``docs``, with boilerplate lines left out of ``text_col``, and lines_removed.
 
     A line (blanks around it apart) on at least ``sites`` distinct sites stays where it stands first in the
     document with the smallest id and goes everywhere else, so no content is lost. Blank lines stay. A null
     or empty text stays as it is. A null site is a site of its own. Rows with a null id or with a repeated
     id are kept; a row that repeats the first document keeps the line as well. An empty table gives no rows.
+    With ``long_sites``, that many sites are enough for a line of over ``long_words`` words.
     """
-    hashes = F.array_compact(F.transform(_lines(F.col(text_col)), lambda x: _hash(x)))
-    per_doc = docs.select(F.col(id_col).alias("_id"), F.col(site_col).alias("site"), F.explode(F.array_distinct(hashes)).alias("h"))
-    standings = stored(per_doc, "standings")
-    common = boilerplate(standings.select("h", "site"), sites)
+    least = sites if long_sites is None else long_sites
+
+    def entry(line: Column) -> Column:
+        return F.when(_bare(line) != "", F.struct(_hash(line).alias("h"), _need(_bare(line), sites, least, long_words).alias("need")))
+
+    entries = F.array_compact(F.transform(_lines(F.col(text_col)), entry if least != sites else _hash))
+    per_doc = docs.select(F.col(id_col).alias("_id"), F.col(site_col).alias("site"), F.explode(F.array_distinct(entries)).alias("_line"))
+    columns = ["_line.*"] if least != sites else [F.col("_line").alias("h")]
+    standings = stored(per_doc.select("_id", "site", *columns), "standings")
+    common = boilerplate(standings.drop("_id"), sites)
     hits = stored(standings.join(common, "h").select("_id", "h"), "hits")
     owners = hits.groupBy("h").agg(F.min("_id").alias("_owner"))
     # Per document: its boilerplate hashes, and those of them that it owns.

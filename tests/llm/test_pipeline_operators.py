@@ -393,3 +393,16 @@ def test_spanning_pairs_are_given_pairs_and_connect():
     picked = simhash._spanning(60, a, b, w)
     assert (simhash._forest_of(60, a[picked], b[picked]) == simhash._forest_of(60, a, b)).all()
     assert len(picked) == 60 - len(set(simhash._forest_of(60, a, b)))
+
+
+def test_pipeline_removes_passages_that_stand_on_few_sites(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    lines = {name: " ".join(f"{name}{k}" for k in range(words)) for name, words in (("long", 51), ("lesser", 51), ("edge", 50), ("short", 5), ("rare", 5))}
+    sites = {"long": 4, "lesser": 3, "edge": 5, "short": 6, "rare": 5}
+    data = [(i, "\n".join([f"own line {i}", *(lines[n] for n in lines if i < sites[n])]), "en", f"s{i}", 0) for i in range(20)]
+    data.append((20, lines["long"].replace(" ", "  "), "en", "s20", 0))  # other blanks within: another line
+    df = spark.createDataFrame(data, SCHEMA)
+    got = {r["doc_id"]: r["text"].split("\n") for r in corpus_pipeline.drop_boilerplate(spark, df, "").collect()}
+    left = {n: sum(lines[n] in t for t in got.values()) for n in lines}
+    assert left == {"long": 1, "lesser": 3, "edge": 5, "short": 1, "rare": 5}
+    assert all(f"own line {i}" in got[i] for i in range(20)) and all(n in "".join(got[0]) for n in lines)
