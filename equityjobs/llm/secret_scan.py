@@ -1,4 +1,4 @@
-"""Secret scans: a broad pattern finds candidates, a random forest removes the false positives.
+"""Secret scans: broad patterns find candidates, a random forest removes the false positives.
 
 The features of a candidate are its length and classes of characters, how likely its character transitions and how
 well covered its letters are by the corpus (both counted over all texts), and how often labelled findings
@@ -24,6 +24,13 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
 #: Shapes that count as a labelled secret where no labels are given: provider keys and quoted assignments.
 PROVIDER = re.compile(r"(AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|[rs]k_(live|test)_[A-Za-z0-9]{16,}")
 ASSIGNED = re.compile(r"(?i)(token|secret|passw(or)?d|api_?key|credential)s?[\"']?\s*[:=]\s*[\"']?$")
+#: Values of any length and of any characters: after a secret-like word, and the password part of a URL.
+NAMES = ("token", "secret", "password", "passwd", "passphrase", "passwor", "pwd", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "privatekey", "private_key", "private-key", "credential")
+VALUE = re.compile(
+    "(?i:" + "|".join(NAMES) + r""")[A-Za-z0-9_\-]*["'`]?[ \t]{0,8}(?::=|=>|[:=])[ \t]{0,8}"""
+    r"""(?:"(?P<double>(?:\\.|[^"\\\n])+)"|'(?P<single>(?:\\.|[^'\\\n])+)'|`(?P<back>[^`\n]+)`|(?P<bare>[^\s"'`]+))"""
+)
+URL = re.compile(r"""://[^\s/:@"'`<>]*:(?P<url>[^\s/"'`<>]+)@(?=[^\s@])""")
 _NEAR = re.compile(r"[A-Za-z]+")
 #: Character classes of transitions: the letters, digits one by one, capitals together by letter, the rest.
 _CLASS = np.full(256, 63, "i8")
@@ -83,7 +90,7 @@ NUMBERS = ("length", "digits", "capitals", "lower", "marks", "distinct", "entrop
 
 
 def _numbers(word: str, before: str, after: str, corpus: Corpus) -> list[float]:
-    raw = np.frombuffer(word.encode(), "u1")
+    raw = np.frombuffer(word.encode("utf-8", "surrogatepass"), "u1")
     n, classes = len(raw), _CLASS[raw]
     kinds = np.where(classes < 26, 0, np.where(classes < 52, 1, np.where(classes < 62, 2, 3)))
     share = np.bincount(kinds, minlength=4) / n
@@ -94,12 +101,40 @@ def _numbers(word: str, before: str, after: str, corpus: Corpus) -> list[float]:
         if code >= 0 and corpus.usual[code]:
             covered[i : i + RUN] = True
     return [
-        min(n, 200), share[2], share[1], share[0], share[3], len(p) / n, float(-(p * np.log2(p)).sum()), float((kinds[1:] != kinds[:-1]).mean()),
-        float(corpus.transitions[classes[:-1], classes[1:]].mean()), float(covered.mean()),
+        min(n, 200), share[2], share[1], share[0], share[3], len(p) / n, float(-(p * np.log2(p)).sum()), float((kinds[1:] != kinds[:-1]).mean()) if n > 1 else 0.0,
+        float(corpus.transitions[classes[:-1], classes[1:]].mean()) if n > 1 else 0.0, float(covered.mean()),
         float(before[-1:] in ("'", '"', "`")) + float(after[:1] in ("'", '"', "`")), float(bool(re.search(r"[=:]\s*[\"'`]?$", before))),
     ]
 
 
+def _spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the candidates of a text, in order; kind is 'quoted', 'bare', 'url', or 'run' for ``CANDIDATE`` alone.
+
+    A value in a value and a run in a value are candidates of their own.
+    """
+    spans = {m.span(): "run" for m in CANDIDATE.finditer(text)}
+    folded = text.casefold()
+    if any(n in folded for n in NAMES):
+        m = VALUE.search(text)
+        while m:
+            a, b = m.span(m.lastgroup)
+            if m.lastgroup == "bare":
+                b = a + len(m["bare"].rstrip(",;)]}>"))
+            if a < b:
+                spans[a, b] = "bare" if m.lastgroup == "bare" else "quoted"
+            m = VALUE.search(text, a)
+    if "://" in text:
+        spans |= {m.span("url"): "url" for m in URL.finditer(text)}
+    return sorted((a, b, kind) for (a, b), kind in spans.items())
+
+
+def _shaped(word: str, before: str, kind: str) -> bool:
+    """Whether the candidate has a known secret's shape."""
+    if PROVIDER.fullmatch(word) or kind == "url" or (kind != "run" or ASSIGNED.search(before)) and re.search(r"\d", word):
+        return True
+    return kind == "quoted" and not re.search(r"\s", word) and bool(re.search(r"[^\w\-]|[a-z][A-Z]", word))
+
+
 def candidates(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """doc_id, start (in characters), length, sha256, path, before, after, shaped, numbers of every candidate.
 
@@ -111,12 +146,11 @@ def candidates(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col
         for batch in batches:
             rows: list[tuple] = []
             for key, text, path in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for m in CANDIDATE.finditer(text or ""):
-                    a, b = m.span()
-                    before, after, word = text[max(0, a - 40) : a], text[b : b + 40], m[0]
+                for a, b, kind in _spans(text or ""):
+                    before, after, word = text[max(0, a - 40) : a], text[b : b + 40], text[a:b]
                     words = _NEAR.findall(before)[-1:], _NEAR.findall(after)[:1]
-                    shaped = bool(PROVIDER.fullmatch(word) or (ASSIGNED.search(before) and re.search(r"\d", word)))
-                    rows.append((key, a, b - a, hashlib.sha256(word.encode()).hexdigest(), path or "", *("".join(w).lower() for w in words), shaped, _numbers(word, before, after, corpus)))
+                    shaped = _shaped(word, before, kind)
+                    rows.append((key, a, b - a, hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest(), path or "", *("".join(w).lower() for w in words), shaped, _numbers(word, before, after, corpus)))
             kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.float64()))
             names = ("doc_id", "start", "length", "sha256", "path", "before", "after", "shaped", "numbers")
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
