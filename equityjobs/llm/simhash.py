@@ -295,17 +295,21 @@ def _shard_pairs(rows: pd.DataFrame, names: list[str], radii: np.ndarray, simila
 
 
 def _dealt_shards(keyed: DataFrame, columns: list[str], block: int, task_rows: int) -> GroupedData:
-    """Rows (node, ``columns``, shard, side) of the block pairs of all shared band values, grouped into tasks."""
+    """Rows (node, ``columns``, shard, side) of the block pairs of all shared band values, grouped into tasks.
+
+    Each block pair of a shard that is cut is a group of its own; the other shards share groups of about ``task_rows``.
+    """
     sizes = keyed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     blocks = stored(sizes.select("band", "value", "_n", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")), "blocks")
-    tasks = max(1, -(-(blocks.agg(F.sum("_n")).first()[0] or 0) // task_rows))
+    tasks = max(1, -(-(blocks.filter("_blocks = 1").agg(F.sum("_n")).first()[0] or 0) // task_rows))
     # With c blocks, block i meets each block j in the pair (min, max); the smaller side holds the tree.
     mine = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("_blocks")).cast("int")
     pairs = keyed.join(blocks.drop("_n"), ["band", "value"]).withColumn("_i", mine).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     side = F.when(F.col("_i") == F.col("_j"), 2).when(F.col("_i") < F.col("_j"), 0).otherwise(1).cast("int")
     shard = F.xxhash64("band", "value", F.least("_i", "_j"), F.greatest("_i", "_j"))
-    dealt = pairs.select("node", *columns, shard.alias("shard"), side.alias("side")).withColumn("_task", F.pmod(F.xxhash64(F.lit(3), "shard"), F.lit(tasks)).cast("int"))
-    return dealt.groupBy("_task")
+    dealt = pairs.select("node", *columns, shard.alias("shard"), side.alias("side"), (F.col("_blocks") > 1).alias("_cut"))
+    task = F.when(F.col("_cut"), F.col("shard")).otherwise(F.pmod(F.xxhash64(F.lit(3), "shard"), F.lit(tasks)))
+    return dealt.select("*", task.alias("_task")).groupBy("_cut", "_task")
 
 
 def _linked_shards(keyed: DataFrame, names: list[str], radius: int, block: int, task_rows: int) -> DataFrame:

@@ -406,3 +406,11 @@ def test_pipeline_removes_passages_that_stand_on_few_sites(spark):
     left = {n: sum(lines[n] in t for t in got.values()) for n in lines}
     assert left == {"long": 1, "lesser": 3, "edge": 5, "short": 1, "rare": 5}
     assert all(f"own line {i}" in got[i] for i in range(20)) and all(n in "".join(got[0]) for n in lines)
+
+
+def test_groups_of_a_hot_shard_stay_within_two_blocks(spark):
+    rows = [(i, i, 0, 7) for i in range(2000)] + [(i, i, 1, i // 2) for i in range(200)]
+    keyed = spark.createDataFrame(rows, "node long, fp long, band int, value long")
+    sizes = simhash._dealt_shards(keyed, ["fp"], block=100, task_rows=1 << 15).applyInPandas(lambda x: x.groupby("shard").size().agg(["count", "sum"]).to_frame().T, "count long, sum long").collect()
+    assert max(r["sum"] for r in sizes) <= 300 and sum(r["count"] == 1 for r in sizes) == 20 * 21 // 2
+    assert [r["sum"] for r in sizes if r["count"] == 100] == [200]
