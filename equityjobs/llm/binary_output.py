@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from equityjobs.llm.tokens import Encoder, sliced, texts_of, with_end
+from equityjobs.llm.tokens import Encoder, with_end
 
 # Fixed values of Simple-8b: ids per word and bits per id by selector from 1 on; selector 0 is the escape.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -156,7 +156,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, segment_i
     """Encode every whole text, append ``end_id``, and write segments in ascending document order to ``path``.
 
     A null text is empty (the end id alone); null ids come first; repeated ids stay next to each other in
-    text order; an empty table writes no segment. Other columns are ignored.
+    text order; an empty table writes no segment. Ids are whole numbers (others are an error); other columns are ignored.
     """
     from pyspark import TaskContext
 
@@ -172,10 +172,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, segment_i
             held.clear()
             return pa.RecordBatch.from_arrays(row, ["part", "part_start", "n_ids", "payload"])
 
-        for batch in sliced(batches):
+        for batch in batches:
             keys = batch.column(0).cast(pa.int64())
             doc_ids, has_id = keys.fill_null(0).to_numpy(zero_copy_only=False), keys.is_valid().to_numpy(zero_copy_only=False)
-            for first, last, ids, lengths in encoder.encode(texts_of(batch, 1)):
+            for first, last, ids, lengths in encoder.encode(batch.column(1)):
                 ids, lengths = with_end(ids, lengths, end_id)
                 held.append((doc_ids[first:last], has_id[first:last], lengths, ids.astype("uint64")))
                 if sum(len(h[3]) for h in held) >= segment_ids:

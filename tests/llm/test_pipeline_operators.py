@@ -1,9 +1,11 @@
 """Operators against brute force and edge cases: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
+import functools
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -49,31 +51,65 @@ def rows(docs):
     return [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
 
 
-def encoded(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(TOKENIZER)
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(TOKENIZER)
+
+
+def encoded(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 # --- tokens -----------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(
-    "text",
-    ["", " ", "\n", "a  b", "a   b", "a\n\nb", "a \nb", "a\n b", " lead", "trail ", "tab\tb", "a b  c", "don't we'll 'S", "x" * 5000, "🙂é漢字 mixed 12.5%", "a   b　c", "\x00a b", "a\x1cb", "\r\nwin\r\n", "..  !!\n\n\n  end\n"],
-)
-def test_cached_words_encode_like_the_whole_text(text):
-    [(first, last, ids, lengths)] = list(tokens.Encoder(TOKENIZER).encode([text]))
-    assert (first, last, ids.tolist(), lengths.tolist()) == (0, 1, encoded(text), [len(encoded(text))])
+#: What one of the cuts, kinds of pieces or escapes of the encoder may get wrong.
+HARD = [
+    "", None, " ", "\n", "a  b", "a   b", "a\n\nb", "a \nb", "a\n b", " lead", "trail ", "tab\tb", "a\xa0 b  c", "don't we'll 'S 'sting x'sy", "x" * 5000, "🙂é漢字 mixed 12.5%",
+    "a \u2003 b\u3000c", "\x00a b", "a\x1cb", "\r\nwin\r\n", "..  !!\n\n\n  end\n", "\xa0\xa0ööİſ _- ", "ab12cd, (x)–,y ×2 ÷3", "слово, über-Maß.", " é", "é ", "\x85 a\u1680 b",
+    "<|endoftext|>", "hello <|endoftext|> world", "foo  <|endoftext|>", "in<|endoftext|>side", "<|endoftext|><|endoftext|> twice <|endoftext|>", "<|endoftext|", "漢字" * 3000,
+]
+
+
+def each(encoder, texts):
+    return [ids.tolist() for _, _, flat, lengths in encoder.encode(pa.array(texts, pa.string())) for ids in np.split(flat, np.cumsum(lengths)[:-1])]
+
+
+def test_pieces_encode_like_the_whole_text():
+    encoder = tokens.Encoder(TOKENIZER)
+    assert each(encoder, HARD) == [encoded(t) for t in HARD]
+    assert [each(encoder, [t])[0] for t in HARD] == [encoded(t) for t in HARD]
+    assert encoder.tokenizer.get_vocab_size() - 1 in each(encoder, ["hello <|endoftext|> world"])[0]
 
 
-def test_random_texts_encode_like_the_whole_text():
+def test_plain_encoding_takes_special_strings_as_text():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    t.encode_special_tokens = True
+    assert each(tokens.Encoder(TOKENIZER, plain=True), HARD) == [t.encode(x or "", add_special_tokens=False).ids for x in HARD]
+
+
+def test_random_texts_encode_like_the_whole_text(monkeypatch):
     rng = np.random.default_rng(5)
-    parts = ["a", "B1", " ", "  ", "\n", "\n\n", "'s", "!", "é", "\t", "foo", " ", "\r\n"]
-    texts = ["".join(rng.choice(parts, 30)) for _ in range(400)]
-    found = [ids for _, _, flat, lengths in tokens.Encoder(TOKENIZER).encode(texts) for ids in np.split(flat, np.cumsum(lengths)[:-1])]
-    assert [f.tolist() for f in found] == [encoded(t) for t in texts]
+    parts = ["a", "B1", " ", "  ", "\n", "\n\n", "'s", "'", "!", "é", "\t", "foo", "\xa0", "\r\n", "漢", "д", "7", "<|endoftext|>", "×", "_"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(1500)]
+    assert each(tokens.Encoder(TOKENIZER), texts) == [encoded(t) for t in texts]
+    monkeypatch.setattr(tokens, "_STEP", 40)
+    assert each(tokens.Encoder(TOKENIZER), texts[:300]) == [encoded(t) for t in texts[:300]]
+    part = pa.array(texts, pa.string()).slice(7, 50)
+    assert [ids.tolist() for _, _, flat, n in tokens.Encoder(TOKENIZER).encode(part) for ids in np.split(flat, np.cumsum(n)[:-1])] == [encoded(t) for t in texts[7:57]]
+
+
+def test_tokenizers_without_a_byte_level_cutter_take_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, texts = Tokenizer.from_file(path), ["Some  words, HERE", "", "and more"]
+    assert each(tokens.Encoder(path), texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 # --- op 9 -------------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -237,6 +238,6 @@ def test_stages_keep_clean_documents_and_columns(spark, tmp_path):
     from equityjobs.llm.tokens import Encoder
 
     texts = [r["text"] for r in at["mixing"].collect()]
-    total = sum(int(n.sum()) for _, _, _, n in Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(texts)) + len(texts)
+    total = sum(int(n.sum()) for _, _, _, n in Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(pa.array(texts, pa.string()))) + len(texts)
     assert sum(r["length"] for r in pieces) == total and all(len(r["ids"]) == 4 * r["length"] for r in pieces)
     assert corpus_pipeline.run(spark, path).count() > 0 and corpus_pipeline.ORACLE_SQL is None
