@@ -1,8 +1,8 @@
 """Near duplicates by SimHash fingerprints that BK-trees link.
 
-Two fingerprints within ``radius`` bits agree in at least one of ``radius + 1`` bands of bits, so the
-fingerprints of each band value form a shard, and each shard gets a BK-tree: an element's children are
-keyed by their Hamming distance to it, and a search follows only the edges within the radius of its own
+Two fingerprints within ``radius`` bits agree in at least c of ``radius + c`` bands of bits, so the
+fingerprints that share the values of c bands form a shard (c grows with the number of fingerprints, which keeps
+shards small), and each shard gets a BK-tree: an element's children are keyed by their Hamming distance to it, and a search follows only the edges within the radius of its own
 distance. A large shard is cut into blocks, each with its tree; every pair of blocks is searched, so no task
 holds more than two blocks of any shard. A task answers with the links of a spanning forest, not with all
 pairs. Trees of many shards are built and searched together, one level at a time.
@@ -11,19 +11,22 @@ pairs. Trees of many shards are built and searched together, one level at a time
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 from math import ceil, comb, floor
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from equityjobs.llm.shared import join_side, stored
+from equityjobs.llm.shared import BROADCAST_ROWS, join_side, stored
 from equityjobs.llm.tokens import sliced, texts_of
 
 #: Blanks that part words, as in the pattern [^\x20\x09-\x0D]+.
 _BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+#: Children of a node in the trees of links between texts.
+DEGREE = 64
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -143,11 +146,13 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str =
 
 
 def _shingle_sets(docs: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """node, shingles: the set of shingle hashes of every row's whole text, under the key that ``fingerprints`` gives it."""
+    """node, shingles: the set of shingle hashes of every whole text, under the key that ``fingerprints`` gives it; once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in sliced(batches):
             found = [_set_of(_shingle_hashes(text, width, seed), seed) for text in texts_of(batch, 1)]
+            found = [(h, k) for h, k in found if not (k in seen or seen.add(k))]
             ends = np.cumsum([0, *(len(h) for h, _ in found)]).astype("int32")
             flat = np.concatenate([np.zeros(0, "uint64"), *(h for h, _ in found)]).view("int64")
             nodes = np.array([k for _, k in found], "uint64").view("int64")
@@ -229,6 +234,16 @@ def _forest_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _tree_links(nodes: np.ndarray, root: np.ndarray) -> pd.DataFrame:
+    """Links (a, b) that join the nodes with the same root by a tree of at most ``DEGREE`` children a node: there is no hub."""
+    order = np.argsort(root, kind="stable")
+    _, starts, counts = np.unique(root[order], return_index=True, return_counts=True)
+    start = np.repeat(starts, counts)
+    rank = np.arange(len(order)) - start
+    child = np.flatnonzero(rank)
+    return pd.DataFrame({"a": nodes[order[child]], "b": nodes[order[start[child] + (rank[child] - 1) // DEGREE]]})
+
+
 def _shard_links(rows: pd.DataFrame, names: list[str], radius: int) -> pd.DataFrame:
     """Spanning links (node, root) of the block pairs in one task: ``side`` of a ``shard`` is 0, 1, or 2 for both."""
     rows = rows.drop_duplicates(["shard", "side", "node"])
@@ -243,68 +258,85 @@ def _shard_links(rows: pd.DataFrame, names: list[str], radius: int) -> pd.DataFr
     q, e = _bk_links(prints[held], np.searchsorted(known, number[held]), prints[asking], np.searchsorted(known, number[asking]), radius)
     unique, at = np.unique(rows["node"].to_numpy(), return_inverse=True)
     a, b = at[asking[q]], at[held[e]]
-    root = _forest_of(len(unique), a[a != b], b[a != b])
-    linked = np.flatnonzero(root != np.arange(len(unique)))
-    return pd.DataFrame({"a": unique[linked], "b": unique[root[linked]]})
-
-
-def _spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Indexes of the pairs (a, b) that make a minimum spanning forest of n elements, by Boruvka's rounds."""
-    order = np.argsort(weight, kind="stable")
-    label, picked = np.arange(n), []
-    while len(order := order[label[a[order]] != label[b[order]]]):
-        best = np.full(n, len(order))
-        np.minimum.at(best, label[a[order]], np.arange(len(order)))
-        np.minimum.at(best, label[b[order]], np.arange(len(order)))
-        chosen = order[np.unique(best[best < len(order)])]
-        picked.append(chosen)
-        label = _forest_of(n, label[a[chosen]], label[b[chosen]])[label]
-    return np.concatenate(picked or [np.zeros(0, int)])
-
-
-def _shard_pairs(rows: pd.DataFrame, names: list[str], radii: np.ndarray, similarity: float, step: int = 256) -> pd.DataFrame:
-    """Pairs (a, b) of nodes of one task that may be ``similarity`` alike, by fingerprints and set sizes.
-
-    ``radii`` has the radius by set size, the last one for all larger sets. Without a column ``root``, the pairs of a
-    minimum spanning forest (by distance); else all pairs with unlike roots.
+    return _tree_links(unique, _forest_of(len(unique), a[a != b], b[a != b]))
+
+
+def _shard_forest(rows: pd.DataFrame, names: list[str], radii: np.ndarray, similarity: float, step: int = 256) -> pd.DataFrame:
+    """Links (a, b) that join the nodes of one task which fingerprints and set sizes allow to be ``similarity`` alike.
+
+    ``radii`` has the radius by set size, the last one for all larger sets.
     """
     rows = rows.drop_duplicates(["shard", "side", "node"])
+    unique, at = np.unique(rows["node"].to_numpy(), return_inverse=True)
+    root = np.arange(len(unique))
+    for q, e in _alike_hits(rows, names, radii, similarity, step):
+        new = at[q] != at[e]
+        root = _forest_of(len(unique), root[at[q[new]]], root[at[e[new]]])[root]
+    return _tree_links(unique, root)
+
+
+def _alike_hits(rows: pd.DataFrame, names: list[str], radii: np.ndarray, similarity: float, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(question, element) row numbers of the pairs of each ``shard`` within the radius of their size, ``step`` questions at a time."""
     _, number = np.unique(rows["shard"].to_numpy(), return_inverse=True)
     prints, side, size = rows[names].to_numpy("int64").view("uint64"), rows["side"].to_numpy(), rows["n"].to_numpy()
-    unique, at = np.unique(rows["node"].to_numpy(), return_inverse=True)
     held, asking = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     known = np.unique(number[held])
     asking = asking[np.isin(number[asking], known)]
-    a = b = weight = np.zeros(0, int)
-    if len(held) and len(asking):
-        radius = radii[np.minimum(size[asking], len(radii) - 1)]
-        for q, e, distance in _bk_hits(prints[held], np.searchsorted(known, number[held]), prints[asking], np.searchsorted(known, number[asking]), radius, step):
-            q, e = asking[q], held[e]
-            low, high = np.minimum(size[q], size[e]), np.maximum(size[q], size[e])
-            keep = (at[q] != at[e]) & (low / np.maximum(high, 1) >= similarity)
-            if "root" in rows:
-                root = rows["root"].to_numpy()
-                keep &= root[q] != root[e]
-            q, e, distance = at[q[keep]], at[e[keep]], distance[keep]
-            pair, first = np.unique(np.minimum(q, e) * len(unique) + np.maximum(q, e), return_index=True)
-            a, b, weight = np.append(a, pair // len(unique)), np.append(b, pair % len(unique)), np.append(weight, distance[first])
-            if "root" not in rows:
-                forest = _spanning(len(unique), a, b, weight)
-                a, b, weight = a[forest], b[forest], weight[forest]
-    return pd.DataFrame({"a": unique[a], "b": unique[b]})
-
-
-def _dealt_shards(keyed: DataFrame, columns: list[str], block: int, task_rows: int) -> GroupedData:
+    if not len(held) or not len(asking):
+        return
+    radius = radii[np.minimum(size[asking], len(radii) - 1)]
+    for q, e, _ in _bk_hits(prints[held], np.searchsorted(known, number[held]), prints[asking], np.searchsorted(known, number[asking]), radius, step):
+        q, e = asking[q], held[e]
+        keep = np.minimum(size[q], size[e]) >= similarity * np.maximum(size[q], size[e]) - 1e-9
+        yield q[keep], e[keep]
+
+
+def _family_links(rows: pd.DataFrame, names: list[str], radii: np.ndarray, similarity: float, step: int = 64) -> pd.DataFrame:
+    """Links (a, b) that join the nodes of one task whose sets of shingles are ``similarity`` alike (Jaccard) or more.
+
+    BK-trees of the families propose pairs; a pair that earlier links do not join counts its common shingles.
+    """
+    rows = rows.drop_duplicates(["shard", "side", "node"]).reset_index(drop=True)
+    unique, at = np.unique(rows["node"].to_numpy(), return_inverse=True)
+    sets = rows["shingles"].to_list()
+    sizes = np.fromiter(map(len, sets), "int64", len(sets))
+    _, flat = np.unique(np.concatenate([np.zeros(0, "int64"), *sets]), return_inverse=True)
+    flat, starts, marked = flat.astype("int32"), np.cumsum(sizes) - sizes, np.zeros(int(sizes.sum()) + 1, bool)
+    root = np.arange(len(unique))
+    for q, e in _alike_hits(rows, names, radii, similarity, step):
+        order = np.argsort(q, kind="stable")
+        q, e = q[order], e[order]
+        for i, mine in zip(np.unique(q), np.split(e, np.flatnonzero(np.diff(q)) + 1)):
+            mine = mine[root[at[mine]] != root[at[i]]]
+            if not len(mine):
+                continue
+            one = flat[starts[i] : starts[i] + sizes[i]]
+            marked[one] = True
+            span = sizes[mine]
+            other = np.repeat(starts[mine] - np.cumsum(span) + span, span) + np.arange(span.sum())
+            common = np.add.reduceat(marked[flat[other]], np.cumsum(span) - span, dtype="int64")
+            marked[one] = False
+            linked = mine[common >= similarity * (sizes[i] + span - common) - 1e-9]
+            if len(linked):
+                joined = np.append(root[at[linked]], root[at[i]])
+                root[np.isin(root, joined)] = joined.min()
+    return _tree_links(unique, root)
+
+
+def _dealt_shards(keyed: DataFrame, columns: list[str], block: int, task_rows: int, weight: str | None = None) -> GroupedData:
     """Rows (node, ``columns``, shard, side) of the block pairs of all shared band values, grouped into tasks.
 
-    Each block pair of a shard that is cut is a group of its own; the other shards share groups of about ``task_rows``.
+    A block holds about ``block`` rows, or rows that add up to ``block`` by the column ``weight``. Each block pair of a
+    shard that is cut is a group of its own; the other shards share groups of about ``task_rows``.
     """
-    sizes = keyed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    blocks = stored(sizes.select("band", "value", "_n", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")), "blocks")
-    tasks = max(1, -(-(blocks.filter("_blocks = 1").agg(F.sum("_n")).first()[0] or 0) // task_rows))
+    load = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    sizes = keyed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("_n"), load.alias("_load")).filter("_n > 1")
+    cut = F.greatest(F.lit(1), F.least(F.ceil(F.col("_load") / block), F.col("_n"))).cast("int")
+    blocks = stored(sizes.select("band", "value", "_load", cut.alias("_blocks")), "blocks")
+    tasks = max(1, -(-(blocks.filter("_blocks = 1").agg(F.sum("_load")).first()[0] or 0) // task_rows))
     # With c blocks, block i meets each block j in the pair (min, max); the smaller side holds the tree.
     mine = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("_blocks")).cast("int")
-    pairs = keyed.join(blocks.drop("_n"), ["band", "value"]).withColumn("_i", mine).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    pairs = keyed.join(blocks.drop("_load"), ["band", "value"]).withColumn("_i", mine).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     side = F.when(F.col("_i") == F.col("_j"), 2).when(F.col("_i") < F.col("_j"), 0).otherwise(1).cast("int")
     shard = F.xxhash64("band", "value", F.least("_i", "_j"), F.greatest("_i", "_j"))
     dealt = pairs.select("node", *columns, shard.alias("shard"), side.alias("side"), (F.col("_blocks") > 1).alias("_cut"))
@@ -317,32 +349,63 @@ def _linked_shards(keyed: DataFrame, names: list[str], radius: int, block: int,
     return _dealt_shards(keyed, names, block, task_rows).applyInPandas(lambda rows: _shard_links(rows, names, radius), "a long, b long")
 
 
+def band_keys(radius: int, rows: int, most: int, fp: str = "fp") -> list[Column]:
+    """Keys of which two fingerprints within ``radius`` bits share at least one, with about ``most`` of ``rows`` rows a value.
+
+    In ``radius + c`` bands at least c agree, so every choice of c bands makes a key: c grows until its bits part the rows.
+    """
+    chosen = 1
+    while chosen < 8 and rows > most << (64 * chosen // (radius + chosen)):
+        chosen += 1
+    bands = radius + chosen
+    edges = [64 * k // bands for k in range(bands + 1)]
+    parts = [F.shiftrightunsigned(fp, low).bitwiseAND((1 << (high - low)) - 1) for low, high in zip(edges, edges[1:])]
+    keys = []
+    for choice in combinations(range(bands), chosen):
+        key = F.lit(0).cast("long")
+        for k in choice:
+            key = F.shiftleft(key, edges[k + 1] - edges[k]).bitwiseOR(parts[k])
+        keys.append(key)
+    return keys
+
+
 def links(prints: DataFrame, radius: int = 4, block: int = 4096, task_rows: int = 1 << 15) -> DataFrame:
     """a, b: links between distinct fingerprints whose closure is that of all pairs within ``radius`` bits.
 
-    ``prints`` holds distinct ``fp``, stored. No pair is left out: each band value's shard is searched whole.
+    ``prints`` holds distinct ``fp``, stored. No pair is left out: each key's shard is searched whole.
     """
-    bands, spread = radius + 1, []
-    for k in range(bands):
-        low, high = k * 64 // bands, (k + 1) * 64 // bands
-        spread.append(F.shiftrightunsigned("fp", low).bitwiseAND((1 << (high - low)) - 1).alias(f"v{k}"))
-    keyed = prints.select(F.col("fp").alias("node"), "fp", F.posexplode(F.array(*spread)).alias("band", "value"))
+    keys = F.array(*band_keys(radius, prints.count(), block))
+    keyed = prints.select(F.col("fp").alias("node"), "fp", F.posexplode(keys).alias("band", "value"))
     return _linked_shards(keyed, ["fp"], radius, block, task_rows)
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
+    """``rows`` joined with the stored narrow ``table`` (one row for each ``key``), however many rows share a key.
+
+    A table of counted size is broadcast; a larger one is copied to ``salts`` salts, over which ``spread`` deals each key's rows.
+    """
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key)
+    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(13), spread), F.lit(salts)).cast("int"))
+    return salted_rows.join(table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """fp, root: the smallest linked fingerprint of every fingerprint in ``edges`` (stored), by minimum labels.
 
-    Each round takes the neighbours' smallest label and then the label's own label; the labels are stored
-    after each round, so the lineage stays short.
+    Each round takes the neighbours' smallest label and then the label's own label, which halves the way to the
+    root; the labels are stored after each round, so the lineage stays short. More than ``most_rounds`` rounds (a chain of
+    over 2**59 links) are an error.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = stored(both.groupBy(F.col("a").alias("fp")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     for _ in range(most_rounds):
         near = both.join(label.select(F.col("fp").alias("b"), "root"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("_near"))
         low = label.join(near, "fp").select("fp", F.col("root").alias("_old"), F.least("root", "_near").alias("root"))
-        jump = label.select(F.col("fp").alias("root"), F.col("root").alias("_up"))
-        new = stored(low.join(jump, "root").select("fp", "_old", F.least("root", "_up").alias("root")), "labels")
+        # Only roots are looked up: one row for each, however many rows have it.
+        used = label.groupBy("root").agg(F.lit(1).alias("_used")).select(F.col("root").alias("fp"))
+        jump = stored(label.join(used, "fp", "left_semi").select(F.col("fp").alias("root"), F.col("root").alias("_up")), "jump")
+        new = stored(_looked_up(low, jump, "root", "fp").select("fp", "_old", F.least("root", "_up").alias("root")), "labels")
         label = new.select("fp", "root")
         if not new.filter("_old != root").limit(1).count():
             return label
@@ -361,8 +424,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int
     roots = stored(components(edges), "roots")
     classed = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(classed.join(smallest, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stored(_looked_up(classed, stored(smallest, "smallest"), "root", "fp").select("fp", "component_id"), "named")
+    # A fingerprint that very many rows share is one row of ``named``; its rows are dealt over salts.
+    return _looked_up(prints, named, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def _differing(common: int, one: int, other: int) -> float:
@@ -401,41 +465,36 @@ def radii(similarity: float, bits: int, sigmas: float = 4.0, exact: int = 64) ->
     return np.array([ceil(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5) for p in shares])
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 4, bands: int = 10, rows: int = 3, seed: int = 42, block: int = 4096, task_rows: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 4, bands: int = 10, rows: int = 3, seed: int = 42, block: int = 4096, task_rows: int = 1 << 15,
+    shingles: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """doc_id, component_id over links between texts whose sets of shingles are ``similarity`` alike (Jaccard) or more.
 
     Fingerprints of ``64 * words`` bits only propose pairs, within four standard deviations of their distance at
-    ``similarity`` (``radii``); each proposed pair counts its common shingles (64-bit hashes) before it links. Bands of so
-    long fingerprints would not part them, so the shards of the BK-trees are min-hash keys: a pair at 0.8 shares one of
-    10 keys of 3 minima with probability 0.999. First the spanning forests of the shards are checked, then all
-    proposed pairs that the links found so far do not join. Edge cases are those of ``near_duplicates``.
+    ``similarity`` (``radii``); a pair links by its common shingles (64-bit hashes). Bands of so long fingerprints
+    would not part them, so the shards of the BK-trees are min-hash keys: a pair at 0.8 shares one of 10 keys of
+    3 minima with probability 0.999. Proposed pairs make families; the sets of shingles of each family come together
+    once, in blocks of about ``shingles`` hashes, and its proposed pairs are checked there. Edge cases are those of
+    ``near_duplicates``; a text without a word has the empty set, which is alike to itself only.
     """
     prints = stored(fingerprints(docs, width, seed, id_col, text_col, words, bands, rows, sets=True), "fingerprints")
     names = ["fp", *(f"fp{v}" for v in range(1, words))]
     radius = radii(similarity, 64 * words)
     classes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "bands", *names))), "classes")
     keyed = classes.select("node", "n", *names, F.posexplode("bands").alias("band", "value"))
-    proposed = stored(_dealt_shards(keyed, ["n", *names], block, task_rows).applyInPandas(lambda x: _shard_pairs(x, names, radius, similarity), "a long, b long").distinct(), "proposed")
-    nodes = stored(proposed.select(F.col("a").alias("node")).union(proposed.select("b")).distinct(), "nodes")
+    proposed = stored(_dealt_shards(keyed, ["n", *names], block, task_rows).applyInPandas(lambda x: _shard_forest(x, names, radius, similarity), "a long, b long").distinct(), "proposed")
+    families = stored(components(proposed).select(F.col("fp").alias("node"), F.col("root").alias("value")), "families")
+    members = stored(families.join(classes.drop("bands"), "node"), "members")
     # The row with a node's smallest id has its text; rows that repeat the id with another text have other nodes.
-    wanted = stored(classes.join(nodes, "node").select(F.col("least").alias("_least")).distinct(), "wanted")
+    wanted = stored(members.select(F.col("least").alias("_least")).distinct(), "wanted")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(join_side(wanted), F.col("_id").eqNullSafe(F.col("_least")), "left_semi")
-    sets = stored(_shingle_sets(texts, width, seed, "_id", "_text").join(join_side(nodes), "node", "left_semi").dropDuplicates(["node"]), "shingles")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_one")).join(join_side(pairs), "a")
-        both = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_other")), "b")
-        common = F.size(F.array_intersect("_one", "_other"))
-        return both.filter(common / (F.size("_one") + F.size("_other") - common) >= similarity).select("a", "b")
-
-    edges = stored(alike(proposed), "links")
-    roots = stored(components(edges), "roots")
-    label = roots.select(F.col("fp").alias("node"), "root")
-    again = keyed.join(nodes, "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = stored(_dealt_shards(again, ["n", *names, "root"], block, task_rows).applyInPandas(lambda x: _shard_pairs(x, names, radius, similarity), "a long, b long").distinct(), "proposed")
-    edges = stored(edges.unionByName(alike(rest.join(proposed, ["a", "b"], "left_anti"))), "links")
-    roots = stored(components(edges), "roots")
-    rooted = classes.join(roots.select(F.col("fp").alias("node"), "root"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.join(smallest, "root").select("node", "component_id"), "named")
-    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    sets = _shingle_sets(texts, width, seed, "_id", "_text").join(join_side(members.select("node", "n", "value", *names)), "node")
+    held = stored(sets.select("node", "shingles", "n", *names, F.lit(0).alias("band"), "value"), "shingles")
+    dealt = _dealt_shards(held, ["n", *names, "shingles"], shingles, 2 * shingles, weight="n")
+    edges = stored(dealt.applyInPandas(lambda x: _family_links(x, names, radius, similarity), "a long, b long").distinct(), "links")
+    roots = stored(components(edges).select(F.col("fp").alias("node"), "root"), "roots")
+    rooted = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    smallest = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    named = stored(_looked_up(rooted, smallest, "root", "node").select("node", "component_id"), "named")
+    return _looked_up(prints.select("doc_id", "node"), named, "node", "doc_id").select("doc_id", "component_id")

@@ -423,12 +423,69 @@ def test_near_copies_are_checked_by_their_shingles(spark):
         assert not wrong, wrong
 
 
-def test_spanning_pairs_are_given_pairs_and_connect():
+def test_near_copies_of_families_at_all_similarities(spark):
+    """Recall and precision against all pairs: families whose texts are 0.5 to 1 alike, most of them near the threshold."""
+    rng = np.random.default_rng(21)
+    data = []
+    for size, most in ((60, 14), (40, 30), (80, 9), (30, 45)):
+        base = [f"w{rng.integers(10**9)}" for _ in range(300)]
+        for _ in range(size):
+            copy = list(base)
+            for p in rng.choice(300, rng.integers(0, most), replace=False):
+                copy[p] = f"x{rng.integers(10**9)}"
+            data.append((len(data), " ".join(copy)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in data)]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = simhash._forest_of(len(sets), *(np.array([p[k] for p in pairs]) for k in (0, 1)))
+    assert 20 < len(set(root)) < len(sets) - 50
+    for block, shingles in ((4096, 1 << 22), (16, 3000)):
+        got = simhash.near_copies(spark.createDataFrame(data, "doc_id long, text string"), block=block, shingles=shingles).collect()
+        linked = np.array([r["component_id"] for r in sorted(got, key=lambda r: r["doc_id"])])
+        caught = np.mean([linked[i] == linked[j] for i, j in pairs])
+        assert caught >= 0.99
+        assert all(root[linked[i]] == root[i] for i in range(len(sets)))  # no link between texts that are not alike
+
+
+def test_repeated_ids_and_rows_of_near_copies(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    data = [(5, text)] * 40 + [(5, "another text of this id"), (6, text + " end"), (None, text), (7, None), (8, "")]
+    got = simhash.near_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(got) == len(data)
+    assert sorted({(r["doc_id"], r["component_id"]) for r in got}, key=str) == sorted({(5, 5), (6, 5), (None, 5), (7, 7), (8, 7)}, key=str)
+
+
+@pytest.mark.parametrize("rows", [1000, 10**9, 10**12])
+def test_fingerprints_within_the_radius_share_a_key(spark, rows):
+    rng = np.random.default_rng(9)
+    one = rng.integers(0, 2**64, 200, dtype="uint64")
+    other = one.copy()
+    for i in range(200):
+        for bit in rng.choice(64, 4, replace=False):
+            other[i] ^= np.uint64(1) << np.uint64(bit)
+    keys = simhash.band_keys(4, rows, 4096)
+    df = spark.createDataFrame([(i, int(v)) for x in (one, other) for i, v in enumerate(x.view("int64"))], "i long, fp long")
+    got = df.select("i", F.array(*keys).alias("keys")).collect()
+    both = {}
+    for r in got:
+        both.setdefault(r["i"], []).append(r["keys"])
+    assert all(any(x == y for x, y in zip(*pair)) for pair in both.values())
+    assert len(keys) == {1000: 5, 10**9: 15, 10**12: 70}[rows] or rows == 10**12 and len(keys) > 15
+
+
+def test_tree_links_join_the_same_nodes_without_a_hub():
     rng = np.random.default_rng(8)
-    a, b, w = rng.integers(0, 60, 90), rng.integers(0, 60, 90), rng.integers(0, 5, 90)
-    picked = simhash._spanning(60, a, b, w)
-    assert (simhash._forest_of(60, a[picked], b[picked]) == simhash._forest_of(60, a, b)).all()
-    assert len(picked) == 60 - len(set(simhash._forest_of(60, a, b)))
+    nodes, label = np.sort(rng.choice(10**9, 3000, replace=False)), rng.integers(0, 3, 3000)
+    root = np.array([np.flatnonzero(label == x)[0] for x in range(3)])[label]
+    found = simhash._tree_links(nodes, root)
+    a, b = (np.searchsorted(nodes, found[c].to_numpy()) for c in ("a", "b"))
+    assert (simhash._forest_of(3000, a, b) == root).all() and len(a) == 3000 - 3
+    assert max(np.bincount(a, minlength=3000) + np.bincount(b, minlength=3000)) <= simhash.DEGREE + 1
+
+
+def test_components_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 400)], "a long, b long")
+    assert {(r["fp"], r["root"]) for r in simhash.components(chain).collect()} == {*((i, 0) for i in range(101)), (400, 400), (500, 400)}
 
 
 def test_pipeline_removes_passages_that_stand_on_few_sites(spark):
