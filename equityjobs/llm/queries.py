@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +10,13 @@ from equityjobs.llm.shared import scratch_path
 
 #: A line on so many of the distinct sources is boilerplate.
 LINE_SITES = 12
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def _tokenizer() -> str:
+    import public_tokenizers  # only where a tokenizer is needed
+
+    return public_tokenizers.path(TOKENIZER)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +40,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token_ids")
-    binary_output.write_ids(_documents(spark, sf_dir), path, TOKENIZER, end_id=2)
+    binary_output.write_ids(_documents(spark, sf_dir), path, _tokenizer(), end_id=2)
     return binary_output.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -45,7 +50,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_digest(_documents(spark, sf_dir), TOKENIZER, end_id=0, capacity=1024)
+    return packing.packed_digest(_documents(spark, sf_dir), _tokenizer(), end_id=0, capacity=1024)
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:

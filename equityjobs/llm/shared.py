@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,41 @@ def join_side(narrow: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(narrow) if narrow.count() <= most_rows else narrow
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
+    """``rows`` joined with the stored narrow ``table`` (one row for each ``key``), however many rows share a key.
+
+    A table of counted size is broadcast; a larger one is copied to ``salts`` salts, over which ``spread`` deals each key's rows.
+    """
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key)
+    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(13), spread), F.lit(salts)).cast("int"))
+    return salted_rows.join(table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "_salt"]).drop("_salt")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, and the name of that column (none that ``docs`` has).
+
+    The number is the row's place in its file, so every evaluation gives the same, however the scan is split and
+    whatever executors are lost. ``docs`` is a scan of Parquet files, columns and filters apart; a table that is none
+    is stored first (the result of joins over scans is to be stored by the caller).
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    try:
+        places = docs.select(docs.metadataColumn("_metadata").getField("file_path").alias("_file"))
+        places.schema  # noqa: B018  (analysis happens here)
+    except AnalysisException:
+        return numbered(stored(docs, "rows"))
+    # One row for each file.
+    files = places.distinct().select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("long").alias("_number"))
+    meta = docs.metadataColumn("_metadata")
+    # All columns of a row travel in one struct, so no name can clash.
+    placed = docs.select(F.struct("*").alias("_doc"), meta.getField("file_path").alias("_file"), meta.getField("row_index").alias("_index"))
+    number = F.shiftleft(F.col("_number"), 40) + F.col("_index")
+    return placed.join(F.broadcast(stored(files, "files")), "_file").select("_doc.*", number.alias(name)), name
+
+
 def salt_count(spark: SparkSession) -> int:
     """Salts per key: a few per shuffle partition, so that one key's rows spread over all tasks."""
     return max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))

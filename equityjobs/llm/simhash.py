@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from equityjobs.llm.shared import BROADCAST_ROWS, join_side, stored
+from equityjobs.llm.shared import join_side, looked_up, stored
 from equityjobs.llm.tokens import sliced, texts_of
 
 #: Blanks that part words, as in the pattern [^\x20\x09-\x0D]+.
@@ -379,17 +379,6 @@ def links(prints: DataFrame, radius: int = 4, block: int = 4096, task_rows: int
     return _linked_shards(keyed, ["fp"], radius, block, task_rows)
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
-    """``rows`` joined with the stored narrow ``table`` (one row for each ``key``), however many rows share a key.
-
-    A table of counted size is broadcast; a larger one is copied to ``salts`` salts, over which ``spread`` deals each key's rows.
-    """
-    if table.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), key)
-    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(13), spread), F.lit(salts)).cast("int"))
-    return salted_rows.join(table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "_salt"]).drop("_salt")
-
-
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """fp, root: the smallest linked fingerprint of every fingerprint in ``edges`` (stored), by minimum labels.
 
@@ -405,7 +394,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Only roots are looked up: one row for each, however many rows have it.
         used = label.groupBy("root").agg(F.lit(1).alias("_used")).select(F.col("root").alias("fp"))
         jump = stored(label.join(used, "fp", "left_semi").select(F.col("fp").alias("root"), F.col("root").alias("_up")), "jump")
-        new = stored(_looked_up(low, jump, "root", "fp").select("fp", "_old", F.least("root", "_up").alias("root")), "labels")
+        new = stored(looked_up(low, jump, "root", "fp").select("fp", "_old", F.least("root", "_up").alias("root")), "labels")
         label = new.select("fp", "root")
         if not new.filter("_old != root").limit(1).count():
             return label
@@ -424,9 +413,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int
     roots = stored(components(edges), "roots")
     classed = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(_looked_up(classed, stored(smallest, "smallest"), "root", "fp").select("fp", "component_id"), "named")
+    named = stored(looked_up(classed, stored(smallest, "smallest"), "root", "fp").select("fp", "component_id"), "named")
     # A fingerprint that very many rows share is one row of ``named``; its rows are dealt over salts.
-    return _looked_up(prints, named, "fp", "doc_id").select("doc_id", "fp", "component_id")
+    return looked_up(prints, named, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def _differing(common: int, one: int, other: int) -> float:
@@ -496,5 +485,5 @@ def near_copies(
     roots = stored(components(edges).select(F.col("fp").alias("node"), "root"), "roots")
     rooted = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
-    named = stored(_looked_up(rooted, smallest, "root", "node").select("node", "component_id"), "named")
-    return _looked_up(prints.select("doc_id", "node"), named, "node", "doc_id").select("doc_id", "component_id")
+    named = stored(looked_up(rooted, smallest, "root", "node").select("node", "component_id"), "named")
+    return looked_up(prints.select("doc_id", "node"), named, "node", "doc_id").select("doc_id", "component_id")

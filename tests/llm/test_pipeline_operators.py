@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from equityjobs.llm import binary_output, language_id, line_dedup, mixing, packing, sharding, simhash, tokens
+from equityjobs.llm import binary_output, language_id, line_dedup, mixing, packing, sharding, shared, simhash, tokens
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -310,20 +310,48 @@ def test_tree_search_finds_all_within_the_radius():
 # --- op 10 ------------------------------------------------------------------------------------------------
 
 
-def test_boilerplate_goes_from_all_but_the_first(spark, empty):
-    common, rare = "Terms of use apply.", "Only here and there."
-    data = [(i, f"own line {i}\n{common} \n\n{rare if i in (1, 2) else 'x' + str(i)}\n{common}", f"s{i % 4}" if i != 7 else None, "keep") for i in range(8)]
-    data += [(8, None, "s0", "keep"), (9, "", "s1", "keep"), (10, common, "s0", "keep"), (0, data[0][1], "s0", "keep")]
-    df = spark.createDataFrame(data, "doc_id long, text string, source string, _known string")
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_boilerplate_goes_from_all_but_the_first(spark, empty, monkeypatch, broadcast):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast)
+    common, rare, lost = "Terms of use apply.", "Only here and there.", "Of rows without an id."
+    data = [(i, f"own line {i}\n{common} \n\n{rare if i in (1, 2) else 'x' + str(i)}\n{common}", f"s{i % 4}" if i != 7 else None, "keep", 5) for i in range(8)]
+    data += [(8, None, "s0", "keep", 5), (9, "", "s1", "keep", 5), (10, common, "s0", "keep", 5), (0, data[0][1], "s0", "keep", 5)]
+    data += [(None, f"{lost}\nnull {k}\n{common}\n{lost}", f"s{k}", "null", 5) for k in range(4)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, _known string, lines_removed long")
     got = {}
     for r in line_dedup.dedup_lines(df, sites=4).collect():
         got.setdefault(r["doc_id"], []).append((r["text"], r["lines_removed"], r["_known"]))
-    assert got[0] == [("own line 0\n" + common + " \n\nx0", 1, "keep")] * 2
+    # Of the two rows that have the smallest id, one keeps the line.
+    assert sorted(got[0]) == [("own line 0\n\nx0", 2, "keep"), ("own line 0\n" + common + " \n\nx0", 1, "keep")]
     assert got[1] == [("own line 1\n\n" + rare, 2, "keep")] and got[7][0][0] == "own line 7\n\nx7"
     assert got[8] == [(None, 0, "keep")] and got[9] == [("", 0, "keep")] and got[10] == [("", 1, "keep")]
+    # A line that only rows without an id have stays once.
+    assert sorted(x[1] for x in got[None]) == [2, 3, 3, 3] and sum(x[0].count(lost) for x in got[None]) == 1
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_very_long_texts_and_hot_lines_of_line_dedup(spark):
+    long = "\n".join(f"line {i % 5000}" for i in range(60_000))
+    df = spark.createDataFrame([(0, long, "a"), (1, long + "\nend", "b"), *((i, "line 7\nx", f"s{i}") for i in range(2, 400))], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, sites=3).collect()}
+    assert got[0] == long.replace("line 7\n", "\0", 1).replace("line 7\n", "").replace("\0", "line 7\n") and got[1].endswith("line 4999\nend") and "line 7\n" not in got[1]
+    assert got[2] == "x" and all(got[i] == "" for i in range(3, 400))
+
+
+def test_row_numbers_do_not_depend_on_splits(spark, docs):
+    table = shared.stored(docs.select("*", F.lit(3).alias("_row")).repartition(5), "rows")
+    rows, row = shared.numbered(table)
+    assert row == "_row_" and rows.columns == [*table.columns, "_row_"]
+    first = {(r[row], r["doc_id"], r["text"]) for r in rows.collect()}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        again = {(r[row], r["doc_id"], r["text"]) for r in rows.repartition(7).filter("true").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert first == again and len({r[0] for r in first}) == docs.count()
+
+
 def test_spread_near_the_threshold_is_exact(spark):
     data = [(n, f"site{k}") for n in range(20, 61) for k in range(n)]
     df = spark.createDataFrame(data, "h long, site string")
@@ -483,7 +511,7 @@ def test_tree_links_join_the_same_nodes_without_a_hub():
 
 
 def test_components_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
     chain = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 400)], "a long, b long")
     assert {(r["fp"], r["root"]) for r in simhash.components(chain).collect()} == {*((i, 0) for i in range(101)), (400, 400), (500, 400)}
 
