@@ -7,18 +7,16 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equityjobs.llm import language_id, line_dedup, mixing, packing, simhash
-from equityjobs.llm.shared import join_side, stored
+from equityjobs.llm.shared import join_side, numbered, stored
 
 #: A line on so many distinct sources is boilerplate; for a line of over LONG_LINE_WORDS words, LONG_LINE_SITES are enough.
 LINE_SITES = 6
 LONG_LINE_SITES = 4
 LONG_LINE_WORDS = 50
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 WINDOW = 1024
 
@@ -38,30 +36,38 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return cleaned.select(*[n_chars.alias("n_chars") if c == "n_chars" else c for c in docs.columns])
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """A number for each row of the stored table, so that rows that repeat an id stay apart."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
-
-
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates on five-word shingles, one document stays."""
-    rows = _numbered(docs)
-    found = simhash.near_copies(rows.select("_row", "text"), id_col="_row")
-    others = stored(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_row")), "near_copies")
-    return rows.join(join_side(others), "_row", "left_anti").select(*docs.columns)
+    """Of each component of near duplicates on five-word shingles, one document stays.
+
+    Texts without a word are copies of each other. Rows are told apart by their place in the stored table, so
+    null and repeated ids are documents of their own. An empty table stays empty; columns of any name are kept.
+    """
+    rows, row = numbered(docs)
+    found = simhash.near_copies(rows.select(row, "text"), id_col=row)
+    others = stored(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(row)), "near_copies")
+    return rows.join(join_side(others), row, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents that it does not take go."""
-    rows = _numbered(docs)
-    taken = mixing.mix(rows.select("_row", "text", "source"), id_col="_row").filter("copies > 0").select(F.col("doc_id").alias("_row"), "copies")
-    times = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")
-    return rows.join(join_side(stored(taken, "copies")), "_row").select(*docs.columns, times).drop("_copy")
+    """Each document as often as the mix takes it; documents that it does not take go.
+
+    A null source is a source of its own, a text without a word is taken once. An empty table stays empty;
+    columns of any name are kept.
+    """
+    rows, row = numbered(docs)
+    taken = mixing.mix(rows.select(row, "text", "source"), id_col=row).filter("copies > 0").select(F.col("doc_id").alias(row), F.array_repeat(F.lit(1), F.col("copies")).alias(row + "copies"))
+    both = rows.join(join_side(stored(taken, "copies")), row)
+    return both.select(*docs.columns, F.explode(row + "copies").alias(row + "copy")).drop(row + "copy")
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, length, doc_tokens, ids, sequence_id, offset: the packed pieces with their token ids."""
-    pieces = stored(packing.pieces_of(docs, TOKENIZER, END_ID, WINDOW), "pieces", compression="zstd")
+    """doc_id, start, length, doc_tokens, ids, sequence_id, offset: the packed pieces with their token ids.
+
+    A null or empty text is the end id alone; an empty table gives no rows; other columns are left out.
+    """
+    import public_tokenizers
+
+    pieces = stored(packing.pieces_of(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, WINDOW), "pieces", compression="zstd")
     return packing.pack(pieces, WINDOW).select("doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset")
 
 
