@@ -23,8 +23,8 @@ def brute_top(vectors, asks, k):
     return out
 
 
-@pytest.mark.parametrize("shape", ["plain", "ties", "few", "large"])
-def test_top_k_matches_brute_force(spark, shape):
+@pytest.mark.parametrize("shape, cells", [("plain", 256), ("ties", 256), ("few", 256), ("large", 1), ("clusters", 4)])
+def test_top_k_matches_brute_force(spark, shape, cells):
     rng = np.random.default_rng(7)
     n, d = (4, 3) if shape == "few" else (700, 8)
     v = rng.integers(-300, 300, (n, d))
@@ -32,9 +32,11 @@ def test_top_k_matches_brute_force(spark, shape):
         v[100:600] = v[3]
     if shape == "large":
         v = v * 10**6
+    if shape == "clusters":
+        v = v[:9][rng.integers(0, 9, n)] + rng.integers(-4, 4, (n, d))
     rows = [(i, [float(x) / 256 for x in row], "clash") for i, row in enumerate(v)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block string")
-    got = topk.top_k(topk.scaled(df), F.col("vec_id") % 50 == 0, k=5, block_rows=200, query_rows=6, run=2).collect()
+    got = topk.top_k(topk.scaled(df), F.col("vec_id") % 50 == 0, k=5, block_rows=100, query_rows=6, run=2, cells=cells).collect()
     vectors = {i: [int(x) for x in row] for i, row in enumerate(v)}
     assert sorted(map(tuple, got)) == brute_top(vectors, [i for i in vectors if i % 50 == 0], 5)
 
@@ -49,15 +51,60 @@ def test_bad_vectors_take_no_part(spark):
     assert topk.top_k(ints.filter("vec_id < 0"), F.lit(True)).count() == 0 and topk.top_k(ints, F.lit(False)).count() == 0
 
 
-def test_trees_cover_their_points():
+def clustered(rng, n, d, families, spread):
+    return rng.integers(-300, 300, (families, d))[rng.integers(0, families, n)] + rng.integers(-spread, spread + 1, (n, d))
+
+
+@pytest.mark.parametrize("kind", ["even", "clusters", "equal"])
+def test_cover_trees_halve_their_radii(kind):
     rng = np.random.default_rng(1)
-    tree = topk.CoverTree.build(np.arange(500), rng.integers(-99, 99, (500, 5)), 20)
-    again = topk.CoverTree.from_bytes(tree.to_bytes())
+    points = {"even": rng.integers(-99, 99, (600, 3)), "clusters": clustered(rng, 600, 6, 12, 5), "equal": np.full((600, 4), 7)}[kind]
+    tree = topk.CoverTree.build(np.arange(600), points)
+    again, levels = topk.CoverTree.from_bytes(tree.to_bytes()), {0: 0}
+    assert sorted(again.ids) == list(range(600)) and (again.points == points[again.ids]).all()
     for node in range(len(again.radii)):
         far = np.sqrt(((again.points[again.low[node] : again.high[node]] - again.centres[node]) ** 2).sum(axis=1)).max()
-        assert far <= again.radii[node] + 1e-9
-        kids = again.children(node)
-        assert not kids or (again.low[kids[0]] == again.low[node] and again.high[kids[-1]] == again.high[node])
+        assert far <= again.radii[node] * (1 + 1e-9)
+        kids = np.arange(again.child_low[node], again.child_high[node])
+        if not len(kids):
+            assert again.high[node] - again.low[node] <= topk.LEAF or again.radii[node] == 0
+            continue
+        assert again.low[kids[0]] == again.low[node] and again.high[kids[-1]] == again.high[node] and (again.low[kids[1:]] == again.high[kids[:-1]]).all()
+        assert (again.radii[kids] <= again.radii[node] / 2 * (1 + 1e-9)).all()  # covering
+        gaps = np.sqrt(((again.centres[kids][:, None] - again.centres[kids][None]) ** 2).sum(axis=2)) + 1e9 * np.eye(len(kids))
+        assert gaps.min() > again.radii[node] / 2 * (1 - 1e-9) and (again.centres[kids[0]] == again.centres[node]).all()  # separation, nesting
+        levels |= {int(c): levels[node] + 1 for c in kids}
+    assert max(levels.values()) >= {"even": 3, "clusters": 2, "equal": 0}[kind]
+
+
+def test_the_descent_prunes_and_stays_exact():
+    rng = np.random.default_rng(3)
+    points = clustered(rng, 3000, 16, 60, 3)
+    asks = points[rng.integers(0, 3000, 200)] + rng.integers(-2, 3, (200, 16))
+    found = topk.Search(topk.CoverTree.build(np.arange(10_000, 10_200), asks), 5)
+    for half in (slice(0, 1500), slice(1500, 3000)):
+        found.add(topk.CoverTree.build(np.arange(3000)[half], points[half]))
+    scores = asks @ points.T
+    best = {10_000 + i: sorted(zip((-scores[i]).tolist(), range(3000)))[:5] for i in range(200)}
+    got = found.rows()
+    assert {q: sorted(zip((-g["score"]).tolist(), g["vec_id"].tolist())) for q, g in got.groupby("query_id")} == best
+    assert found.compared < 0.25 * 200 * 3000  # most pairs are dropped with their nodes
+
+
+def test_whole_cells_are_skipped(spark):
+    rng = np.random.default_rng(4)
+    v = clustered(rng, 2000, 8, 10, 2)
+    df = spark.createDataFrame([(i, [int(x) for x in row]) for i, row in enumerate(v)], "vec_id long, v array<long>")
+    spent = topk.top_k(df, F.col("vec_id") % 20 == 0, k=5, block_rows=200, query_rows=10, stats=True).collect()
+    assert 0 < sum(r["compared"] for r in spent) < 0.3 * 100 * 2000
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=5, block_rows=200, query_rows=10).collect()
+    assert sorted(map(tuple, got)) == brute_top({i: [int(x) for x in row] for i, row in enumerate(v)}, range(0, 2000, 20), 5)
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    df = spark.createDataFrame([(0, [2**40, 1]), (1, [2**40, 5])], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(df, F.lit(True)).collect()
 
 
 # --- op 7 -------------------------------------------------------------------------------------------------
