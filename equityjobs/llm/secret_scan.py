@@ -2,8 +2,10 @@
 
 The features of a candidate are its length and classes of characters, how likely its character transitions and how
 well covered its letters are by the corpus (both counted over all texts), and how often labelled findings
-with the same path or neighbouring words were secrets. The forest is grown here, in numpy, from a bounded
-sample of labelled findings.
+with the same path or neighbouring words were secrets (for a training row, counted without its own fold). The
+forest is grown here, in numpy, from a bounded sample of labelled findings. Where there are none, known shapes and
+assignments label the candidates; such a forest is blind to what those rules read (the word and the marks before the
+value), so it has to tell secrets by the value, the path and the other words.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equityjobs.llm.shared import stored
+from equityjobs.llm.tokens import sliced
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
 #: Shapes that count as a labelled secret where no labels are given: provider keys and quoted assignments.
@@ -143,7 +146,7 @@ def candidates(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 256):
             rows: list[tuple] = []
             for key, text, path in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for a, b, kind in _spans(text or ""):
@@ -207,34 +210,63 @@ class Tree:
         return value[node]
 
 
+#: Features, and the column of words, that the labels of known shapes come from.
+_READ = [NUMBERS.index("quoted"), NUMBERS.index("assigned")]
+
+
+def unread(word: str) -> str:
+    """The word before a value, or '' where the labelling rules read it."""
+    return "" if any(n in word for n in NAMES) else word
+
+
 @dataclass
 class Forest:
-    """Trees on bootstrap samples, and the log odds of a secret by path and neighbouring words."""
+    """Trees on bootstrap samples, and the log odds of a secret by path and neighbouring words (path, before, after)."""
 
     odds: list[dict[str, float]]
     trees: list[Tree]
+    blind: bool = False
 
-    def features(self, numbers: np.ndarray, words: list[list[str]]) -> np.ndarray:
-        return np.column_stack([numbers, *([o.get(w, 0.0) for w in column] for o, column in zip(self.odds, words))])
+    def features(self, numbers: np.ndarray, words: list[list[str]], odds: list[dict[str, float]] | None = None) -> np.ndarray:
+        if self.blind:
+            numbers = numbers.copy()
+            numbers[:, _READ] = 0.0
+            words = [words[0], [unread(w) for w in words[1]], words[2]]
+        return np.column_stack([numbers, *([o.get(w, 0.0) for w in column] for o, column in zip(odds or self.odds, words))])
 
     def scores(self, numbers: np.ndarray, words: list[list[str]]) -> np.ndarray:
         x = self.features(numbers, words)
         return np.mean([t.predict(x) for t in self.trees], axis=0) if self.trees else np.zeros(len(numbers))
 
 
-def fit_forest(numbers: np.ndarray, words: list[list[str]], labels: np.ndarray, trees: int = 25, depth: int = 8, seed: int = 3) -> Forest:
-    """A forest from labelled findings; without both kinds of labels it scores every candidate by their share."""
-    rng, odds = np.random.default_rng(seed), []
-    prior = (labels.sum() + 1) / (len(labels) + 2)
+def _odds(words: list[list[str]], labels: np.ndarray, rows: np.ndarray) -> list[dict[str, float]]:
+    """Log odds of a secret by word over the overall odds, smoothed, from the given rows, for words of at least two of them."""
+    prior, out = (labels[rows].sum() + 1) / (len(rows) + 2), []
     for column in words:
         seen: dict[str, list[float]] = {}
-        for w, y in zip(column, labels):
-            total = seen.setdefault(w, [2 * prior, 2.0])
-            total[0] += y
+        for i in rows:
+            total = seen.setdefault(column[i], [2 * prior, 2.0])
+            total[0] += labels[i]
             total[1] += 1
-        odds.append({w: float(np.log(a / n / (1 - a / n)) - np.log(prior / (1 - prior))) for w, (a, n) in seen.items() if n > 3})
-    forest = Forest(odds, [])
-    x = forest.features(numbers, words)
+        out.append({w: float(np.log(a / n / (1 - a / n)) - np.log(prior / (1 - prior))) for w, (a, n) in seen.items() if n > 3})
+    return out
+
+
+def fit_forest(numbers: np.ndarray, words: list[list[str]], labels: np.ndarray, trees: int = 25, depth: int = 8, seed: int = 3, folds: int = 5, blind: bool = False) -> Forest:
+    """A forest from labelled findings; without both kinds of labels it scores every candidate by their share.
+
+    A training row's odds are counted over the other ``folds``, so that its own label is in none of its features.
+    """
+    rng = np.random.default_rng(seed)
+    if blind:
+        words = [words[0], [unread(w) for w in words[1]], words[2]]
+    everyone = np.arange(len(labels))
+    forest = Forest(_odds(words, labels, everyone), [], blind)
+    fold = rng.permutation(len(labels)) % folds
+    x = np.empty((len(labels), len(NUMBERS) + len(words)))
+    for f in range(folds):
+        mine = np.flatnonzero(fold == f)
+        x[mine] = forest.features(numbers[mine], [[c[i] for i in mine] for c in words], _odds(words, labels, np.flatnonzero(fold != f)))
     for _ in range(trees):
         pick = rng.integers(0, len(x), len(x))
         tree = Tree()
@@ -243,7 +275,7 @@ def fit_forest(numbers: np.ndarray, words: list[list[str]], labels: np.ndarray,
     return forest
 
 
-def train(found: DataFrame, label: Column, most: int = 4000, seed: int = 5) -> Forest:
+def train(found: DataFrame, label: Column, most: int = 4000, seed: int = 5, blind: bool = False) -> Forest:
     """Fit on at most about ``most`` of the stored candidates with a label, half of them from each kind, drawn by hash."""
     labelled = found.withColumn("label", label).filter(F.col("label").isNotNull())
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -251,9 +283,9 @@ def train(found: DataFrame, label: Column, most: int = 4000, seed: int = 5) -> F
     drawn = labelled.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(1 << 20)) < share * (1 << 20))
     rows = sorted(drawn.select("numbers", "path", "before", "after", "label", "sha256").collect(), key=lambda r: (r["sha256"], r["path"], r["before"], r["after"], r["numbers"]))
     if not rows:
-        return Forest([{}, {}, {}], [])
+        return Forest([{}, {}, {}], [], blind)
     words = [[r[c] for r in rows] for c in ("path", "before", "after")]
-    return fit_forest(np.array([r["numbers"] for r in rows]), words, np.array([r["label"] for r in rows], int))
+    return fit_forest(np.array([r["numbers"] for r in rows]), words, np.array([r["label"] for r in rows], int), blind=blind)
 
 
 def score(found: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id", "start", "length", "sha256", "shaped")) -> DataFrame:
@@ -271,18 +303,27 @@ def score(found: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id", "
     return found.select(*inputs).mapInArrow(run, f"{kinds}, score double")
 
 
+def quality(found: DataFrame, forest: Forest, label: Column, threshold: float = 0.5) -> tuple[float, float]:
+    """(precision, recall) of the forest on the stored candidates that have the label."""
+    kept = score(found.withColumn("_label", label).filter("_label is not null"), forest, ("_label",))
+    hit = F.col("score") >= threshold
+    row = kept.agg(*(F.count(F.when(c, 1)).alias(n) for n, c in (("both", hit & F.col("_label")), ("found", hit), ("there", F.col("_label"))))).first()
+    return row["both"] / max(1, row["found"]), row["both"] / max(1, row["there"])
+
+
 def scan(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5, most: int = 4000, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """doc_id, start, length, sha256, score: candidates that the forest takes for secrets.
 
     ``labels`` (doc_id, start, secret) are labelled findings; without them, candidates are labelled by known
-    shapes, and those of documents whose crc32(id) mod 3 is 1 are left out of the training. Repeated rows are
-    scanned alike; empty tables give no rows.
+    shapes and assignments, which the forest's features then leave out, and those of documents whose crc32(id) mod 3 is 1
+    take no part in the training. Repeated rows are scanned alike; null and empty texts have no candidate;
+    empty tables, and tables without a candidate, give no rows.
     """
     corpus = corpus_statistics(docs, text_col)
     found = stored(candidates(docs, corpus, id_col, text_col, path_col), "candidates")
     if labels is None:
         label = F.when(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 != 1, F.col("shaped"))
-        forest = train(found, label, most)
+        forest = train(found, label, most, blind=True)
     else:
         forest = train(found.join(labels, ["doc_id", "start"], "left"), F.col("secret"), most)
     return score(found, forest).filter(F.col("score") >= threshold).select("doc_id", "start", "length", "sha256", "score")
