@@ -1,7 +1,7 @@
 """Media columns: AVI files with motion-JPEG frames, read into timed clips.
 
 Reading parses the RIFF chunks and the ``idx1`` index, decodes the baseline JPEG frames (any Huffman tables,
-one or more components; all restart intervals of a file side by side) and detects shots where the luma histogram
+one or more components; the restart intervals of all frames of many files side by side) and detects shots where the luma histogram
 changes by more than recent changes let expect. Writing stores bytes losslessly: each block of 64 bytes is the
 64 quantised DCT coefficients of one 8x8 block, 256 + byte, so every coefficient has the same category and code.
 """
@@ -12,16 +12,22 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from equityjobs.llm.tokens import sliced
+
 SIDE = 4
 BLOCKS = SIDE * SIDE
 FRAME_US = 40_000
+#: Bytes of files that are decoded side by side.
+STEP = 2_000_000
+#: What reading a file that is no readable AVI file raises.
+BROKEN = (ValueError, KeyError, IndexError, struct.error)
 #: Luma histogram bins, and how many earlier differences the threshold of a cut looks at.
 BINS, MEMORY = 16, 8
 
@@ -180,57 +186,86 @@ def _lookup(lengths: bytes, symbols: bytes) -> np.ndarray:
     return table
 
 
-def _blocks(lanes: list[bytes], counts: np.ndarray, jpeg: Jpeg) -> tuple[np.ndarray, np.ndarray]:
-    """Scan-order coefficients of all blocks of all restart intervals, and each block's component.
+def _blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, jpeg: Jpeg) -> tuple[np.ndarray, np.ndarray]:
+    """Scan-order coefficients of all blocks of all restart intervals (lanes), and each block's component.
 
-    ``counts`` has the coded units (MCUs) of each interval. Each step decodes the next symbol of every interval.
+    A lane is ``data[start:end]``, without escapes; ``counts`` has its coded units (MCUs). Each step decodes the next
+    symbol of every lane.
     """
     pattern = np.repeat(np.arange(len(jpeg.parts)), [h * v if len(jpeg.parts) > 1 else 1 for h, v, *_ in jpeg.parts])
-    tables = np.stack([_lookup(*jpeg.codes[kind | number]) for _, _, _, dc, ac in jpeg.parts for kind, number in ((0x00, dc), (0x10, ac))])
+    tables = np.stack([_lookup(*jpeg.codes[kind | number]) for _, _, _, dc, ac in jpeg.parts for kind, number in ((0x00, dc), (0x10, ac))]).ravel()
     per_lane = counts * len(pattern)
     base = np.cumsum(per_lane) - per_lane
     out = np.zeros((int(per_lane.sum()), 64), "i4")
-    sizes = np.array([len(x) + 8 for x in lanes])
-    data = np.frombuffer(b"".join(x + b"\0" * 8 for x in lanes), "u1").astype("i8")
-    bit = (np.cumsum(sizes) - sizes) * 8
-    limit = bit + sizes * 8 - 40
-    done, k = np.zeros(len(lanes), "i8"), np.zeros(len(lanes), "i8")
-    last = np.zeros((len(lanes), len(jpeg.parts)), "i8")
+    # The 40 bits that start at each byte.
+    wide = np.concatenate([data, np.zeros(8, "u1")]).astype("i8")
+    wide = wide[:-4] << 32 | wide[1:-3] << 24 | wide[2:-2] << 16 | wide[3:-1] << 8 | wide[4:]
+    bit, limit = starts * 8, ends * 8
+    done, k = np.zeros(len(starts), "i8"), np.zeros(len(starts), "i8")
+    last = np.zeros((len(starts), len(jpeg.parts)), "i8")
     live = np.flatnonzero(per_lane > 0)
     while len(live):
         b = bit[live]
-        if (b > limit[live]).any():
-            raise ValueError("a scan ends too early")
-        byte = b >> 3
-        window = data[byte] << 32 | data[byte + 1] << 24 | data[byte + 2] << 16 | data[byte + 3] << 8 | data[byte + 4]
+        window = wide[b >> 3]
         free = 40 - (b & 7)
         window &= (1 << free) - 1
-        part, at = pattern[done[live] % len(pattern)], k[live]
-        found = tables[2 * part + (at > 0), window >> (free - 16) & 0xFFFF]
-        if (found == 0).any():
+        at = k[live]
+        part = pattern[done[live] % len(pattern)]
+        found = tables[((2 * part + (at > 0)) << 16) + (window >> (free - 16))]
+        if not found.all():
             raise ValueError("a code that is in no table")
         length, symbol = found >> 8, found & 255
         extra = symbol & 15
         value = window >> (free - length - extra) & ((1 << extra) - 1)
         value = np.where((extra > 0) & (value < (1 << np.maximum(extra - 1, 0))), value - (1 << extra) + 1, value)
-        bit[live] = b + length + extra
+        b += length + extra
+        if (b > limit[live]).any():
+            raise ValueError("a scan ends too early")
+        bit[live] = b
         row, dc = base[live] + done[live], at == 0
-        last[live[dc], part[dc]] += value[dc]
-        out[row[dc], 0] = last[live[dc], part[dc]]
+        if dc.any():
+            last[live[dc], part[dc]] += value[dc]
+            out[row[dc], 0] = last[live[dc], part[dc]]
         run = symbol >> 4
         spot = at + np.where(dc, 0, run)
         put = ~dc & (extra > 0) & (spot < 64)
         out[row[put], spot[put]] = value[put]
         stop = ~dc & (extra == 0) & (run != 15)
         k[live] = np.where(stop, 64, spot + 1)
-        ended = live[k[live] >= 64]
-        done[ended] += 1
-        k[ended] = 0
-        live = live[done[live] < per_lane[live]]
-    owner = np.concatenate([np.tile(pattern, n) for n in counts]) if len(counts) else np.zeros(0, int)
+        over = k[live] >= 64
+        if over.any():
+            ended = live[over]
+            done[ended] += 1
+            k[ended] = 0
+            live = live[done[live] < per_lane[live]]
+    owner = np.tile(pattern, int(counts.sum()))
     return out, owner
 
 
+def _frames(scans: list[bytes], jpeg: Jpeg) -> list[np.ndarray]:
+    """Luma coefficients of each frame, from the entropy-coded data of frames that share their headers."""
+    data = np.frombuffer(b"".join(s if s.endswith(b"\xff\xd9") else s + b"\xff\xd9" for s in scans), "u1")
+    sizes = np.array([len(s) if s.endswith(b"\xff\xd9") else len(s) + 2 for s in scans])
+    escape = np.flatnonzero(data[:-1] == 0xFF)
+    after = data[escape + 1]
+    marks = escape[(after >= 0xD0) & (after <= 0xD9)]
+    keep = np.ones(len(data), bool)
+    keep[escape[after == 0] + 1] = False
+    place = np.cumsum(keep) - keep  # of each byte among those kept
+    starts, ends = place[np.append(0, marks[:-1] + 2)], place[marks]
+    wide, tall = (max(p[i] for p in jpeg.parts) for i in (0, 1)) if len(jpeg.parts) > 1 else (1, 1)
+    units = -(-jpeg.width // (8 * wide)) * -(-jpeg.height // (8 * tall))
+    each = jpeg.restart or units
+    lanes = -(-units // each)
+    first = np.searchsorted(marks, np.cumsum(sizes) - sizes)
+    if (np.diff(np.append(first, len(marks))) < lanes).any():
+        raise ValueError("a scan ends too early")
+    use = (first[:, None] + np.arange(lanes)).ravel()
+    counts = np.tile(np.minimum(each, units - each * np.arange(lanes)), len(scans))
+    blocks, owner = _blocks(data[keep], starts[use], ends[use], counts, jpeg)
+    return np.split(blocks[owner == 0], len(scans))
+
+
 @dataclass
 class Video:
     """Coefficients of all luma blocks in scan order, frame by frame, and the luma pictures' geometry."""
@@ -250,32 +285,17 @@ class Video:
         return np.clip(pixels, 0, 255, out=pixels).astype("u1").reshape(self.frames, -1)
 
 
-def _plain_scan(raw: bytes, spots: list[tuple[int, int]], jpeg: Jpeg) -> np.ndarray | None:
-    """Coefficients of frames in the layout that ``to_avi`` writes without escapes, read without a loop; else None."""
-    at, size = spots[0]
-    step = spots[1][0] - at if len(spots) > 1 else size
-    same = all(s == size and p == at + i * step for i, (p, s) in enumerate(spots))
-    if not same or size != len(HEAD) + BLOCKS * 82 or raw[at : at + len(HEAD)] != HEAD or len(raw) < at + (len(spots) - 1) * step + size:
-        return None
-    grid = np.lib.stride_tricks.as_strided(np.frombuffer(raw, "u1", offset=at), (len(spots), size), (step, 1))
-    body = grid[:, len(HEAD) :].reshape(len(spots), BLOCKS, 82)
-    if (grid[:, : len(HEAD)] != grid[0, : len(HEAD)]).any() or (body[:, :, 80:] != ENDS).any() or (body[:, :, :80] == 0xFF).any():
-        return None
-    b = body[:, :, :80].reshape(-1, 5).astype("i4")
-    tags = (b[:, 0] & 0xC0 == 0x40) & (b[:, 1] & 0x30 == 0x10) & (b[:, 2] & 0x0C == 0x04) & (b[:, 3] & 0x03 == 0x01)
-    if not tags.all():
-        return None
-    out = np.empty((len(b), 4), "i4")
-    out[:, 0] = (b[:, 0] & 63) << 2 | b[:, 1] >> 6
-    out[:, 1] = (b[:, 1] & 15) << 4 | b[:, 2] >> 4
-    out[:, 2] = (b[:, 2] & 3) << 6 | b[:, 3] >> 2
-    out[:, 3] = b[:, 4]
-    out += 256
-    return out.reshape(-1, 64)
+@dataclass
+class Container:
+    """What the RIFF chunks say: frame time, payload length, and (start, size) of the video frames."""
+
+    frame_us: int
+    payload: int | None
+    spots: list[tuple[int, int]]
 
 
-def read_avi(raw: bytes) -> Video:
-    """Parse the file by its index (by its chunks where it has none) and decode all frames of the video stream."""
+def _container(raw: bytes) -> Container:
+    """Parse the file by its index (by its chunks where it has none)."""
     if raw[:4] != b"RIFF" or raw[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     frame_us, payload, movie, index = FRAME_US, None, None, None
@@ -294,34 +314,54 @@ def read_avi(raw: bytes) -> Video:
         raise ValueError("no movie in the file")
     if index is not None and len(index):
         video = index[np.isin(index["id"], (b"00dc", b"00db"))]
-        start = movie[0] if raw[movie[0] + video["at"][0] : movie[0] + video["at"][0] + 4] == video["id"][0] else 0
-        spots = [(start + int(a) + 8, int(s)) for a, s in zip(video["at"], video["size"])]
+        start = movie[0] if len(video) and raw[movie[0] + video["at"][0] : movie[0] + video["at"][0] + 4] == video["id"][0] else 0
+        spots = [(start + a + 8, s) for a, s in zip(video["at"].tolist(), video["size"].tolist())]
     else:
         spots = [(a, e - a) for n, a, e in _chunks(raw, movie[0] + 4, movie[1]) if n in (b"00dc", b"00db")]
-    spots = [s for s in spots if s[1]]
-    if not spots:
-        return Video(np.zeros((0, 64), "i4"), 0, np.ones(64, "f4"), frame_us, payload)
-    first = _head_of(raw, spots[0][0], spots[0][0] + spots[0][1])
-    quantiser = first.quantisers[first.parts[0][2]]
-    plain = _plain_scan(raw, spots, first)
-    if plain is not None:
-        return Video(plain, len(spots), quantiser, frame_us, payload)
-    luma = []
-    for at, size in spots:
-        jpeg = _head_of(raw, at, at + size)
-        jpeg.codes = jpeg.codes or first.codes
-        scan = np.frombuffer(raw, "u1", at + size - jpeg.scan, jpeg.scan)
-        marks = np.flatnonzero((scan[:-1] == 0xFF) & (scan[1:] >= 0xD0) & (scan[1:] <= 0xD9))
-        cuts = [0, *(marks + 2), len(scan) + 2]
-        lanes = [scan[a : b - 2].tobytes().replace(b"\xff\0", b"\xff") for a, b in zip(cuts, cuts[1:])]
-        wide, tall = (max(p[i] for p in jpeg.parts) for i in (0, 1)) if len(jpeg.parts) > 1 else (1, 1)
-        units = -(-jpeg.width // (8 * wide)) * -(-jpeg.height // (8 * tall))
-        each = jpeg.restart or units
-        lanes = lanes[: -(-units // each)]
-        counts = np.array([min(each, units - i * each) for i in range(len(lanes))])
-        blocks, owner = _blocks(lanes, counts, jpeg)
-        luma.append(blocks[owner == 0])
-    return Video(np.concatenate(luma), len(spots), quantiser, frame_us, payload)
+    return Container(frame_us, payload, [s for s in spots if s[1]])
+
+
+def read_avis(raws: list[bytes]) -> list[Video]:
+    """Parse the files and decode all frames of their video streams, those with equal headers side by side."""
+    files = [_container(raw) for raw in raws]
+    heads: dict[bytes, Jpeg] = {}
+    groups: dict[tuple[bytes, bytes], list[tuple[int, int, bytes]]] = {}
+    quantisers, head = [np.ones(64, "f4") for _ in files], b""
+    for n, (raw, file) in enumerate(zip(raws, files)):
+        first = b""
+        for frame, (at, size) in enumerate(file.spots):
+            if not head or not raw.startswith(head, at):
+                scan = _head_of(raw, at, at + size).scan
+                head = raw[at:scan]
+                heads.setdefault(head, _head_of(raw, at, at + size))
+            first = first or head
+            groups.setdefault((head, first if not heads[head].codes else head), []).append((n, frame, raw[at + len(head) : at + size]))
+        if first:
+            quantisers[n] = heads[first].quantisers[heads[first].parts[0][2]]
+    luma: list[dict[int, np.ndarray]] = [{} for _ in files]
+    for (head, coded), frames in groups.items():
+        jpeg = replace(heads[head], codes=heads[coded].codes)
+        while frames:
+            many = max(1, int(np.searchsorted(np.cumsum([len(s) for _, _, s in frames]), STEP)))
+            part, frames = frames[:many], frames[many:]
+            for (n, frame, _), found in zip(part, _frames([s for _, _, s in part], jpeg)):
+                luma[n][frame] = found
+    empty = np.zeros((0, 64), "i4")
+    return [Video(np.concatenate([found[k] for k in sorted(found)] or [empty]), len(f.spots), q, f.frame_us, f.payload) for f, q, found in zip(files, quantisers, luma)]
+
+
+def read_avi(raw: bytes) -> Video:
+    return read_avis([raw])[0]
+
+
+def _together(raws: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges [first, end) of files of about ``STEP`` bytes."""
+    first, size = 0, 0
+    for n, raw in enumerate(raws):
+        size += len(raw)
+        if size >= STEP or n == len(raws) - 1:
+            yield first, n + 1
+            first, size = n + 1, 0
 
 
 def payload_of(video: Video) -> bytes:
@@ -376,6 +416,13 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
+def _or_error(raw: bytes) -> Video | str:
+    try:
+        return read_avi(raw)
+    except BROKEN as e:
+        return str(e)
+
+
 def clip_rows(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """doc_id, clip, start_ms, end_ms, frames, mean_luma, error: the timed clips of each file.
 
@@ -383,15 +430,17 @@ def clip_rows(media: DataFrame, id_col: str = "doc_id", media_col: str = "media"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 256):
             rows: list[tuple] = []
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if not raw.is_valid:
-                    continue
+            files = [(key, raw) for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if raw is not None]
+            for first, last in _together([raw for _, raw in files]):
+                part = files[first:last]
                 try:
-                    rows += [(key, *c, None) for c in clips_of(read_avi(raw.as_py()))]
-                except (ValueError, KeyError, IndexError, struct.error) as e:
-                    rows.append((key, None, None, None, None, None, str(e)))
+                    videos = read_avis([raw for _, raw in part])
+                except BROKEN:  # find the file that is at fault
+                    videos = [_or_error(raw) for _, raw in part]
+                for (key, _), video in zip(part, videos):
+                    rows += [(key, *c, None) for c in clips_of(video)] if isinstance(video, Video) else [(key, None, None, None, None, None, video)]
             kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.string())
             names = ("doc_id", "clip", "start_ms", "end_ms", "frames", "mean_luma", "error")
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
@@ -407,8 +456,9 @@ def media_digest(media: DataFrame) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(first, 256), []
-                for raw in part.column(2).to_pylist():
-                    video = read_avi(raw)
+                files = part.column(2).to_pylist()
+                videos = (v for a, b in _together(files) for v in read_avis(files[a:b]))
+                for raw, video in zip(files, videos):
                     payload = payload_of(video)
                     clips = clips_of(video)
                     feature = f"frames={video.frames};clips=" + ",".join(f"{a}-{b}:{m:.2f}" for _, a, b, _, m in clips)
