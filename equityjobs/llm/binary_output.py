@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from equityjobs.llm.shared import lean, text_batches
 from equityjobs.llm.tokens import Encoder, with_end
 
 # Fixed values of Simple-8b: ids per word and bits per id by selector from 1 on; selector 0 is the escape.
@@ -184,7 +185,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, segment_i
             yield flush()
 
     ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "part int, part_start long, n_ids long, payload binary").write.parquet(path)
+    text_batches(docs.sparkSession)
+    ordered.mapInArrow(lean(run), "part int, part_start long, n_ids long, payload binary").write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

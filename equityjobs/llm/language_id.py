@@ -8,7 +8,7 @@ directions label every byte position, and the document's probabilities are the m
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from equityjobs.llm.shared import give_back, text_batches
+
 UNDETERMINED = "und"
 WINDOW = 128
 #: Windows that run side by side in one step of a prediction.
@@ -253,11 +255,17 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     A text that is null, empty or without a letter is ``und`` with score 0; so is every text without a
     network. Texts are read whole. Repeated rows are predicted alike; an empty table gives no rows.
     """
-    columns = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep]
+    found = labeller(net)(F.col(text_col))
+    text_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("doc_id"), found.alias("_found"), *keep).select("doc_id", "_found.lang_pred", "_found.score", *keep)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(first, 1024) for b in batches for first in range(0, b.num_rows, 1024)):  # bounds memory
-            texts = batch.column(1).to_pylist()
+def labeller(net: Network | None) -> Callable[[Column], Column]:
+    """The function from a column of texts to (lang_pred, score); only the texts go to Python."""
+
+    def one(column: pa.Array) -> Iterator[pa.Array]:
+        for start in range(0, len(column), 1024):  # bounds memory
+            texts = column.slice(start, 1024).to_pylist()
             langs, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
             read = [n for n, t in enumerate(texts) if t and _has_letter(t)] if net else []
             at = 0
@@ -270,12 +278,18 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
                 best = p.argmax(axis=1)
                 langs[read[first:at]] = [net.languages[b] for b in best]
                 scores[read[first:at]] = np.clip(p[np.arange(len(p)), best], 0, 1)
-            kept = [batch.column(i) for i in range(2, 2 + len(keep))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), *kept], ["doc_id", "lang_pred", "score", *keep])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*columns).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double{more}")
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang_pred", "score"])
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def label(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for column in columns:
+                parts = list(one(column))
+                yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct({"lang_pred": pa.string(), "score": pa.float64()}))
+        finally:
+            give_back()
+
+    return label
 
 
 def held_out(id_col: str = "doc_id") -> Column:

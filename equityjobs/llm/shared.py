@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +21,34 @@ def join_side(narrow: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(narrow) if narrow.count() <= most_rows else narrow
 
 
+def text_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+    """Texts go to Python workers in Arrow batches of bounded bytes, unless the session has its own bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(most_bytes))
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, so that a Python worker that waits for its next task stays small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a C library that keeps freed memory
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` (batches to batches) for a task that gives its memory back when it ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
     """``rows`` joined with the stored narrow ``table`` (one row for each ``key``), however many rows share a key.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from equityjobs.llm.shared import join_side, looked_up, stored
+from equityjobs.llm.shared import give_back, join_side, lean, looked_up, stored, text_batches
 from equityjobs.llm.tokens import sliced, texts_of
 
 #: Blanks that part words, as in the pattern [^\x20\x09-\x0D]+.
@@ -142,7 +142,8 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = [f"doc_id {kind}", *(f"{n} long" for n in names), *(["bands array<long>"] if bands else []), *(["node long", "n long"] if sets else [])]
-    return docs.select(id_col, text_col).mapInArrow(run, ", ".join(schema))
+    text_batches(docs.sparkSession)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), ", ".join(schema))
 
 
 def _shingle_sets(docs: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
@@ -158,7 +159,8 @@ def _shingle_sets(docs: DataFrame, width: int, seed: int, id_col: str, text_col:
             nodes = np.array([k for _, k in found], "uint64").view("int64")
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "shingles"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "node long, shingles array<long>")
+    text_batches(docs.sparkSession)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), "node long, shingles array<long>")
 
 
 def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -320,6 +322,7 @@ def _family_links(rows: pd.DataFrame, names: list[str], radii: np.ndarray, simil
             if len(linked):
                 joined = np.append(root[at[linked]], root[at[i]])
                 root[np.isin(root, joined)] = joined.min()
+    give_back()
     return _tree_links(unique, root)
 
 

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from equityjobs.llm.shared import lean, text_batches
+
 #: Bytes of text in one step, and new pieces that are encoded in one line.
 _STEP, _LINE = 8_000_000, 400
+#: Lines of one call: the library's own objects take about a hundred bytes a token.
+_LINES = 64
 
 # Kinds of bytes. A byte of another kind may belong to any character, so no cut stands beside it.
 _OTHER, _LETTER, _DIGIT, _MARK, _QUOTE, _BLANK, _WHITE, _LEAD = range(8)
@@ -126,7 +131,9 @@ class Encoder:
     @staticmethod
     def _many(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in one array, and the number of ids of each."""
-        found = [np.array(e.ids, "uint32") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found: list[np.ndarray] = []
+        for first in range(0, len(texts), _LINES):
+            found += [np.array(e.ids, "uint32") for e in tokenizer.encode_batch_fast(texts[first : first + _LINES], add_special_tokens=False)]
         return np.concatenate([np.zeros(0, "uint32"), *found]), np.fromiter(map(len, found), "int64", len(found))
 
     def _one_by_one(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -190,20 +197,22 @@ class Encoder:
             return np.zeros(0, "uint32"), np.zeros(len(rows) - 1, "int64")
         whole, marked = np.full(len(rows) - 1, not self.cuttable), False
         if self.cuttable:
-            raw = data.tobytes()
             for mark in self.marks:
-                if mark in raw:
+                if re.search(re.escape(mark), data):
                     marked = True
-                    whole |= np.fromiter((mark in raw[a:b] for a, b in zip(rows, rows[1:])), bool, len(rows) - 1)
+                    whole |= np.fromiter((re.search(re.escape(mark), data[a:b]) is not None for a, b in zip(rows, rows[1:])), bool, len(rows) - 1)
         pieces = _positions(data, rows[:-1], whole)
         offsets = np.append(pieces, len(data)).astype("int64")
         words = pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         pool, starts, lengths = self._encoded(words.dictionary, marked)
         at = words.indices.to_numpy()
-        lengths = lengths[at]
-        ends = np.cumsum(lengths)
-        ids = pool[np.repeat(starts[at] - ends + lengths, lengths) + np.arange(ends[-1])]
-        return ids, np.diff(np.append(0, ends)[np.searchsorted(pieces, rows)])
+        del words, offsets
+        # A step has fewer than 2**31 ids, since each stands for a byte at least.
+        lengths = lengths.astype("int32")[at]
+        ends = np.cumsum(lengths, dtype="int32")
+        where = np.repeat(starts.astype("int32")[at] - ends + lengths, lengths)
+        where += np.arange(ends[-1], dtype="int32")
+        return pool[where], np.diff(np.append(0, ends)[np.searchsorted(pieces, rows)]).astype("int64")
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For consecutive texts [first, end) of a string array: their ids in one array, and the number of ids of each.
@@ -267,4 +276,5 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
                 uid += last - first
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"uid long, doc_id {kind}, n_tokens long, ids binary")
+    text_batches(docs.sparkSession)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"uid long, doc_id {kind}, n_tokens long, ids binary")

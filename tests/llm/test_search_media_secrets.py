@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from equityjobs.llm import media, secret_scan, topk
+from equityjobs.llm import media, secret_scan, shared, topk
 
 # --- op 5 -------------------------------------------------------------------------------------------------
 
@@ -302,6 +302,27 @@ def test_candidates_of_a_text(text, values):
 # --- the pipeline -----------------------------------------------------------------------------------------
 
 
+def test_stages_take_nulls_extra_columns_and_empty_tables(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string, copies string, _doc string, component_id long"
+    rng = np.random.default_rng(3)
+    words = "the and that with from river stone hill".split()
+    rows = [(None if i % 4 == 0 else i % 6, " ".join(rng.choice(words, 30)), "en" if i % 3 else None, None if i % 5 == 0 else f"s{i % 3}", None, f"r{i}", "c", "d", i) for i in range(40)]
+    rows += [(7, None, None, None, None, None, None, None, None), (7, "", "en", "s1", 0, None, None, None, None), (None, "12 --", None, None, 5, "x", "y", "z", 1)]
+    for table in (rows, []):
+        docs = spark.createDataFrame(table, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            done = stage(spark, docs, "")
+            docs = shared.stored(done, name)
+            if name == "language_id":
+                assert docs.filter("lang is null").count() == 0 and docs.count() == (40 if table else 0)
+            if name in ("line_dedup", "near_dedup"):
+                assert sorted(r["_row"] for r in docs.select("_row").collect()) == sorted(r[5] for r in rows[:40] if table)  # nothing here is a copy
+            if name != "packing":
+                assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        assert (docs.count() > 0) == bool(table) and docs.columns == ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]
+
+
 def test_stages_keep_clean_documents_and_columns(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = np.random.default_rng(11)
