@@ -11,26 +11,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equityjobs.llm import language_id, line_dedup, mixing, packing, simhash
-from equityjobs.llm.shared import join_side, numbered, stored
+from equityjobs.llm.shared import join_side, numbered, stored, text_batches
 
 #: A line on so many distinct sources is boilerplate; for a line of over LONG_LINE_WORDS words, LONG_LINE_SITES are enough.
 LINE_SITES = 6
 LONG_LINE_SITES = 4
 LONG_LINE_WORDS = 50
+#: Score at which the network's language replaces the given one.
+SURE = 0.95
 END_ID = 0
 WINDOW = 1024
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter go; a missing lang becomes the predicted one."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    found = language_id.predict(docs, language_id.fit(docs), keep=others)
-    lang = F.coalesce("lang", "lang_pred").alias("lang")
-    return found.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*[lang if c == "lang" else c for c in docs.columns])
+    """Documents without any letter go (null and empty texts too); lang becomes the predicted one where it is
+    missing, or where the network disagrees with a score of at least ``SURE``.
+
+    Scores reject no document: on sf0.1 those under 0.6 are short or mixed texts of a language. An empty table stays
+    empty; columns of any name are kept.
+    """
+    found = language_id.labeller(language_id.fit(docs))(F.col("text"))
+    text_batches(spark)
+    both = docs.select(F.struct("*").alias("_doc"), found.alias("_found")).filter(F.col("_found.lang_pred") != language_id.UNDETERMINED)
+    lang = F.when(F.col("_found.score") >= SURE, F.col("_found.lang_pred")).otherwise(F.coalesce("_doc.lang", "_found.lang_pred"))
+    return both.select(*[(lang if c == "lang" else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go from all documents but the first that has them; n_chars follows the text."""
+    """Boilerplate lines go from all documents but the first that has them; n_chars follows the text.
+
+    Null and empty texts, null sources and null ids have the results that ``line_dedup.dedup_lines`` states. An empty
+    table stays empty; columns of any name but ``lines_removed`` (whose values then are the counts) are kept.
+    """
     cleaned = line_dedup.dedup_lines(docs, sites=LINE_SITES, long_sites=LONG_LINE_SITES, long_words=LONG_LINE_WORDS)
     n_chars = F.when(F.col("lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cleaned.select(*[n_chars.alias("n_chars") if c == "n_chars" else c for c in docs.columns])
