@@ -96,7 +96,7 @@ def _(t):
 @query("j5_canonical_names", "SELECT r.id, coalesce(p.canonical, a.canonical) AS canonical FROM (SELECT id, CASE WHEN id % 2 = 0 THEN publisher ELSE 'pub' || substr('abcdefghijklmnopq', CAST(id % 17 AS INT) + 1, 1) END AS name FROM reports) r LEFT JOIN publishers p ON p.canonical = r.name LEFT JOIN publishers a ON a.alias = r.name")
 def _(t):
     name = F.when(F.col("id") % 2 == 0, F.col("publisher")).otherwise(F.concat(F.lit("pub"), F.substring(F.lit("abcdefghijklmnopq"), (F.col("id") % 17 + 1).cast("int"), F.lit(1))))
-    return t.reports.select("id", name.alias("name")).join(F.broadcast(classify.names_to_canonical(t.publishers)), "name", "left").select("id", "canonical")  # dictionary
+    return t.reports.select("id", name.alias("name")).join(classify.names_to_canonical(t.publishers), "name", "left").select("id", "canonical")
 
 
 @query("j3_resolved_codes", f"WITH {_CLASSIFIED} SELECT id, matched, mis AS name_code_mismatch, coalesce(codes, '') AS stock_codes FROM p")

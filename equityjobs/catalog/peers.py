@@ -32,11 +32,11 @@ S_TABLE = f"st AS {_TABLE.format(pairs='(SELECT c FROM sp WHERE seed < peer)')}"
 
 
 def company_table(t):
-    return vectors.percentile_table(vectors.pair_cosines(t.vectors, ["code"]))
+    return vectors.pair_percentiles(t.vectors, ["code"])
 
 
 def segment_table(t):
-    return vectors.percentile_table(vectors.pair_cosines(t.segment_vectors, ["code", "seg_no"], group="code"))
+    return vectors.pair_percentiles(t.segment_vectors, ["code", "seg_no"], group="code")
 
 
 @query("a14_company_percentiles", f"WITH {C_PAIRS}, {C_TABLE} SELECT CAST(percentile AS DOUBLE) AS percentile, round(cosine, 6) AS cosine FROM ct")
@@ -104,13 +104,13 @@ SEGS = f"""{BEST_SEG}, df AS (SELECT code, seg_no FROM (SELECT code, seg_no, row
 
 
 def company_side(t):
-    near = vectors.nearest(t.vectors.join(F.broadcast(t.stocks.select("code")), "code", "left_semi").select("code", "vector"), ["code"], "code", 100, seeds=t.vectors.select("code", "vector"))  # stock list
+    near = vectors.nearest(t.vectors.join(t.stocks.select("code"), "code", "left_semi").select("code", "vector"), ["code"], "code", 100, seeds=t.vectors.select("code", "vector"))
     return peers.top_matches(near.select(F.col("seed_code").alias("seed"), F.col("peer_code").alias("peer"), "similarity"), t.stocks, "seed", "peer", 100)
 
 
 def segment_side(t):
     default = terms.ordered_segments(t.segment_vectors, ["code"]).filter("place = 1").select("code", "seg_no", "vector")
-    listed = t.segment_vectors.join(F.broadcast(t.stocks.select("code")), "code", "left_semi").select("code", "seg_no", "vector")
+    listed = t.segment_vectors.join(t.stocks.select("code"), "code", "left_semi").select("code", "seg_no", "vector")
     near = vectors.nearest(listed, ["code", "seg_no"], "code", 100, seeds=default)
     return peers.top_matches(near.select(F.col("seed_code").alias("seed"), F.col("peer_code").alias("peer"), F.col("peer_seg_no").alias("seg_no"), "similarity"), t.stocks, "seed", "peer", 100)
 
@@ -163,30 +163,30 @@ def _(t):
     return merged(t).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-_HELD = f"{T.TABLE}, held AS (SELECT DISTINCT stock_code AS code, key FROM keyed WHERE status = 'ok' AND length(key) > 6)"
-_NEXT = "pairs AS (SELECT a.code AS seed, b.code AS peer FROM stocks a JOIN stocks b ON a.code <> b.code AND (a.line_no + b.line_no) % 9 = 0)"
+_HELD = f"{T.TABLE}, held AS (SELECT DISTINCT stock_code AS code, key FROM keyed WHERE status = 'ok')"
+_NEXT = f"{C_PAIRS}, pairs AS (SELECT seed, peer FROM (SELECT seed, peer, row_number() OVER (PARTITION BY seed ORDER BY c DESC, peer) AS k FROM cp) x WHERE k <= 10)"
 
 
 def held(t):
-    rows = T.with_terms(t)
-    return peers.key_of_terms(rows, texts.term_keys(F.col("terms"), T.spellings())).filter(F.length("key") > 6)
+    return peers.key_of_terms(T.with_terms(t), texts.term_keys(F.col("terms"), T.spellings()))
 
 
-def some_pairs(t):
-    a, b = t.stocks.select(F.col("code").alias("seed"), (F.col("line_no") % 9).alias("_x")), t.stocks.select(F.col("code").alias("peer"), ((9 - F.col("line_no") % 9) % 9).alias("_x"))
-    return a.join(b, "_x").filter("seed <> peer").select("seed", "peer")
+def near_pairs(t):
+    """The ten companies most like each one."""
+    near = vectors.nearest(t.vectors.select("code", "vector"), ["code"], "code", 10)
+    return near.select(F.col("seed_code").alias("seed"), F.col("peer_code").alias("peer"))
 
 
 @query("j14_shared_keys", f"WITH {_HELD}, {_NEXT} SELECT seed, peer, count(*) AS shared FROM pairs JOIN held a ON a.code = seed JOIN held b ON b.code = peer AND b.key = a.key JOIN tt ON tt.key = a.key GROUP BY 1, 2")
 def _(t):
-    return peers.shared_keys(some_pairs(t), held(t), T.term_table(t)).groupBy("seed", "peer").agg(F.count(F.lit(1)).alias("shared"))
+    return peers.shared_keys(near_pairs(t), held(t), T.term_table(t)).groupBy("seed", "peer").agg(F.count(F.lit(1)).alias("shared"))
 
 
 @query("w11_shared_terms", f"""
     WITH {_HELD}, {_NEXT} SELECT seed, peer, display, companies, place FROM (SELECT seed, peer, display, companies, row_number() OVER (PARTITION BY seed, peer ORDER BY companies, tt.key) AS place
     FROM pairs JOIN held a ON a.code = seed JOIN held b ON b.code = peer AND b.key = a.key JOIN tt ON tt.key = a.key) x WHERE place <= 5""")
 def _(t):
-    return peers.shared_terms(peers.shared_keys(some_pairs(t), held(t), T.term_table(t))).select("seed", "peer", "display", "companies", "place")
+    return peers.shared_terms(peers.shared_keys(near_pairs(t), held(t), T.term_table(t))).select("seed", "peer", "display", "companies", "place")
 
 
 _JUDGED = f"""{MERGED}, {SNAP}, {_COUNTS}, hold AS (SELECT stock_code AS code, max(is_holding) AS is_holding FROM profiles GROUP BY 1),
@@ -224,16 +224,17 @@ def _(t):
 @query("j16_same_snapshot_day", f"WITH {SNAP}, {_NEXT} SELECT seed, peer, a.as_of = b.as_of AS same_day FROM pairs JOIN snap a ON a.stock_code = seed JOIN snap b ON b.stock_code = peer")
 def _(t):
     p = priced(t).select("stock_code", "as_of")
-    joined = some_pairs(t).join(p.toDF("seed", "_a"), "seed").join(p.toDF("peer", "_b"), "peer")
+    joined = near_pairs(t).join(p.toDF("seed", "_a"), "seed").join(p.toDF("peer", "_b"), "peer")
     return joined.select("seed", "peer", (F.col("_a") == F.col("_b")).alias("same_day"))
 
 
-_ASKED = "asked AS (SELECT CAST(doc_id AS VARCHAR) AS query, key FROM (SELECT DISTINCT doc_id, key FROM keyed WHERE doc_id % 50 = 0 AND length(key) > 6) x)"
+_ASKED = "asked AS (SELECT CAST(doc_id AS VARCHAR) AS query, key FROM (SELECT DISTINCT doc_id, key FROM keyed WHERE doc_id % 100 = 0) x)"
 
 
 def asked(t):
-    rows = T.with_terms(t).filter("doc_id % 50 = 0").select(F.col("doc_id").cast("string").alias("query"), F.explode(texts.term_keys(F.col("terms"), T.spellings())).alias("key"))
-    return rows.filter(F.length("key") > 6)
+    """The stated queries of the searches: every row whose id is divisible by 100, against all rows."""
+    asking = T.with_terms(t).filter("doc_id % 100 = 0")
+    return asking.select(F.col("doc_id").cast("string").alias("query"), F.explode(texts.term_keys(F.col("terms"), T.spellings())).alias("key"))
 
 
 @query("p7_profiles_with_terms", f"WITH {_HELD}, {_ASKED} SELECT query, code, held.key FROM asked JOIN held ON held.key = asked.key")
@@ -249,12 +250,12 @@ def _(t):
     return peers.term_ranking(peers.profiles_with_terms(held(t), asked(t)), T.term_table(t))
 
 
-_NEAR_RANK = f"{C_PAIRS}, nr AS (SELECT CAST(CAST(seed AS BIGINT) AS VARCHAR) AS query, peer AS code, row_number() OVER (PARTITION BY seed ORDER BY c DESC, peer) AS rank FROM cp WHERE CAST(seed AS BIGINT) % 50 = 0)"
+_NEAR_RANK = f"{C_PAIRS}, nr AS (SELECT CAST(CAST(seed AS BIGINT) AS VARCHAR) AS query, peer AS code, row_number() OVER (PARTITION BY seed ORDER BY c DESC, peer) AS rank FROM cp WHERE CAST(seed AS BIGINT) % 100 = 0)"
 _RRF = "SELECT query, code, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, code) AS rank FROM (SELECT query, code, round(sum(1.0 / (60 + rank)), 12) AS score FROM both_of GROUP BY 1, 2) x"
 
 
 def search(t):
-    near = vectors.nearest(t.vectors.select("code", "vector"), ["code"], "code", 200, seeds=t.vectors.filter("cast(code as long) % 50 = 0").select("code", "vector"))
+    near = vectors.nearest(t.vectors.select("code", "vector"), ["code"], "code", 200, seeds=t.vectors.filter("cast(code as long) % 100 = 0").select("code", "vector"))
     near = near.select(F.col("seed_code").cast("long").cast("string").alias("query"), F.col("peer_code").alias("code"), "rank")
     return peers.fused([peers.term_ranking(peers.profiles_with_terms(held(t), asked(t)), T.term_table(t)), near])
 
@@ -266,13 +267,13 @@ def _(t):
 
 @query("q7_theme_search", f"WITH {_TERM_RANK}, {_NEAR_RANK}, both_of AS (SELECT query, code, rank FROM tr UNION ALL SELECT query, code, rank FROM nr WHERE rank <= 200) SELECT z.query, z.code, s.name, z.rank FROM ({_RRF}) z JOIN stocks s ON s.code = z.code WHERE z.rank <= 30")
 def _(t):
-    return search(t).filter("rank <= 30").join(F.broadcast(t.stocks.select("code", "name")), "code").select("query", "code", "name", "rank")  # stock list
+    return search(t).filter("rank <= 30").join(t.stocks.select("code", "name"), "code").select("query", "code", "name", "rank")
 
 
 @query("f16_same_industry", f"WITH {_NEXT} SELECT seed, peer, a.sector_minor = b.sector_minor AS same_industry FROM pairs JOIN stocks a ON a.code = seed JOIN stocks b ON b.code = peer")
 def _(t):
     s = t.stocks.select("code", "sector_minor")
-    joined = some_pairs(t).join(s.toDF("seed", "_a"), "seed").join(s.toDF("peer", "_b"), "peer")
+    joined = near_pairs(t).join(s.toDF("seed", "_a"), "seed").join(s.toDF("peer", "_b"), "peer")
     return joined.select("seed", "peer", numbers.same_industry(F.col("_a"), F.col("_b")).alias("same_industry"))
 
 

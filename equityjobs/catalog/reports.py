@@ -78,7 +78,7 @@ def _(t):
 def _(t):
     width = F.when(F.col("l_partkey") % 3 == 0, 5).otherwise(6)
     codes = t.lineitem.select(F.when(width == 5, F.lpad(F.col("l_partkey").cast("string"), 5, "0")).otherwise(F.lpad(F.col("l_partkey").cast("string"), 6, "0")).alias("code")).distinct()
-    listed = codes.filter(texts.valid_code(F.col("code"))).join(F.broadcast(t.stocks.select("code")), "code", "left_semi").withColumn("valid", F.lit(True))  # a bounded stock list
+    listed = codes.filter(texts.valid_code(F.col("code"))).join(t.stocks.select("code"), "code", "left_semi").withColumn("valid", F.lit(True))  # a bounded stock list
     return codes.join(listed, "code", "left").select("code", F.coalesce("valid", F.lit(False)).alias("valid"))
 
 

@@ -11,7 +11,7 @@ from equityjobs.operators import filings, terms
 SYNONYMS = {"the": ["and", "of"], "une": ["le", "la"]}
 DISPLAYS = {"the": "The!", "une": "Une"}
 KEY = "CASE WHEN lower(raw) IN ('and','of') THEN 'the' WHEN lower(raw) IN ('le','la') THEN 'une' ELSE lower(raw) END"
-RAW = "raws AS (SELECT doc_id, stock_code, status, unnest(regexp_extract_all(head, '[A-Za-z]+')) AS raw, unnest(range(len(regexp_extract_all(head, '[A-Za-z]+')))) AS pos FROM profiles)"
+RAW = "raws AS (SELECT doc_id, stock_code, status, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS raw, unnest(range(len(regexp_extract_all(text, '[A-Za-z]+')))) AS pos FROM profiles)"
 KEYED = f"{RAW}, keyed AS (SELECT *, {KEY} AS key FROM raws)"
 TABLE = f"{KEYED}, tt AS (SELECT key, CASE key WHEN 'the' THEN 'The!' WHEN 'une' THEN 'Une' ELSE arg_min(raw, (doc_id, pos)) END AS display, count(DISTINCT doc_id) AS companies FROM keyed WHERE status = 'ok' GROUP BY key)"
 
@@ -25,7 +25,7 @@ def spellings():
 
 
 def with_terms(t):
-    return t.profiles.withColumn("terms", F.regexp_extract_all("head", F.lit("([A-Za-z]+)"), F.lit(1)))
+    return t.profiles.withColumn("terms", F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)))
 
 
 def term_table(t):
@@ -37,9 +37,9 @@ def _(t):
     return term_table(t)
 
 
-@query("f3_squash", "SELECT doc_id, regexp_replace(lower(head), '[\\s·ㆍ・‧∙⋅\\-‐‑‒–−﹣－]+', '', 'g') AS squashed FROM profiles")
+@query("f3_squash", "SELECT doc_id, regexp_replace(lower(text), '[\\s·ㆍ・‧∙⋅\\-‐‑‒–−﹣－]+', '', 'g') AS squashed FROM profiles")
 def _(t):
-    return t.profiles.select("doc_id", texts.squash(F.col("head")).alias("squashed"))
+    return t.profiles.select("doc_id", texts.squash(F.col("text")).alias("squashed"))
 
 
 @query("f4_term_keys", f"WITH {KEYED} SELECT doc_id, pos, key FROM keyed")
@@ -64,26 +64,34 @@ def _(t):
     return terms.spelling_violations(t.stocks.select(F.col("name").alias("spelling"), F.col("sector_major").alias("standard")))
 
 
-_HAY = "regexp_replace(lower(substr(text, 150, 2000)), '[\\s·ㆍ・‧∙⋅\\-‐‑‒–−﹣－]+', '', 'g')"
+#: What a document is said to contain: the words of the next document, looked for in its own whole text.
+_SAID = "said AS (SELECT p.doc_id, r.pos, r.raw FROM raws r JOIN profiles p ON p.doc_id = r.doc_id - 1)"
+_HAY = "regexp_replace(lower(text), '[\\s·ㆍ・‧∙⋅\\-‐‑‒–−﹣－]+', '', 'g')"
+
+
+def with_said_terms(t):
+    said = with_terms(t).select((F.col("doc_id") - 1).alias("doc_id"), "terms")
+    none = F.expr("cast(array() as array<string>)")
+    return t.profiles.select("doc_id", "text").join(said, "doc_id", "left").withColumn("terms", F.coalesce("terms", none))
 
 
 @query("f8_grounding", f"""
-    WITH {RAW}, hay AS (SELECT doc_id, {_HAY} AS hay FROM profiles),
+    WITH {RAW}, {_SAID}, hay AS (SELECT doc_id, {_HAY} AS hay FROM profiles),
     hit AS (SELECT r.doc_id, r.pos, r.raw, CASE WHEN lower(raw) IN ('the','and','of') THEN contains(hay, 'the') OR contains(hay, 'and') OR contains(hay, 'of')
-        WHEN lower(raw) IN ('une','le','la') THEN contains(hay, 'une') OR contains(hay, 'le') OR contains(hay, 'la') ELSE contains(hay, lower(raw)) END AS ok FROM raws r JOIN hay h ON h.doc_id = r.doc_id)
+        WHEN lower(raw) IN ('une','le','la') THEN contains(hay, 'une') OR contains(hay, 'le') OR contains(hay, 'la') ELSE contains(hay, lower(raw)) END AS ok FROM said r JOIN hay h ON h.doc_id = r.doc_id)
     SELECT p.doc_id, coalesce(string_agg(raw, '|' ORDER BY pos) FILTER (WHERE ok), '') AS kept_terms, count(raw) AS given,
            round(CASE WHEN count(raw) = 0 THEN 1.0 ELSE count(*) FILTER (WHERE ok) / count(raw) END, 6) AS grounding_ratio,
            CASE WHEN count(raw) = 0 THEN false ELSE count(*) FILTER (WHERE ok) / count(raw) < 0.8 END AS ask_again
     FROM profiles p LEFT JOIN hit ON hit.doc_id = p.doc_id GROUP BY p.doc_id""")
 def _(t):
-    docs = with_terms(t).select("doc_id", F.substring("text", 150, 2000).alias("text"), "terms")
+    docs = with_said_terms(t)
     spelled = terms.term_spellings(docs.select(F.explode("terms").alias("term")), SYNONYMS)
     return terms.grounded_terms(docs, spelled)
 
 
-@query("a25_grounding_ratio", f"WITH {RAW}, h AS (SELECT doc_id, {_HAY} AS hay FROM profiles) SELECT round(sum(CASE WHEN contains(hay, lower(raw)) THEN 1 ELSE 0 END) / count(*), 6) AS ratio, count(*) AS given FROM raws JOIN h ON h.doc_id = raws.doc_id")
+@query("a25_grounding_ratio", f"WITH {RAW}, {_SAID}, h AS (SELECT doc_id, {_HAY} AS hay FROM profiles) SELECT round(sum(CASE WHEN contains(hay, lower(raw)) THEN 1 ELSE 0 END) / count(*), 6) AS ratio, count(*) AS given FROM said JOIN h ON h.doc_id = said.doc_id")
 def _(t):
-    docs = with_terms(t).select("doc_id", F.substring("text", 150, 2000).alias("text"), "terms")
+    docs = with_said_terms(t)
     found = terms.grounded_terms(docs, terms.term_spellings(docs.select(F.explode("terms").alias("term")), {}))
     return found.agg((F.sum(F.size("kept_terms")) / F.sum("given")).alias("ratio"), F.sum("given").cast("long").alias("given"))
 
@@ -196,14 +204,14 @@ def _(t):
 @query("f10_assembled_inputs", """
     WITH w AS (SELECT stock_code, rcept_no, max(CASE section_code WHEN '020100' THEN t END) AS o, max(CASE section_code WHEN '020200' THEN t END) AS p, max(CASE section_code WHEN '020700' THEN t END) AS n,
                       max(CASE section_code WHEN '020400' THEN t END) AS s, max(CASE section_code WHEN '020800' THEN t END) AS f
-               FROM (SELECT stock_code, rcept_no, section_code, trim(prose_text) AS t FROM sections WHERE doc_id % 7 <> 0) x GROUP BY 1, 2),
+               FROM (SELECT stock_code, rcept_no, section_code, trim(prose_text) AS t FROM sections) x GROUP BY 1, 2),
     b AS (SELECT stock_code, rcept_no, concat_ws(chr(10) || chr(10), CASE WHEN o <> '' THEN '[사업의 개요]' || chr(10) || substr(o, 1, 6000) END, CASE WHEN p <> '' THEN '[주요 제품 및 서비스]' || chr(10) || substr(p, 1, 2500) END,
                  CASE WHEN n <> '' AND length(coalesce(o, '')) < 800 THEN '[기타 참고사항]' || chr(10) || substr(n, 1, 3000) END, CASE WHEN s <> '' AND length(coalesce(o, '')) < 800 THEN '[매출 및 수주]' || chr(10) || substr(s, 1, 1500) END,
                  CASE WHEN f <> '' THEN '[영업의 현황]' || chr(10) || substr(f, 1, 6000) END) AS text,
                  coalesce(length(o) > 6000, false) OR coalesce(length(p) > 2500, false) OR (length(coalesce(o, '')) < 800 AND (coalesce(length(n) > 3000, false) OR coalesce(length(s) > 1500, false))) OR coalesce(length(f) > 6000, false) AS cut FROM w)
     SELECT stock_code, rcept_no, substr(text, 1, 12000) AS text, cut OR length(text) > 12000 AS truncated FROM b""")
 def _(t):
-    rows = t.sections.filter("doc_id % 7 <> 0").withColumn("table_text", F.lit(""))
+    rows = t.sections.withColumn("table_text", F.lit(""))
     return filings.assembled_inputs(rows).select("stock_code", "rcept_no", "text", "truncated")
 
 

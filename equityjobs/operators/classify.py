@@ -29,11 +29,11 @@ def parsed(rows: DataFrame, answer: str = "answer") -> DataFrame:
 def with_publisher(rows: DataFrame, publishers: DataFrame) -> DataFrame:
     """The exact canonical publisher with its type, and what the file name's tag says against it.
 
-    The dictionary is bounded (a few hundred names), so it is broadcast.
+    The dictionary is joined without a hint: Spark broadcasts it as long as it is small.
     """
     types = publishers.select(F.col("canonical").alias("publisher_canon"), F.col("canonical").alias("publisher"), "publisher_type").distinct()
     tags = names_to_canonical(publishers).select(F.col("name").alias("_tag"), F.col("canonical").alias("_pointed"))
-    joined = rows.withColumn("_tag", filename_tag(F.col("file_name"))).join(F.broadcast(types), "publisher_canon", "left").join(F.broadcast(tags), "_tag", "left")
+    joined = rows.withColumn("_tag", filename_tag(F.col("file_name"))).join(types, "publisher_canon", "left").join(tags, "_tag", "left")
     suspect = F.when(F.col("_pointed").isNotNull(), F.when(~F.col("publisher").eqNullSafe(F.col("_pointed")), "filename_mismatch")).when(F.col("publisher").isNull(), "unknown")
     return joined.withColumn("publisher_suspect", suspect).drop("_tag", "_pointed")
 
@@ -58,21 +58,27 @@ def keyed_stocks(stocks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def resolved(rows: DataFrame, stocks: DataFrame) -> DataFrame:
-    """Listed entries of each row, by type, and the final arrays built from them in order of appearance."""
+    """Listed entries of each row, by type, and the final arrays built from them in order of appearance.
+
+    ``any_listed`` says whether any given code is listed, whatever the type. The stock list is joined without a hint:
+    Spark broadcasts it as long as it is small.
+    """
     by_code, by_name = keyed_stocks(stocks)
     facts = ["code", "name", "sector_major", "sector_minor", "products_text"]
-    looks = rows.filter(F.col("report_type").isNotNull() & ~F.col("report_type").isin("산업", "전략·시황"))
-    codes = looks.select("id", "report_type", F.posexplode("stock_codes_raw").alias("_pos", "code")).filter(valid_code(F.col("code")))
-    found = codes.join(F.broadcast(by_code.select(*facts)), "code").withColumn("_way", F.lit(0))  # the bounded stock list
-    names = looks.select("id", "report_type", F.posexplode("company_names_raw").alias("_pos", "_name")).withColumn("name_key", name_key(F.col("_name")))
-    named = names.join(F.broadcast(by_name.select("name_key", *facts)), "name_key").withColumn("_way", F.lit(1))
-    both = found.select("id", "report_type", "_way", "_pos", *facts).unionByName(named.select("id", "report_type", "_way", "_pos", *facts))
-    first = both.groupBy("id", "report_type", "code").agg(F.min(F.struct("_way", "_pos", *[f for f in facts if f != "code"])).alias("_e"))
-    entry = F.struct("_e._way", "_e._pos", "code", *[f"_e.{f}" for f in facts if f != "code"])
-    listed = first.groupBy("id", "report_type").agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    looks = F.coalesce(F.col("report_type").isNotNull() & ~F.col("report_type").isin("산업", "전략·시황"), F.lit(False))
+    codes = rows.select("id", F.posexplode("stock_codes_raw").alias("_pos", "code")).filter(valid_code(F.col("code")))
+    found = codes.join(by_code.select(*facts), "code").withColumn("_way", F.lit(0))
+    names = rows.filter(looks).select("id", F.posexplode("company_names_raw").alias("_pos", "_name")).withColumn("name_key", name_key(F.col("_name")))
+    named = names.join(by_name.select("name_key", *facts), "name_key").withColumn("_way", F.lit(1))
+    entry = F.struct("_way", "_pos", *facts)
+    both = found.select("id", entry.alias("_e")).unionByName(named.select("id", entry.alias("_e")))
+    listed = both.groupBy("id").agg(F.array_sort(F.collect_list("_e")).alias("_hits"), F.max(F.col("_e._way") == 0).alias("_any"))
+    # A code counts where it comes first.
+    firsts = F.filter("_hits", lambda e, i: F.array_position(F.transform("_hits", lambda x: x["code"]), e["code"]) == i + 1)
     single = F.col("report_type").isin("단일종목", "기타")
-    entries = F.when(single, F.slice("_all", 1, 1)).otherwise(F.col("_all"))
-    joined = rows.join(listed.select("id", entries.alias("_entries")), "id", "left").withColumn("_entries", F.coalesce("_entries", F.expr("slice(array(struct(0 as _way, 0 as _pos, '' as code, '' as name, '' as sector_major, '' as sector_minor, '' as products_text)), 1, 0)")))
+    joined = rows.join(listed, "id", "left").withColumn("_hits", F.when(looks & F.col("_hits").isNotNull(), firsts).otherwise(F.slice(F.coalesce("_hits", F.array(F.struct(
+        F.lit(0).alias("_way"), F.lit(0).alias("_pos"), *[F.lit("").alias(c) for c in facts]))), 1, 0)))
+    joined = joined.withColumn("_entries", F.when(single, F.slice("_hits", 1, 1)).otherwise(F.col("_hits")))
     skipped = F.coalesce(F.col("report_type").isin("산업", "전략·시황"), F.lit(False))
     matched = F.size("_entries") > 0
 
@@ -82,7 +88,7 @@ def resolved(rows: DataFrame, stocks: DataFrame) -> DataFrame:
     own = F.transform("company_names_raw", name_key)
     mismatch = matched & (F.col("report_type") == "단일종목") & (F.get("_entries", F.lit(0))["_way"] == 0) & (F.size("company_names_raw") > 0) & ~F.array_contains(own, name_key(F.get("_entries", F.lit(0))["name"]))
     return joined.select(
-        *rows.columns, skipped.alias("lookup_skipped"), matched.alias("matched"), F.coalesce(mismatch, F.lit(False)).alias("name_code_mismatch"),
+        *rows.columns, skipped.alias("lookup_skipped"), matched.alias("matched"), F.coalesce("_any", F.lit(False)).alias("any_listed"), F.coalesce(mismatch, F.lit(False)).alias("name_code_mismatch"),
         F.transform("_entries", lambda e: e["code"]).alias("stock_codes"),
         F.when(matched, F.transform("_entries", lambda e: e["name"])).when(skipped, F.expr(NO_TEXTS)).otherwise(F.col("company_names_raw")).alias("company_names"),
         distinct("sector_major").alias("sectors_major"), distinct("sector_minor").alias("sectors_minor"),
@@ -104,10 +110,8 @@ def classified(extractions: DataFrame, publishers: DataFrame, stocks: DataFrame)
     ``extractions``: id, file_name, sent_at, answer (JSON), unreadable, refusal, page_image.
     """
     rows = resolved(with_publisher(parsed(extractions), publishers), stocks)
-    listed = stocks.select(F.collect_set("code").alias("_listed"))  # the bounded stock list, one row
-    rows = rows.join(F.broadcast(listed)).withColumn("_any_listed", F.exists("stock_codes_raw", lambda c: valid_code(c) & F.array_contains("_listed", c)))
     unread = F.coalesce("unreadable", F.lit(False)) | F.col("refusal").isNotNull() | F.col("report_type").isNull()
-    reason = F.when(~unread, oos_reason(F.col("_any_listed")))
+    reason = F.when(~unread, oos_reason(F.col("any_listed")))
     rows = rows.withColumn("_unread", unread).withColumn("out_of_scope_reason", reason)
     outside = F.col("out_of_scope_reason").isNotNull()
     given = F.to_date(F.when(F.col("published_raw").rlike(r"\A\d{4}-\d{2}-\d{2}\z"), F.try_to_timestamp("published_raw", F.lit("yyyy-MM-dd"))))

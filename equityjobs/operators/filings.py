@@ -34,7 +34,7 @@ def latest_filings(sections: DataFrame) -> DataFrame:
 
 def targets(filings: DataFrame, stocks: DataFrame, excluded: str, reit_sector: str) -> DataFrame:
     """Listed companies of class Y or K, no REIT, without an excluded word in either name."""
-    listed = F.broadcast(stocks.select(F.col("code").alias("stock_code"), "name", "sector_minor"))  # the stock list: bounded by the market
+    listed = stocks.select(F.col("code").alias("stock_code"), "name", "sector_minor")
     kept = filings.filter(F.col("corp_cls").isin("Y", "K")).join(listed, "stock_code")
     bad = F.coalesce(F.col("corp_name").rlike(excluded), F.lit(False)) | F.coalesce(F.col("name").rlike(excluded), F.lit(False))
     return kept.filter((F.trim(F.coalesce("sector_minor", F.lit(""))) != reit_sector) & ~bad)

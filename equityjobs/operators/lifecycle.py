@@ -79,7 +79,7 @@ def met_criteria(rows: DataFrame, publishers: DataFrame, criteria: tuple[str, ..
     """``met``, the requeue criteria that each auto or review row meets (``renders``: its first page renders)."""
     types = publishers.select(F.col("canonical").alias("publisher"), F.col("publisher_type").alias("_type"), F.lit(True).alias("_known")).distinct()
     tags = names_to_canonical(publishers).select(F.col("name").alias("_tag"), F.col("canonical").alias("_pointed"))
-    joined = rows.withColumn("_tag", filename_tag(F.col("file_name"))).join(F.broadcast(types), "publisher", "left").join(F.broadcast(tags), "_tag", "left")  # bounded dictionary
+    joined = rows.withColumn("_tag", filename_tag(F.col("file_name"))).join(types, "publisher", "left").join(tags, "_tag", "left")  # bounded dictionary
     notes, review = F.coalesce("tagging_notes", F.lit("")), F.col("tagging_status") == "review_needed"
     unread = notes.startswith("first_page_unreadable")
     rules = {
@@ -108,7 +108,7 @@ def publisher_values(rows: DataFrame) -> DataFrame:
 def unknown_filename_tags(rows: DataFrame, publishers: DataFrame) -> DataFrame:
     """Tags of classified rows that the dictionary lacks."""
     tags = rows.filter(F.col("tagging_status").isin(*CLASSIFIED_STATUSES)).select(filename_tag(F.col("file_name")).alias("tag")).filter("tag is not null")
-    return tags.join(F.broadcast(names_to_canonical(publishers).select(F.col("name").alias("tag"))), "tag", "left_anti").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))  # bounded dictionary
+    return tags.join(names_to_canonical(publishers).select(F.col("name").alias("tag")), "tag", "left_anti").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))  # bounded dictionary
 
 
 def recovered(reports: DataFrame, now: datetime, hours: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equityjobs.schemas import PERCENTILES
+from equityjobs.sources.scratch import stored
 
 
 def unit(vector: Column) -> Column:
@@ -30,7 +31,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _blocks(vectors: DataFrame, keys: list[str], size: int) -> tuple[DataFrame, int]:
-    """One row for each hash block of about ``size`` vectors: block, keys as lists, matrix as bytes."""
+    """One stored row for each hash block of about ``size`` vectors, sorted by key: block, keys as lists, matrix as bytes."""
     blocks = max(1, -(-vectors.count() // size))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
@@ -40,7 +41,7 @@ def _blocks(vectors: DataFrame, keys: list[str], size: int) -> tuple[DataFrame,
         return pd.DataFrame({"block": part["block"].iloc[:1], "data": [out.getvalue()]})
 
     dealt = vectors.withColumn("vector", unit(F.col("vector"))).filter("vector is not null").withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(build, "block int, data binary"), blocks
+    return stored(dealt.groupBy("block").applyInPandas(build, "block int, data binary"), "vector_blocks"), blocks
 
 
 def _load(raw: bytes) -> dict[str, np.ndarray]:
@@ -48,32 +49,80 @@ def _load(raw: bytes) -> dict[str, np.ndarray]:
         return {k: parts[k] for k in parts.files}
 
 
+def _block_pairs(vectors: DataFrame, keys: list[str], group: str | None, size: int) -> DataFrame:
+    """i, j, a, b: every pair of blocks i <= j of the vectors, joined by number."""
+    named = [*keys, *([group] if group and group not in keys else [])]
+    blocks, n = _blocks(vectors.select(*named, "vector"), named, size)
+    left = blocks.select(F.col("block").alias("i"), F.col("data").alias("a")).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(n - 1))))
+    return left.join(blocks.select(F.col("block").alias("j"), F.col("data").alias("b")), "j").select("i", "j", "a", "b")
+
+
+def _cosines_of(i: int, j: int, a: bytes, b: bytes, group: str | None) -> np.ndarray:
+    """Cosines of the pairs of two blocks (of one block: each pair once), pairs of one ``group`` left out."""
+    x, y = _load(a), _load(b)
+    keep = np.ones((len(x["m"]), len(y["m"])), bool)
+    if i == j:
+        keep = np.triu(keep, 1)
+    if group:
+        keep &= x[group][:, None] != y[group][None]
+    return (x["m"] @ y["m"].T)[keep]
+
+
 def pair_cosines(vectors: DataFrame, keys: list[str], group: str | None = None, size: int = 2000, digits: int = 9) -> DataFrame:
     """H1: cosine, n: how often each cosine (to ``digits``) occurs over all pairs of vectors, pairs of one ``group`` left out.
 
-    Block pairs i <= j are joined by number and multiplied in numpy; counts leave the task, never pairs.
+    With many digits nearly every pair has a cosine of its own; ``pair_percentiles`` needs no such table.
     """
-    named = [*keys, *([group] if group and group not in keys else [])]
-    blocks, n = _blocks(vectors.select(*named, "vector"), named, size)
-    left = blocks.select(F.col("block").alias("i"), F.col("data").alias("a")).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(n - 1))))
-    pairs = left.join(blocks.select(F.col("block").alias("j"), F.col("data").alias("b")), "j").select("i", "j", "a", "b")
 
     def run(batches):
         for batch in batches:
             for i, j, a, b in zip(batch["i"], batch["j"], batch["a"], batch["b"]):
-                x, y = _load(a), _load(b)
-                keep = np.ones((len(x["m"]), len(y["m"])), bool)
-                if i == j:
-                    keep = np.triu(keep, 1)
-                if group:
-                    keep &= x[group][:, None] != y[group][None]
-                values, counts = np.unique(np.round((x["m"] @ y["m"].T)[keep], digits), return_counts=True)
+                values, counts = np.unique(np.round(_cosines_of(i, j, a, b, group), digits), return_counts=True)
                 yield pd.DataFrame({"cosine": values, "n": counts})
 
-    counted = pairs.mapInPandas(run, "cosine double, n long")
+    counted = _block_pairs(vectors, keys, group, size).mapInPandas(run, "cosine double, n long")
     return counted.groupBy("cosine").agg(F.sum("n").alias("n"))
 
 
+def pair_percentiles(vectors: DataFrame, keys: list[str], group: str | None = None, size: int = 2000, points: tuple[float, ...] = PERCENTILES) -> DataFrame:
+    """Percentile, cosine (to 9 digits) over all pairs of vectors: exact and linear like numpy's; no pairs, no rows.
+
+    A cosine is one of 2e9 whole numbers. A first pass over the block pairs counts them in 2**15 coarse cells, a second
+    one counts the single values of the cells that hold the wanted ranks: what leaves a task is never more than cells.
+    """
+    pairs, low = stored(_block_pairs(vectors, keys, group, size), "block_pairs"), 16
+
+    def counted(cells: list[int] | None) -> pd.DataFrame:
+        def run(batches):
+            for batch in batches:
+                for i, j, a, b in zip(batch["i"], batch["j"], batch["a"], batch["b"]):
+                    value = np.rint(_cosines_of(i, j, a, b, group) * 1e9).astype("int64") + 10**9
+                    cell = value >> low if cells is None else value[np.isin(value >> low, cells)]
+                    values, counts = np.unique(cell, return_counts=True)
+                    yield pd.DataFrame({"value": values, "n": counts})
+
+        # At most 2**15 cells, or 2**16 values for each of two cells a percentile.
+        return pairs.mapInPandas(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).orderBy("value").toPandas()
+
+    coarse = counted(None)
+    ends = np.cumsum(coarse["n"].to_numpy("int64"))
+    schema = "percentile double, cosine double"
+    if not len(ends):
+        return vectors.sparkSession.createDataFrame([], schema)
+    places = [(ends[-1] - 1) * p / 100 for p in points]
+    ranks = sorted({r for x in places for r in (int(np.floor(x)), int(np.ceil(x)))})
+    cells = np.unique(coarse["value"].to_numpy()[np.searchsorted(ends, ranks, side="right")])
+    fine = counted(cells.tolist())
+    values, at = fine["value"].to_numpy(), {}
+    for cell in cells:
+        here = np.flatnonzero(values >> low == cell)
+        k = int(np.searchsorted(coarse["value"].to_numpy(), cell))
+        reach = ends[k] - coarse["n"].iloc[k] + np.cumsum(fine["n"].to_numpy("int64")[here])
+        at |= {r: (values[here[np.searchsorted(reach, r, side="right")]] - 10**9) / 1e9 for r in ranks if ends[k] - coarse["n"].iloc[k] <= r < ends[k]}
+    rows = [(float(p), float(at[int(np.floor(x))] + (x - np.floor(x)) * (at[int(np.ceil(x))] - at[int(np.floor(x))]))) for p, x in zip(points, places)]
+    return vectors.sparkSession.createDataFrame(rows, schema)
+
+
 def percentile_table(counted: DataFrame, approximate: bool = False) -> DataFrame:
     """Percentile, cosine over counted cosines; exact and linear like numpy's; no pairs, no rows."""
     points = F.array(*[F.lit(p / 100) for p in PERCENTILES])
@@ -102,11 +151,36 @@ def sampled_cosines(vectors: DataFrame, keys: list[str], group: str, draws: int,
     return pairs.orderBy("id").limit(draws).select(F.col("id").alias("draw"), cosine(F.col("_va"), F.col("_vb")).alias("cosine"))
 
 
+def _best_owners(sims: np.ndarray, asking: np.ndarray, owners: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity) of each row's ``k`` best other owners, each by its first best column.
+
+    The columns of an owner stand together, and owners in order, so that ties at the cut go to the lower name.
+    """
+    starts = np.flatnonzero(np.append(True, owners[1:] != owners[:-1]))
+    names, best = owners[starts], np.maximum.reduceat(sims, starts, axis=1)
+    own = np.minimum(np.searchsorted(names, asking), len(names) - 1)
+    same = np.flatnonzero(names[own] == asking)
+    best[same, own[same]] = -np.inf
+    most = min(k, len(names))
+    cut = np.partition(best, -most, axis=1)[:, -most]
+    row, col = np.nonzero((best >= cut[:, None]) & (best > -np.inf))
+    order = np.lexsort((col, -best[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(len(sims)))
+    keep = np.arange(len(row)) - first[row] < k
+    row, col = row[keep], col[keep]
+    similarity, at = best[row, col], starts[col]
+    while (later := sims[row, at] != similarity).any():
+        at = at + later
+    return row, at, similarity
+
+
 def nearest(vectors: DataFrame, keys: list[str], owner: str, k: int, size: int = 2000, seeds: DataFrame | None = None) -> DataFrame:
     """K3: the ``k`` other owners most like every seed row, by their best row: seed keys, peer, peer keys, similarity, rank.
 
     Each block pair gives at most ``k`` owners per seed row (ties at the cut by name), ranked again per seed.
     """
+    keys = [owner, *(c for c in keys if c != owner)]
     blocks, n = _blocks(vectors.select(*keys, "vector"), keys, size)
     asking, _ = (blocks, n) if seeds is None else _blocks(seeds.select(*keys, "vector"), keys, size)
     pairs = asking.select(F.col("data").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(blocks, "block").select("a", F.col("data").alias("b"))
@@ -116,14 +190,8 @@ def nearest(vectors: DataFrame, keys: list[str], owner: str, k: int, size: int =
         for batch in batches:
             for a, b in zip(batch["a"], batch["b"]):
                 x, y = _load(a), _load(b)
-                sims = np.round(x["m"] @ y["m"].T, 9)
-                names = y[owner].astype(str)
-                for row in range(len(sims)):
-                    order = np.lexsort((*[y[c] for c in rest[::-1]], names, -sims[row]))
-                    order = order[names[order] != str(x[owner][row])]
-                    _, first = np.unique(names[order], return_index=True)
-                    best = order[np.sort(first)[:k]]
-                    yield pd.DataFrame({**{f"seed_{c}": np.repeat(x[c][row], len(best)) for c in keys}, **{f"peer_{c}": y[c][best] for c in keys}, "similarity": sims[row][best]})
+                row, col, similarity = _best_owners(np.round(x["m"] @ y["m"].T, 9), x[owner].astype(str), y[owner].astype(str), k)
+                yield pd.DataFrame({**{f"seed_{c}": x[c][row] for c in keys}, **{f"peer_{c}": y[c][col] for c in keys}, "similarity": similarity})
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     schema = ", ".join([*(f"seed_{c} {kinds[c]}" for c in keys), *(f"peer_{c} {kinds[c]}" for c in keys), "similarity double"])
