@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from equityjobs.llm.shared import lean, text_batches
-from equityjobs.llm.tokens import Encoder, with_end
+from equityjobs.llm.tokens import Encoder, gathered, with_end
 
 # Fixed values of Simple-8b: ids per word and bits per id by selector from 1 on; selector 0 is the escape.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -173,7 +173,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, segment_i
             held.clear()
             return pa.RecordBatch.from_arrays(row, ["part", "part_start", "n_ids", "payload"])
 
-        for batch in batches:
+        for batch in gathered(batches):
             keys = batch.column(0).cast(pa.int64())
             doc_ids, has_id = keys.fill_null(0).to_numpy(zero_copy_only=False), keys.is_valid().to_numpy(zero_copy_only=False)
             for first, last, ids, lengths in encoder.encode(batch.column(1)):

@@ -21,7 +21,7 @@ def join_side(narrow: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(narrow) if narrow.count() <= most_rows else narrow
 
 
-def text_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+def text_batches(spark: SparkSession, most_bytes: int = 2 << 20) -> None:
     """Texts go to Python workers in Arrow batches of bounded bytes, unless the session has its own bound."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if key not in spark.conf.getAll:

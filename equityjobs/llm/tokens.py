@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from equityjobs.llm.shared import lean, text_batches
 
 #: Bytes of text in one step, and new pieces that are encoded in one line.
-_STEP, _LINE = 8_000_000, 400
+_STEP, _LINE = 4_000_000, 400
 #: Lines of one call: the library's own objects take about a hundred bytes a token.
 _LINES = 64
 
@@ -115,7 +115,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one Spark task, one core
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.inner = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.inner = Tokenizer(self.tokenizer.model)  # the same vocabulary in memory
         self.tokenizer.encode_special_tokens = plain
         cutter = self.tokenizer.pre_tokenizer
         self.cuttable = self.tokenizer.normalizer is None and isinstance(cutter, pre_tokenizers.ByteLevel) and not cutter.add_prefix_space and cutter.use_regex
@@ -243,6 +244,18 @@ def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndar
     return out, lengths + 1
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about a step's bytes: many texts share their pieces."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= (size or _STEP):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that fewer texts are Python strings at once."""
     for batch in batches:
@@ -265,15 +278,16 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, uid = Encoder(tokenizer), TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in gathered(batches):
             for first, last, ids, lengths in encoder.encode(batch.column(1)):
                 ids, lengths = with_end(ids, lengths, end_id)
                 ends = np.concatenate([[0], np.cumsum(lengths) * 4])
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(ends.astype("int64")), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(uid, uid + last - first)), batch.column(0).slice(first, last - first), pa.array(lengths), raw.cast(pa.binary())], ["uid", "doc_id", "n_tokens", "ids"]
-                )
-                uid += last - first
+                for a in range(first, last, 512):
+                    n = min(512, last - a)
+                    part = raw.slice(a - first, n).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + n)), batch.column(0).slice(a, n), pa.array(lengths[a - first : a - first + n]), part], ["uid", "doc_id", "n_tokens", "ids"])
+                    uid += n
 
     kind = docs.schema[id_col].dataType.simpleString()
     text_batches(docs.sparkSession)
