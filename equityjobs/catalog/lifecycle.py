@@ -60,7 +60,7 @@ _CLASSIFIED = f"""{_X},
 
 
 def classified(t):
-    return classify.classified(extractions(t), t.publishers, t.stocks)
+    return jobs.classify_reports(extractions(t), t.publishers, t.stocks)[0]
 
 
 @query("q4_classify_reports", f"WITH {_CLASSIFIED} SELECT id, report_type, publisher, publisher_type, CAST(published_at AS VARCHAR) AS published_at, stock_codes, company_names, out_of_scope_reason, tagging_status, tagging_confidence, tagging_notes FROM cls")
@@ -317,7 +317,7 @@ def _(t):
     SELECT pdf.chat, pdf.message_id, 'new' AS turn FROM pdf JOIN hw ON hw.chat = pdf.chat WHERE pdf.message_id > hw.high
     UNION ALL SELECT chat, message_id, 'retry' FROM pdf WHERE (chat, message_id) IN (SELECT (chat, message_id) FROM attempts) AND (chat, message_id) NOT IN (SELECT (chat, message_id) FROM reports)""")
 def _(t):
-    return collect.increment(t.messages, t.reports, t.attempts).select("chat", "message_id", "turn")
+    return jobs.collect_increment(t.messages, t.reports, t.attempts).select("chat", "message_id", "turn")
 
 
 @query("m1_increment_counts", f"WITH {_M} SELECT count(*) FILTER (WHERE message_id % 3 = 0) AS processed, count(*) FILTER (WHERE message_id % 3 = 1) AS skipped, count(*) FILTER (WHERE message_id % 3 = 2) AS failed, 0 AS retried FROM ms JOIN hw USING (chat) WHERE message_id > high AND (mime = 'application/pdf' OR lower(file_name) LIKE '%.pdf')".replace("0 AS retried", "CAST(0 AS BIGINT) AS retried"))

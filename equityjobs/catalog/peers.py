@@ -9,8 +9,9 @@ from equityjobs.catalog.coverage import _COUNTS
 from equityjobs.catalog.prices import SNAP, priced
 from equityjobs.catalog.registry import query
 from equityjobs.catalog.reports import DAY
-from equityjobs.operators import coverage, peers, terms, vectors
+from equityjobs.operators import coverage, peers, vectors
 from equityjobs.operators import reports as R
+from equityjobs.plans import peers as plans
 from equityjobs.functions import numbers, texts
 from equityjobs.schemas import PERCENTILES
 
@@ -104,15 +105,11 @@ SEGS = f"""{BEST_SEG}, df AS (SELECT code, seg_no FROM (SELECT code, seg_no, row
 
 
 def company_side(t):
-    near = vectors.nearest(t.vectors.join(t.stocks.select("code"), "code", "left_semi").select("code", "vector"), ["code"], "code", 100, seeds=t.vectors.select("code", "vector"))
-    return peers.top_matches(near.select(F.col("seed_code").alias("seed"), F.col("peer_code").alias("peer"), "similarity"), t.stocks, "seed", "peer", 100)
+    return plans.company_matches(t.vectors, t.stocks)
 
 
 def segment_side(t):
-    default = terms.ordered_segments(t.segment_vectors, ["code"]).filter("place = 1").select("code", "seg_no", "vector")
-    listed = t.segment_vectors.join(t.stocks.select("code"), "code", "left_semi").select("code", "seg_no", "vector")
-    near = vectors.nearest(listed, ["code", "seg_no"], "code", 100, seeds=default)
-    return peers.top_matches(near.select(F.col("seed_code").alias("seed"), F.col("peer_code").alias("peer"), F.col("peer_seg_no").alias("seg_no"), "similarity"), t.stocks, "seed", "peer", 100)
+    return plans.segment_matches(t.segment_vectors, t.stocks)
 
 
 @query("k4_top_matches", f"WITH {C_PAIRS}, {LISTED} SELECT seed, peer, k AS rank FROM kc")
@@ -145,7 +142,7 @@ MERGED = f"""{C_PAIRS}, {C_TABLE}, {LISTED}, {S_PAIRS}, {S_TABLE}, {SEGS},
 
 
 def merged(t):
-    return peers.merged_peers(company_side(t), segment_side(t), company_table(t), segment_table(t))
+    return plans.peer_lists(t.vectors, t.segment_vectors, t.stocks)
 
 
 @query("j11_merged_peers", f"WITH {MERGED} SELECT seed, peer, seg_no, round(cs, 6) AS company_similarity, round(ss, 6) AS segment_similarity FROM ranked")
@@ -203,7 +200,7 @@ def judged(t):
     held_by = t.profiles.groupBy(F.col("stock_code").alias("code")).agg(F.max("is_holding").alias("is_holding"))
     counts = coverage.report_counts(t.reports.filter(R.in_scope()), t.stocks, DAY)
     prices = priced(t).withColumn("avg_value_20d", F.col("avg_value_20d") * 1000)  # the test prices are a thousandth of won
-    return peers.judged(merged(t), prices, counts, held_by, t.stocks)
+    return plans.peers_all(t.vectors, t.segment_vectors, t.stocks, prices, counts, held_by)
 
 
 @query("f17_reaction", f"WITH {_JUDGED} SELECT reaction, trading, count(*) AS n FROM judged_of GROUP BY 1, 2")
@@ -228,13 +225,19 @@ def _(t):
     return joined.select("seed", "peer", (F.col("_a") == F.col("_b")).alias("same_day"))
 
 
-_ASKED = "asked AS (SELECT CAST(doc_id AS VARCHAR) AS query, key FROM (SELECT DISTINCT doc_id, key FROM keyed WHERE doc_id % 100 = 0) x)"
+_ASKED = f"asked AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS query, {T.KEY} AS key FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS raw FROM benchmark) x WHERE length(raw) >= 2)"
+
+
+def theme_queries(t):
+    """The queries of the searches: every benchmark item, by the words of its whole text and the vector of its number."""
+    words = F.array_join(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)), " ")
+    rows = t.benchmark.select("item_id", texts.query_terms(words, T.spellings()).alias("keys"))
+    vector = t.embeddings.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return rows.join(vector, "item_id", "left").select(F.col("item_id").cast("string").alias("query"), "keys", "vector")
 
 
 def asked(t):
-    """The stated queries of the searches: every row whose id is divisible by 100, against all rows."""
-    asking = T.with_terms(t).filter("doc_id % 100 = 0")
-    return asking.select(F.col("doc_id").cast("string").alias("query"), F.explode(texts.term_keys(F.col("terms"), T.spellings())).alias("key"))
+    return theme_queries(t).select("query", F.explode("keys").alias("key"))
 
 
 @query("p7_profiles_with_terms", f"WITH {_HELD}, {_ASKED} SELECT query, code, held.key FROM asked JOIN held ON held.key = asked.key")
@@ -250,24 +253,28 @@ def _(t):
     return peers.term_ranking(peers.profiles_with_terms(held(t), asked(t)), T.term_table(t))
 
 
-_NEAR_RANK = f"{C_PAIRS}, nr AS (SELECT CAST(CAST(seed AS BIGINT) AS VARCHAR) AS query, peer AS code, row_number() OVER (PARTITION BY seed ORDER BY c DESC, peer) AS rank FROM cp WHERE CAST(seed AS BIGINT) % 100 = 0)"
-_RRF = "SELECT query, code, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, code) AS rank FROM (SELECT query, code, round(sum(1.0 / (60 + rank)), 12) AS score FROM both_of GROUP BY 1, 2) x"
+_THEME = f"""{_HELD}, {_ASKED}, lst AS (SELECT DISTINCT code FROM stocks), qv AS (SELECT CAST(q.item_id AS VARCHAR) AS query, e.embedding AS vector FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id),
+    cq AS (SELECT a.query, b.code, {cos('a', 'b')} AS c FROM qv a, vectors b),
+    nr AS (SELECT query, code, row_number() OVER (PARTITION BY query ORDER BY c DESC, code) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, code) AS k FROM cq) x WHERE k <= 200 AND code IN (SELECT code FROM lst)),
+    sq AS (SELECT a.query, b.code, max({cos('a', 'b')}) AS c FROM qv a, segment_vectors b GROUP BY 1, 2),
+    sr AS (SELECT query, code, row_number() OVER (PARTITION BY query ORDER BY c DESC, code) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, code) AS k FROM sq) x WHERE k <= 200 AND code IN (SELECT code FROM lst)),
+    tr AS (SELECT query, code, row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, sum(coalesce(companies, 1)), code) AS rank FROM asked JOIN held ON held.key = asked.key LEFT JOIN tt ON tt.key = asked.key WHERE code IN (SELECT code FROM lst) GROUP BY query, code),
+    every_rank AS (SELECT query, code, rank FROM nr WHERE rank <= 100 UNION ALL SELECT query, code, rank FROM sr WHERE rank <= 100 UNION ALL SELECT query, code, rank FROM tr),
+    themed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, code) AS rank FROM (SELECT query, code, round(sum(1.0 / (60 + rank)), 12) AS score FROM every_rank GROUP BY 1, 2) x)"""
 
 
-def search(t):
-    near = vectors.nearest(t.vectors.select("code", "vector"), ["code"], "code", 200, seeds=t.vectors.filter("cast(code as long) % 100 = 0").select("code", "vector"))
-    near = near.select(F.col("seed_code").cast("long").cast("string").alias("query"), F.col("peer_code").alias("code"), "rank")
-    return peers.fused([peers.term_ranking(peers.profiles_with_terms(held(t), asked(t)), T.term_table(t)), near])
+def search(t, limit):
+    return plans.theme_search(theme_queries(t), t.vectors, t.segment_vectors, held(t), T.term_table(t), t.stocks, limit)
 
 
-@query("u1_fused_ranks", f"WITH {_TERM_RANK}, {_NEAR_RANK}, both_of AS (SELECT query, code, rank FROM tr UNION ALL SELECT query, code, rank FROM nr WHERE rank <= 200) SELECT query, code, rank, round(score, 6) AS score FROM ({_RRF}) z")
+@query("u1_fused_ranks", f"WITH {_THEME} SELECT query, themed.code, rank, round(score, 6) AS score FROM themed JOIN lst ON lst.code = themed.code")
 def _(t):
-    return search(t)
+    return search(t, 1 << 30).select("query", "code", "rank", "score")
 
 
-@query("q7_theme_search", f"WITH {_TERM_RANK}, {_NEAR_RANK}, both_of AS (SELECT query, code, rank FROM tr UNION ALL SELECT query, code, rank FROM nr WHERE rank <= 200) SELECT z.query, z.code, s.name, z.rank FROM ({_RRF}) z JOIN stocks s ON s.code = z.code WHERE z.rank <= 30")
+@query("q7_theme_search", f"WITH {_THEME} SELECT query, themed.code, s.name, rank FROM themed JOIN stocks s ON s.code = themed.code WHERE rank <= 30")
 def _(t):
-    return search(t).filter("rank <= 30").join(t.stocks.select("code", "name"), "code").select("query", "code", "name", "rank")
+    return search(t, 30).select("query", "code", "name", "rank")
 
 
 @query("f16_same_industry", f"WITH {_NEXT} SELECT seed, peer, a.sector_minor = b.sector_minor AS same_industry FROM pairs JOIN stocks a ON a.code = seed JOIN stocks b ON b.code = peer")

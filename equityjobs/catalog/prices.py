@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,3 +119,23 @@ def _(t):
 @query("q1_price_snapshot", f"WITH {SNAP} SELECT {SHOWN} FROM priced")
 def _(t):
     return priced(t)
+
+
+def _renamed(text: str, rows: str, mark: str) -> str:
+    """The snapshot CTEs over other rows of daily_prices, with names of their own."""
+    text = text.replace("FROM daily_prices WHERE close > 0", f"FROM daily_prices WHERE close > 0 AND {rows}")
+    return re.sub(r"\b(ser|dated|snap|med|priced)\b", rf"\1_{mark}", text)
+
+
+_GOT = _renamed(SNAP, "stock_code NOT IN (SELECT stock_code FROM quotes WHERE halted)", "new")
+_OLD = _renamed(SNAP, "day < DATE '1998-01-01'", "old")
+
+
+@query("q1_price_run", f"""
+    WITH {_GOT}, {_OLD} SELECT {SHOWN} FROM priced_new
+    UNION ALL SELECT {SHOWN.replace("array_to_string(flags, '|')", "array_to_string(list_concat(['no_data'], flags), '|')")} FROM priced_old WHERE stock_code NOT IN (SELECT stock_code FROM priced_new)""")
+def _(t):
+    """The run receives the stocks that are not halted; the table before it is that of an earlier day."""
+    halted = t.quotes.filter("halted").select("stock_code")
+    before = jobs.price_snapshot(t.daily_prices.filter("day < date'1998-01-01'"), t.quotes, t.stocks, ARRIVAL)
+    return jobs.price_run(t.stocks, t.daily_prices.join(halted, "stock_code", "left_anti"), t.quotes, before, ARRIVAL)[1]

@@ -84,12 +84,21 @@ def grounded_terms(documents: DataFrame, spellings: DataFrame) -> DataFrame:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tidy(terms: Column, cap: int, spellings: Column) -> Column:
     """terms once per comparison key, the first spelling kept, up to the cap."""
-    bare = F.filter(F.transform(terms, strip), lambda t: term_key(t, spellings) != "")
-    keys = F.transform(bare, lambda t: term_key(t, spellings))
-    firsts = F.filter(F.transform(bare, lambda t, i: F.when(F.array_position(keys, F.element_at(keys, i + 1)) == i + 1, t)), lambda t: t.isNotNull())
-    return F.slice(firsts, 1, cap)
+    keyed = F.transform(terms, lambda t, i: F.struct(term_key(strip(t), spellings).alias("key"), i.alias("pos"), strip(t).alias("term")))
+
+    def first_of_keys(entries: Column) -> Column:
+        return F.filter(entries, lambda e, i: (i == 0) | (F.get(entries, i - 1)["key"] != e["key"]))
+
+    firsts = _let(F.array_sort(F.filter(keyed, lambda e: e["key"] != "")), first_of_keys)
+    ordered = F.array_sort(F.transform(firsts, lambda e: F.struct(e["pos"].alias("pos"), e["term"].alias("term"))))
+    return F.transform(F.slice(ordered, 1, cap), lambda e: e["term"])
 
 
 def capped_share(share: Column) -> Column:

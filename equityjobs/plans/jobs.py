@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equityjobs.functions.dates import expected_trading_day
-from equityjobs.operators import compare, coverage, prices
-from equityjobs.operators.reports import newest_in_scope, summary_invariants
+from equityjobs.operators import classify, collect, compare, coverage, lifecycle, prices
+from equityjobs.operators.reports import in_scope, newest_in_scope, summary_invariants
+from equityjobs.sources import sinks
+from equityjobs.sources.scratch import stored
 
 
 def price_snapshot(daily: DataFrame, quotes: DataFrame, stocks: DataFrame, arrival: list[str], since: date | None = None) -> DataFrame:
@@ -71,9 +73,52 @@ def compare_reports(reports: DataFrame, metrics: DataFrame) -> DataFrame:
     return compare.revisions(pairs, metrics)
 
 
-def peer_build_counts(targets: DataFrame, profiles: DataFrame, terms: DataFrame) -> DataFrame:
-    """Q5: one row for a build's log: eligible and profiled companies, terms and their holders."""
-    ok = profiles.filter("status = 'ok'").select("stock_code").distinct().withColumn("_ok", F.lit(True))
-    counts = targets.join(ok, "stock_code", "left").agg(F.count(F.lit(1)).alias("eligible"), F.count("_ok").alias("profiled"))
-    held = terms.agg(F.count(F.lit(1)).alias("terms"), F.sum("companies").alias("holdings"))
-    return counts.join(F.broadcast(held))  # one row each
+def price_run(targets: DataFrame, daily: DataFrame, quotes: DataFrame, before: DataFrame, arrival: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(one row about the run, the snapshot table after it).
+
+    ``daily`` holds what the run received; ``before`` is the snapshot table up to now. Stocks that were not received keep their
+    stored row, flagged; a failed run changes nothing. The one row decides, so it is computed here.
+    """
+    received = stored(price_snapshot(daily, quotes, targets, arrival), "received")
+    summary = stored(prices.run_summary(targets, received), "run")
+    failed = summary.first()["status"] == "failed"  # one row
+    return summary, before if failed else prices.merge_run(received, before.select(*received.columns))
+
+
+def classify_reports(extractions: DataFrame, publishers: DataFrame, stocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classified rows of a batch, and their counts by status, confidence, reason and mark."""
+    rows = stored(classify.classified(extractions, publishers, stocks), "classified")
+    return rows, classify.batch_report(rows)
+
+
+def report_counts(rows: DataFrame, stocks: DataFrame, day: str) -> DataFrame:
+    """The report label of every listed company."""
+    return coverage.report_counts(rows.filter(in_scope()), stocks, day)
+
+
+def collect_increment(messages: DataFrame, reports: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Q11: what to fetch: failed messages first, then new ones above each chat's high-water mark."""
+    return collect.increment(messages, reports, attempts)
+
+
+def requeue(selected_from: DataFrame, current: DataFrame, publishers: DataFrame, columns: list[str], backup: str, criteria: tuple[str, ...] = lifecycle.CRITERIA) -> DataFrame:
+    """Q12: rows that meet a criterion go back to pending, after a backup; returns id, met and the reset columns.
+
+    ``selected_from`` is the table (with ``renders``) that the rows were picked from, ``current`` the table now. The backup (S6
+    lines under the path ``backup``) is counted before anything is reset; of the backed-up rows, those that are unchanged
+    in ``columns`` and still meet a criterion are reset, and just these.
+    """
+    picked = stored(lifecycle.met_criteria(selected_from, publishers, criteria).filter(F.size("met") > 0), "picked")
+    cells = [F.to_json(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f.name) for f in picked.schema if f.name in ("id", *columns)]
+    sinks.write_backup(picked.select(*cells), backup)
+    wanted = picked.count()
+    # A quoted line break is no line's end, so lines are counted by their first cell.
+    written = picked.sparkSession.read.text(backup, lineSep="\n").filter(F.col("value").rlike(r'^"-?\d+"(,|$)')).count()
+    if written < wanted:
+        raise RuntimeError(f"the backup has {written} of {wanted} rows; nothing was reset")
+    still = lifecycle.met_criteria(current, publishers, criteria).filter(F.size("met") > 0)
+    kept = stored(still.join(picked.select("id"), "id", "left_semi").alias("c").join(picked.alias("b"), (F.col("c.id") == F.col("b.id")) & lifecycle.same_row("c", "b", columns), "left_semi"), "kept")
+    reset = stored(lifecycle.guarded_reset(kept.drop("met", "renders"), picked.drop("met", "renders"), columns), "reset")
+    if reset.count() != kept.count():
+        raise RuntimeError(f"{reset.count()} rows would be reset instead of {kept.count()}; nothing was reset")
+    return reset.join(kept.select("id", "met"), "id")
