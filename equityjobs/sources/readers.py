@@ -31,6 +31,6 @@ def read_stock_list(spark: SparkSession, path: str, headers: tuple[str, ...] = S
 
 
 def read_report_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """Path, size and SHA-256 of the files under ``path``."""
+    """Path, size and SHA-256 of the files under ``path``; Spark leaves out files without a byte."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))

@@ -11,10 +11,15 @@ _own_folder: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temp folder of this process where it is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; a temp folder of this process where it is unset, as in tests.
+
+    On a cluster, executors would not share such a folder: there, the setting is required.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append(f"file://{tempfile.mkdtemp(prefix='equityjobs-')}")
     return _own_folder[0]

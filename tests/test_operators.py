@@ -167,3 +167,81 @@ def test_repeated_codes_and_names(spark):
     by_code, by_name = classify.keyed_stocks(spark.createDataFrame(rows, "line_no long, code string, name string"))
     assert {r["code"]: r["name"] for r in by_code.collect()} == {"1": "Renamed", "2": "bigco"}
     assert {r["name_key"]: r["code"] for r in by_name.collect()} == {"bigco": "1", "renamed": "1"}
+
+
+def test_sampled_cosines_are_cosines_of_given_pairs(spark):
+    """A15 has no SQL: its draws are checked one by one against all pairs."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(40, 5))
+    rows = [(f"c{i // 2:02d}", i % 2, [float(x) for x in v]) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "code string, seg_no int, vector array<double>")
+    got = vectors.sampled_cosines(df, ["code", "seg_no"], "code", 500, seed=3).collect()
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    pairs = np.sort([unit[i] @ unit[j] for i in range(40) for j in range(i) if i // 2 != j // 2])
+    at = np.searchsorted(pairs, [r["cosine"] for r in got])
+    near = np.minimum(np.abs(pairs[np.minimum(at, len(pairs) - 1)] - [r["cosine"] for r in got]), np.abs(pairs[np.maximum(at - 1, 0)] - [r["cosine"] for r in got]))
+    assert len(got) == 500 and near.max() < 1e-12
+    assert [tuple(r) for r in got] == [tuple(r) for r in vectors.sampled_cosines(df, ["code", "seg_no"], "code", 500, seed=3).collect()]
+    assert len({round(r["cosine"], 9) for r in got}) > 300  # drawn from all over
+
+
+def test_pair_percentiles_are_those_of_numpy(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(90, 6))
+    rows = [(f"c{i:02d}", f"g{i % 7}", [float(x) for x in v]) for i, v in enumerate(m)] + [("zero", "g1", [0.0] * 6)]
+    df = spark.createDataFrame(rows, "code string, grp string, vector array<double>")
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    cosines = [round(float(unit[i] @ unit[j]), 9) for i in range(90) for j in range(i) if i % 7 != j % 7]
+    got = vectors.pair_percentiles(df, ["code"], group="grp", size=20, points=(0.0, 37.5, 95.0, 99.99, 100.0)).collect()
+    assert [r["percentile"] for r in got] == [0.0, 37.5, 95.0, 99.99, 100.0]
+    assert np.allclose([r["cosine"] for r in got], np.percentile(cosines, [0, 37.5, 95, 99.99, 100]), atol=2e-9)
+    assert vectors.pair_percentiles(df.limit(1), ["code"]).count() == 0
+
+
+def test_report_files_by_content(spark, tmp_path):
+    """S4 has no SQL: names, sizes and checksums are those of the files."""
+    import hashlib
+
+    from equityjobs.sources import readers
+
+    files = {"a.pdf": b"%PDF-1", "b.pdf": b"2" * 70_000, "c.txt": b"other"}
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r["path"].rsplit("/", 1)[1]: (r["size"], r["sha256"]) for r in readers.read_report_files(spark, f"file://{tmp_path}", "*.pdf").collect()}
+    assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in files.items() if n.endswith(".pdf")}
+
+
+def test_requeue_resets_only_what_is_unchanged(spark, tmp_path):
+    from equityjobs.plans import jobs
+
+    schema = "id long, tagging_status string, tagging_notes string, publisher string, publisher_type string, file_name string, title string, renders boolean"
+    rows = [(i, "review_needed", "krx_unmatched_in_scope:x", None, None, "plain.pdf", 'a "title"\nof two lines', True) for i in range(6)] + [(9, "verified", None, None, None, "p.pdf", "t", True)]
+    before = spark.createDataFrame(rows, schema)
+    for c in ("published_at date", "report_type string", "out_of_scope_reason string", "tagging_confidence string", "tagged_at timestamp", "tagger_version string", "taxonomy_version string", "tagging_locked_at timestamp", "tagging_worker_id string"):
+        name, kind = c.split()
+        before = before.withColumn(name, F.lit(None).cast(kind))
+    for name in ("analysts", "stock_codes", "company_names", "stock_codes_raw", "company_names_raw", "sectors_major", "sectors_minor", "products"):
+        before = before.withColumn(name, F.expr("cast(array() as array<string>)"))
+    now = before.withColumn("title", F.when(F.col("id") == 2, "changed").otherwise(F.col("title"))).withColumn("tagging_notes", F.when(F.col("id") != 3, F.col("tagging_notes")))
+    publishers = spark.createDataFrame([("P1", "p1", "broker")], "canonical string, alias string, publisher_type string")
+    done = jobs.requeue(before, now, publishers, ["title", "tagging_status"], f"file://{tmp_path}/backup")
+    assert sorted(r["id"] for r in done.collect()) == [0, 1, 4, 5] and {r["tagging_status"] for r in done.collect()} == {"pending"}
+    text = "".join(sorted(p.read_text() for p in (tmp_path / "backup").glob("part-*")))
+    assert text.count('""title""') == 6
+
+
+def test_a_failed_price_run_changes_nothing(spark):
+    import datetime
+
+    from equityjobs.plans import jobs
+
+    day = datetime.date(2024, 1, 2)
+    stocks = spark.createDataFrame([(f"{i:06d}", "KOSPI") for i in range(10)], "code string, market string")
+    quotes = spark.createDataFrame([("000001", False, False, 5)], "stock_code string, halted boolean, admin_issue boolean, market_cap long")
+    daily = spark.createDataFrame([(f"{i:06d}", day, 100 + i, 5, 1) for i in range(10)], "stock_code string, day date, close long, trading_value long, no int")
+    before = jobs.price_snapshot(daily.withColumn("close", F.lit(7).cast("long")), quotes, stocks, ["no"])
+    for received, status in ((9, "partial"), (3, "failed")):
+        summary, after = jobs.price_run(stocks, daily.filter(F.col("close") < 100 + received), quotes, before, ["no"])
+        closes = {r["stock_code"]: (r["close"], r["flags"][:1]) for r in after.collect()}
+        assert summary.first()["status"] == status and len(closes) == 10
+        assert closes["000009"] == (7, ["no_data"] if status == "partial" else ["short_history"]) and closes["000001"][0] == (101 if status == "partial" else 7)
