@@ -483,7 +483,7 @@ def near_copies(
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(join_side(wanted), F.col("_id").eqNullSafe(F.col("_least")), "left_semi")
     sets = _shingle_sets(texts, width, seed, "_id", "_text").join(join_side(members.select("node", "n", "value", *names)), "node")
     held = stored(sets.select("node", "shingles", "n", *names, F.lit(0).alias("band"), "value"), "shingles")
-    dealt = _dealt_shards(held, ["n", *names, "shingles"], shingles, 2 * shingles, weight="n")
+    dealt = _dealt_shards(held, ["n", *names, "shingles"], shingles, shingles // 4, weight="n")
     edges = stored(dealt.applyInPandas(lambda x: _family_links(x, names, radius, similarity), "a long, b long").distinct(), "links")
     roots = stored(components(edges).select(F.col("fp").alias("node"), "root"), "roots")
     rooted = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
