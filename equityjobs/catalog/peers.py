@@ -9,11 +9,12 @@ from equityjobs.catalog.coverage import _COUNTS
 from equityjobs.catalog.prices import SNAP, priced
 from equityjobs.catalog.registry import query
 from equityjobs.catalog.reports import DAY
-from equityjobs.operators import coverage, peers, vectors
+from equityjobs.operators import coverage, peers, terms, vectors
 from equityjobs.operators import reports as R
 from equityjobs.plans import peers as plans
 from equityjobs.functions import numbers, texts
 from equityjobs.schemas import PERCENTILES
+from equityjobs.sources.scratch import stored
 
 _DOT = "list_dot_product(CAST({a}.vector AS DOUBLE[]), CAST({b}.vector AS DOUBLE[]))"
 
@@ -164,8 +165,18 @@ _HELD = f"{T.TABLE}, held AS (SELECT DISTINCT stock_code AS code, key FROM keyed
 _NEXT = f"{C_PAIRS}, pairs AS (SELECT seed, peer FROM (SELECT seed, peer, row_number() OVER (PARTITION BY seed ORDER BY c DESC, peer) AS k FROM cp) x WHERE k <= 10)"
 
 
-def held(t):
-    return peers.key_of_terms(T.with_terms(t), texts.term_keys(F.col("terms"), T.spellings()))
+def keyed(t):
+    """The terms of the usable profiles, cut from their texts once: doc_id, code, key, raw."""
+    usable = T.with_terms(t).filter("status = 'ok'").withColumn("code", F.col("stock_code"))
+    return stored(terms.keyed_terms(usable, T.spellings(), ["doc_id"], ("code",)), "keyed_terms")
+
+
+def held(rows):
+    return rows.select("code", "key").distinct()
+
+
+def table(rows):
+    return terms.table_of(rows, T.displays(), ["doc_id"])
 
 
 def near_pairs(t):
@@ -176,14 +187,16 @@ def near_pairs(t):
 
 @query("j14_shared_keys", f"WITH {_HELD}, {_NEXT} SELECT seed, peer, count(*) AS shared FROM pairs JOIN held a ON a.code = seed JOIN held b ON b.code = peer AND b.key = a.key JOIN tt ON tt.key = a.key GROUP BY 1, 2")
 def _(t):
-    return peers.shared_keys(near_pairs(t), held(t), T.term_table(t)).groupBy("seed", "peer").agg(F.count(F.lit(1)).alias("shared"))
+    rows = keyed(t)
+    return peers.shared_keys(near_pairs(t), held(rows), table(rows)).groupBy("seed", "peer").agg(F.count(F.lit(1)).alias("shared"))
 
 
 @query("w11_shared_terms", f"""
     WITH {_HELD}, {_NEXT} SELECT seed, peer, display, companies, place FROM (SELECT seed, peer, display, companies, row_number() OVER (PARTITION BY seed, peer ORDER BY companies, tt.key) AS place
     FROM pairs JOIN held a ON a.code = seed JOIN held b ON b.code = peer AND b.key = a.key JOIN tt ON tt.key = a.key) x WHERE place <= 5""")
 def _(t):
-    return peers.shared_terms(peers.shared_keys(near_pairs(t), held(t), T.term_table(t))).select("seed", "peer", "display", "companies", "place")
+    rows = keyed(t)
+    return peers.shared_terms(peers.shared_keys(near_pairs(t), held(rows), table(rows))).select("seed", "peer", "display", "companies", "place")
 
 
 _JUDGED = f"""{MERGED}, {SNAP}, {_COUNTS}, hold AS (SELECT stock_code AS code, max(is_holding) AS is_holding FROM profiles GROUP BY 1),
@@ -242,7 +255,7 @@ def asked(t):
 
 @query("p7_profiles_with_terms", f"WITH {_HELD}, {_ASKED} SELECT query, code, held.key FROM asked JOIN held ON held.key = asked.key")
 def _(t):
-    return peers.profiles_with_terms(held(t), asked(t))
+    return peers.profiles_with_terms(peers.term_holders(keyed(t)), asked(t))
 
 
 _TERM_RANK = f"{_HELD}, {_ASKED}, tr AS (SELECT query, code, count(*) AS keys, CAST(sum(coalesce(companies, 1)) AS BIGINT) AS holders, row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, sum(coalesce(companies, 1)), code) AS rank FROM asked JOIN held ON held.key = asked.key LEFT JOIN tt ON tt.key = asked.key GROUP BY query, code)"
@@ -250,7 +263,8 @@ _TERM_RANK = f"{_HELD}, {_ASKED}, tr AS (SELECT query, code, count(*) AS keys, C
 
 @query("w12_term_ranking", f"WITH {_TERM_RANK} SELECT * FROM tr")
 def _(t):
-    return peers.term_ranking(peers.profiles_with_terms(held(t), asked(t)), T.term_table(t))
+    rows = keyed(t)
+    return peers.term_ranking(peers.term_totals(peers.term_holders(rows), asked(t), table(rows)))
 
 
 _THEME = f"""{_HELD}, {_ASKED}, lst AS (SELECT DISTINCT code FROM stocks), qv AS (SELECT CAST(q.item_id AS VARCHAR) AS query, e.embedding AS vector FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id),
@@ -264,7 +278,8 @@ _THEME = f"""{_HELD}, {_ASKED}, lst AS (SELECT DISTINCT code FROM stocks), qv AS
 
 
 def search(t, limit):
-    return plans.theme_search(theme_queries(t), t.vectors, t.segment_vectors, held(t), T.term_table(t), t.stocks, limit)
+    rows = keyed(t)
+    return plans.theme_search(theme_queries(t), t.vectors, t.segment_vectors, peers.term_holders(rows), table(rows), t.stocks, limit)
 
 
 @query("u1_fused_ranks", f"WITH {_THEME} SELECT query, themed.code, rank, round(score, 6) AS score FROM themed JOIN lst ON lst.code = themed.code")

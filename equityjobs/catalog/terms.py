@@ -84,15 +84,12 @@ def with_said_terms(t):
            CASE WHEN count(raw) = 0 THEN false ELSE count(*) FILTER (WHERE ok) / count(raw) < 0.8 END AS ask_again
     FROM profiles p LEFT JOIN hit ON hit.doc_id = p.doc_id GROUP BY p.doc_id""")
 def _(t):
-    docs = with_said_terms(t)
-    spelled = terms.term_spellings(docs.select(F.explode("terms").alias("term")), SYNONYMS)
-    return terms.grounded_terms(docs, spelled)
+    return terms.grounded_terms(with_said_terms(t), SYNONYMS)
 
 
 @query("a25_grounding_ratio", f"WITH {RAW}, {_SAID}, h AS (SELECT doc_id, {_HAY} AS hay FROM profiles) SELECT round(sum(CASE WHEN contains(hay, lower(raw)) THEN 1 ELSE 0 END) / count(*), 6) AS ratio, count(*) AS given FROM said JOIN h ON h.doc_id = said.doc_id")
 def _(t):
-    docs = with_said_terms(t)
-    found = terms.grounded_terms(docs, terms.term_spellings(docs.select(F.explode("terms").alias("term")), {}))
+    found = terms.grounded_terms(with_said_terms(t), {})
     return found.agg((F.sum(F.size("kept_terms")) / F.sum("given")).alias("ratio"), F.sum("given").cast("long").alias("given"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 MIDDLE_DOTS = "·ㆍ・‧∙⋅"
 HYPHENS = "\\-‐‑‒–−﹣－"
 SLASHES = "/／"
+#: White space of any script, as a character class for patterns outside Spark.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _GAPS = rf"(?U)[\s{MIDDLE_DOTS}{HYPHENS}]+"
 _PARTS = rf"(?U)[\s{MIDDLE_DOTS}{HYPHENS}{SLASHES}]+|[^\s{MIDDLE_DOTS}{HYPHENS}{SLASHES}]+"
 _QUERY_GAPS = rf"(?U)[\s,，、{MIDDLE_DOTS}]+"

@@ -2,47 +2,59 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equityjobs.functions.texts import format_share, squash, strip, term_key
+from equityjobs.functions.texts import HYPHENS, MIDDLE_DOTS, SLASHES, WHITE, format_share, squash, strip, term_key
+from equityjobs.sources.scratch import bounded_batches
 
 NO_ROLE = "기타"
+#: The most terms of each kind in a profile.
 PROFILE_CAPS = {"products": 12, "keywords": 15, "applications": 8, "customers": 8, "competitors": 8}
 
 
-def term_table(profiles: DataFrame, spellings: Column, displays: Column, order: list[str]) -> DataFrame:
-    """Key, display, companies over (terms, ``order``) rows.
+def keyed_terms(profiles: DataFrame, spellings: Column, order: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """``order``, ``also``, key, raw: each comparison key of a profile's terms once, with its first spelling there.
 
-    The display is the standard spelling, else the spelling of the first profile in ``order`` that has the key.
+    ``order`` tells profiles apart. A spelling's first place in a profile is enough, so its key is worked out once a profile.
     """
-    rows = profiles.select(*order, F.posexplode("terms").alias("_pos", "_raw"))
+    rows = profiles.select(*order, *also, F.posexplode(F.array_distinct("terms")).alias("_pos", "_raw"))
     keyed = rows.withColumn("key", term_key(F.col("_raw"), spellings)).filter("key <> ''")
-    once = keyed.groupBy("key", *order).agg(F.min_by("_raw", "_pos").alias("_raw"))
-    found = once.groupBy("key").agg(F.min_by("_raw", F.struct(*order)).alias("_raw"), F.count(F.lit(1)).alias("companies"))
+    return keyed.groupBy("key", *order, *also).agg(F.min_by("_raw", "_pos").alias("raw"))
+
+
+def table_of(keyed: DataFrame, displays: Column, order: list[str]) -> DataFrame:
+    """Key, display, companies of ``keyed_terms``.
+
+    The display is the standard spelling, else the spelling of the first profile in ``order`` that has the key.
+    """
+    found = keyed.groupBy("key").agg(F.min_by("raw", F.struct(*order)).alias("_raw"), F.count(F.lit(1)).alias("companies"))
     return found.select("key", F.coalesce(F.try_element_at(displays, F.col("key")), strip(F.col("_raw"))).alias("display"), "companies")
 
 
+def term_table(profiles: DataFrame, spellings: Column, displays: Column, order: list[str]) -> DataFrame:
+    """Key, display, companies over (terms, ``order``) rows."""
+    return table_of(keyed_terms(profiles, spellings, order), displays, order)
+
+
 def spelling_violations(spellings: DataFrame) -> DataFrame:
     """spellings under more than one standard, from (standard, spelling) rows."""
     keyed = spellings.select(squash(F.col("spelling")).alias("key"), squash(F.col("standard")).alias("_standard"))
     return keyed.groupBy("key").agg(F.count_distinct("_standard").alias("standards")).filter("standards > 1")
 
 
-def term_spellings(terms: DataFrame, forms: dict[str, list[str]], most: int = 64) -> DataFrame:
-    """the squashed spellings that stand for each distinct ``term`` in a squashed text.
+def spelling_rule(forms: dict[str, list[str]], most: int = 64) -> Callable[[str], list[str]]:
+    """what gives the squashed spellings that stand for a term in a squashed text.
 
-    ``forms`` maps a standard spelling to its other spellings. Spellings of a term's words multiply, up to
-    ``most``; the work is per distinct term, in Arrow batches.
+    ``forms`` maps a standard spelling to its other spellings. Spellings of a term's words multiply, up to ``most``.
     """
-    import itertools
-    import re
-
-    import pandas as pd
-
-    from equityjobs.functions.texts import HYPHENS, MIDDLE_DOTS, SLASHES
-
-    gaps, parting = re.compile(f"[\\s{MIDDLE_DOTS}{HYPHENS}]+"), re.compile(f"([\\s{MIDDLE_DOTS}{HYPHENS}{SLASHES}]+)")
+    gaps, parting = re.compile(f"[{WHITE}{MIDDLE_DOTS}{HYPHENS}]+"), re.compile(f"([{WHITE}{MIDDLE_DOTS}{HYPHENS}{SLASHES}]+)")
 
     def flat(s: str) -> str:
         return gaps.sub("", s.lower())
@@ -60,28 +72,66 @@ def term_spellings(terms: DataFrame, forms: dict[str, list[str]], most: int = 64
         built = (flat("".join(c)) for c in itertools.islice(itertools.product(*options), most))
         return [s for s in dict.fromkeys([flat(term), *families.get(flat(term), []), *built]) if s][:most]
 
-    def run(batches):
+    return spell
+
+
+def term_spellings(terms: DataFrame, forms: dict[str, list[str]], most: int = 64) -> DataFrame:
+    """term, spellings of each distinct ``term``; the work is per distinct term, in Arrow batches."""
+    spell = spelling_rule(forms, most)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"term": batch["term"], "spellings": [spell(t) for t in batch["term"]]})
 
     return terms.select("term").filter("term is not null").distinct().mapInPandas(run, "term string, spellings array<string>")
 
 
-def grounded_terms(documents: DataFrame, spellings: DataFrame) -> DataFrame:
-    """Per document the terms whose spelling occurs in its squashed text, and the kept share.
+def found_terms(hay: str, terms: dict[str, list[str]]) -> set[str]:
+    """The terms any of whose spellings stands in ``hay``, which an automaton of all spellings reads once."""
+    import ahocorasick
+
+    standing: dict[str, list[str]] = {}
+    for term, spellings in terms.items():
+        for s in spellings:
+            standing.setdefault(s, []).append(term)
+    if not standing or not hay:
+        return set()
+    automaton = ahocorasick.Automaton()
+    for s in standing:
+        automaton.add_word(s, s)
+    automaton.make_automaton()
+    return {term for s in {s for _, s in automaton.iter(hay)} for term in standing[s]}
+
 
-    ``documents``: doc_id, text, terms. The text stands once per document: the spellings of its terms are
-    collected next to it, instead of the text next to every term.
+def grounded_terms(documents: DataFrame, forms: dict[str, list[str]], most: int = 64) -> DataFrame:
+    """Per document the terms with a spelling that occurs in its squashed text, and the kept share.
+
+    ``documents``: doc_id, text, terms; ``forms`` as in ``spelling_rule``. Rows stay where they are. Each text is read once, by an
+    automaton of the spellings of its distinct terms, so the work is linear in the text, the terms and what they match.
+    A term without a character that counts is not asked for; a document without terms has a share of 1.
     """
-    asked = documents.select("doc_id", F.posexplode("terms").alias("_pos", "term")).filter(squash(F.col("term")) != "")
-    spelled = asked.join(spellings, "term", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "term", "spellings"))).alias("_asked"))
-    whole = documents.select("doc_id", squash(F.col("text")).alias("_hay")).join(spelled, "doc_id", "left")
-    asked_all = F.coalesce("_asked", F.expr("cast(array() as array<struct<_pos:int,term:string,spellings:array<string>>>)"))
-    kept = F.filter(asked_all, lambda a: F.exists(a["spellings"], lambda s: F.contains(F.col("_hay"), s)))
-    ratio = F.when(F.size(asked_all) == 0, 1.0).otherwise(F.size("_kept") / F.size(asked_all))
-    return whole.withColumn("_kept", kept).select(
-        "doc_id", F.transform("_kept", lambda a: strip(a["term"])).alias("kept_terms"), F.size(asked_all).alias("given"), ratio.alias("grounding_ratio"), (ratio < 0.8).alias("ask_again")
-    )
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    spell = spelling_rule(forms, most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
+        for batch in batches:
+            given, kept = [], []
+            for hay, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                asked = {t: known.get(t) or known.setdefault(t, spell(t)) for t in dict.fromkeys(terms or ()) if t is not None}
+                asked = {t: s for t, s in asked.items() if s}
+                found = found_terms(hay, asked)
+                given.append(sum(t in asked for t in terms or ()))
+                kept.append([t for t in terms or () if t in found])
+            if len(known) > 200_000:
+                known.clear()
+            columns = [batch.column(0), pa.array(given, pa.int32()), pa.array(kept, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "given", "_kept"])
+
+    bounded_batches(documents.sparkSession)
+    read = documents.select("doc_id", squash(F.col("text")).alias("_hay"), "terms").mapInArrow(run, f"doc_id {kind}, given int, _kept array<string>")
+    ratio = F.when(F.col("given") == 0, 1.0).otherwise(F.size("_kept") / F.col("given"))
+    return read.select("doc_id", F.transform("_kept", strip).alias("kept_terms"), "given", ratio.alias("grounding_ratio"), (ratio < 0.8).alias("ask_again"))
 
 
 def _let(value: Column, body) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equityjobs.operators import filings, peers, terms, vectors
+from equityjobs.sources.scratch import stored
 
 #: Matches that a vector search gives, and eligible ones that are kept of them.
 MATCHES, KEPT = 200, 100
@@ -57,23 +58,32 @@ def eligible(near: DataFrame, stocks: DataFrame, matches: int = MATCHES, kept: i
     return listed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= kept)
 
 
-def theme_search(queries: DataFrame, companies: DataFrame, segments: DataFrame, held: DataFrame, table: DataFrame, stocks: DataFrame, limit: int = 30) -> DataFrame:
+def theme_search(queries: DataFrame, companies: DataFrame, segments: DataFrame, holders: DataFrame, table: DataFrame, stocks: DataFrame, limit: int = 30) -> DataFrame:
     """Query, code, name, score, rank: company, segment and term rankings of every query, fused.
 
-    ``queries``: query, keys (``texts.query_terms``), vector; ``held``: code, key; ``table``: the term table. A query with no
-    vector is ranked by its terms alone, and the other way round.
+    ``queries``: query, keys (``texts.query_terms``), vector; ``holders``: ``peers.term_holders``; ``table``: key, companies. A query
+    with no vector is ranked by its terms alone, and the other way round.
+
+    A company that is in neither vector ranking and not among the first ``limit`` by terms has ``limit`` companies
+    before it, so only these two groups are scored: the first ``limit`` come from partial rankings, and the exact term rank
+    of a company in a vector ranking is counted where the companies are.
     """
     asking = queries.filter("vector is not null").select(F.concat(F.lit("query:"), F.col("query")).alias("code"), F.lit(0).alias("seg_no"), "vector")  # no company's code
     name = F.substring("seed_code", 7, 1 << 20).alias("query")
 
     def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
         near = vectors.nearest(rows.select(*keys, "vector"), keys, "code", MATCHES, seeds=asking.select(*keys, "vector"))
-        return eligible(near.select(name, F.col("peer_code").alias("code"), "similarity", "rank"), stocks)
+        return stored(eligible(near.select(name, F.col("peer_code").alias("code"), "similarity", "rank"), stocks).select("query", "code", "rank"), "ranking")
 
+    by_company, by_segment = ranked(companies, ["code"]), ranked(segments, ["code", "seg_no"])
     wanted = queries.select("query", F.explode("keys").alias("key"))
-    listed = held.join(stocks.select("code"), "code", "left_semi")
-    by_terms = peers.term_ranking(peers.profiles_with_terms(listed, wanted), table)
-    found = peers.fused([ranked(companies, ["code"]), ranked(segments, ["code", "seg_no"]), by_terms]).filter(F.col("rank") <= limit)
+    listed = holders.join(stocks.select("code"), "code", "left_semi")
+    first = stored(peers.term_ranking(peers.term_totals(listed, wanted, table, limit), limit), "first_by_terms")
+    near = by_company.select("query", "code").unionByName(by_segment.select("query", "code")).distinct()
+    deep = near.join(first, ["query", "code"], "left_anti").groupBy("code").agg(F.collect_list("query").alias("only"))
+    scored = stored(peers.term_totals(listed.join(deep, "code"), wanted, table), "near_by_terms")
+    by_terms = first.select("query", "code", "rank").unionByName(peers.term_ranks_of(listed, wanted, table, scored))
+    found = peers.fused([by_company, by_segment, by_terms]).filter(F.col("rank") <= limit)
     return found.join(stocks.select("code", "name"), "code").select("query", "code", "name", "score", "rank")
 
 
@@ -90,11 +100,10 @@ def peer_build(
     inputs = filings.assembled_inputs(filed.join(targets.select("stock_code", "rcept_no"), ["stock_code", "rcept_no"], "left_semi").withColumn("table_text", F.lit("")))
     usable = profiles.filter("status = 'ok'")
     capped = usable.withColumn("terms", terms.tidy(F.col("terms"), most_terms, spellings))
-    spelled = terms.term_spellings(capped.select(F.explode("terms").alias("term")), {})
     table = terms.term_table(usable, spellings, displays, ["doc_id"])
     company_table, segment_table = percentile_tables(companies, segments)
     counts = build_counts(targets, profiles, table)
-    grounded = terms.grounded_terms(capped.select("doc_id", "text", "terms"), spelled)
+    grounded = terms.grounded_terms(capped.select("doc_id", "text", "terms"), {})
     return {"targets": targets, "inputs": inputs, "profiles": grounded, "terms": table, "company_percentiles": company_table, "segment_percentiles": segment_table, "counts": counts}
 
 

@@ -34,3 +34,10 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, most_bytes: int = 2 << 20) -> None:
+    """Rows with texts go to Python workers in Arrow batches of bounded bytes, unless the session has its own bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(most_bytes))
