@@ -164,6 +164,18 @@ def _(t):
     return lifecycle.upsert(stored, received, ["id"])
 
 
+@query("s5_repeated_keys", """
+    WITH sent AS (SELECT chat, message_id, arg_max(error, (failed_at, event_id)) AS error, max(failed_at) AS seen_at FROM attempts GROUP BY 1, 2)
+    SELECT chat, message_id, error, CAST(seen_at AS VARCHAR) AS seen_at FROM sent UNION ALL
+    SELECT r.chat, r.message_id, NULL, NULL FROM reports r WHERE NOT EXISTS (SELECT 1 FROM sent s WHERE s.chat = r.chat AND s.message_id = r.message_id)""")
+def _(t):
+    """Every failure of a message is received; the last one is what is stored."""
+    stored = t.reports.select("chat", "message_id", F.lit(None).cast("string").alias("error"), F.lit(None).cast("timestamp").alias("seen_at"))
+    order = F.struct(F.col("failed_at"), F.col("event_id"))
+    received = t.attempts.select("chat", "message_id", "error", F.col("failed_at").cast("timestamp").alias("seen_at"), order.alias("no"))
+    return lifecycle.upsert(stored.withColumn("no", F.lit(None).cast(received.schema["no"].dataType)), received, ["chat", "message_id"], "no").drop("no")
+
+
 @query("f28_row_shapes", "SELECT id, 'oos' AS shape, NULL AS publisher_type, publisher, '' AS stock_codes, 'fund' AS out_of_scope_reason, tagging_status FROM reports WHERE false UNION ALL SELECT id, 'oos', publisher_type, publisher, '', 'fund', tagging_status FROM reports WHERE id % 3 = 0 UNION ALL SELECT id, 'reset', NULL, NULL, '', NULL, 'pending' FROM reports WHERE id % 3 = 1")
 def _(t):
     columns = ("id", "shape", "publisher_type", "publisher", "stock_codes", "out_of_scope_reason", "tagging_status")
@@ -173,7 +185,7 @@ def _(t):
 
 def decisions(t):
     action = F.when(F.col("id") % 4 == 0, "verify").when(F.col("id") % 4 == 1, "oos").when(F.col("id") % 4 == 2, "retag").otherwise("delete")
-    return t.reports.filter("id % 7 < 4").select("id", action.alias("action"), F.when(F.col("id") % 3 == 0, "digital").when(F.col("id") % 3 == 1, "moon").alias("reason"))
+    return t.reports.filter("id % 7 < 4").select(F.col("id").alias("decision"), "id", action.alias("action"), F.when(F.col("id") % 3 == 0, "digital").when(F.col("id") % 3 == 1, "moon").alias("reason"))
 
 
 _ABLE = "able AS (SELECT id FROM reports WHERE id % 7 < 4 AND tagging_status = 'review_needed' AND (id % 4 IN (0, 2) OR (id % 4 = 1 AND id % 3 = 0)))"
@@ -193,6 +205,30 @@ def _(t):
     return lifecycle.reviewed(t.reports, decisions(t))[1].select("id")
 
 
+_REPEATED = """
+    made AS (SELECT id * 3 + n AS decision, id, n, CASE (id + n) % 4 WHEN 0 THEN 'verify' WHEN 1 THEN 'oos' WHEN 2 THEN 'retag' ELSE 'delete' END AS action,
+        CASE (id + n) % 3 WHEN 0 THEN 'digital' WHEN 1 THEN 'moon' END AS reason FROM reports, (SELECT unnest([0, 1, 2]) AS n) x WHERE id % 7 < 4),
+    firsts AS (SELECT m.id, min(decision) AS decision, arg_min(action, decision) AS action FROM made m JOIN reports r ON r.id = m.id
+        WHERE tagging_status = 'review_needed' AND (action IN ('verify', 'retag') OR (action = 'oos' AND reason = 'digital')) GROUP BY 1)"""
+
+
+def repeated_decisions(t):
+    """Three decisions on each report, in the order of their numbers."""
+    rows = t.reports.filter("id % 7 < 4").select("id", F.explode(F.array(*map(F.lit, range(3)))).alias("n"))
+    kind, reason = (F.col("id") + F.col("n")) % 4, (F.col("id") + F.col("n")) % 3
+    action = F.when(kind == 0, "verify").when(kind == 1, "oos").when(kind == 2, "retag").otherwise("delete")
+    return rows.select((F.col("id") * 3 + F.col("n")).alias("decision"), "id", action.alias("action"), F.when(reason == 0, "digital").when(reason == 1, "moon").alias("reason"))
+
+
+@query("m5_repeated_decisions", f"""
+    WITH {_REPEATED} SELECT 'row' AS part, r.id, CASE WHEN f.action IS NULL THEN tagging_status WHEN f.action = 'retag' THEN 'pending' ELSE 'verified' END AS detail
+    FROM reports r LEFT JOIN firsts f ON f.id = r.id UNION ALL SELECT 'refused', decision, action FROM made WHERE decision NOT IN (SELECT decision FROM firsts)""")
+def _(t):
+    after, refused = lifecycle.reviewed(t.reports, repeated_decisions(t))
+    rows = after.select(F.lit("row").alias("part"), "id", F.col("tagging_status").alias("detail"))
+    return rows.union(refused.select(F.lit("refused"), "decision", "action"))
+
+
 @query("m6_undo", f"WITH {_ABLE} SELECT id, CASE WHEN id IN (SELECT id FROM able) AND id % 5 = 0 THEN 'edited' ELSE title END AS title, tagging_status FROM reports".replace("tagging_status FROM reports", "CASE WHEN id IN (SELECT id FROM able) AND id % 5 = 0 THEN CASE WHEN id % 4 = 2 THEN 'pending' ELSE 'verified' END ELSE tagging_status END AS tagging_status FROM reports"))
 def _(t):
     after, _ = lifecycle.reviewed(t.reports, decisions(t))
@@ -241,7 +277,21 @@ def _(t):
 def _(t):
     stored = t.profiles.select("doc_id", "status", F.lit("old").alias("version"))
     received = t.profiles.filter("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "ok").otherwise("failed").alias("status"), F.lit("new").alias("version"))
-    return lifecycle.replaced_profiles(stored, received, ["doc_id"])[0]
+    return lifecycle.replaced_profiles(stored, received, ["doc_id"], ["version"])[0]
+
+
+@query("m9_repeated_profiles", """
+    WITH sent AS (SELECT doc_id - doc_id % 4 AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS status, doc_id AS version FROM profiles WHERE doc_id % 8 < 4),
+    best AS (SELECT doc_id, coalesce(max(version) FILTER (status = 'ok'), max(version)) AS version, max(status) AS status FROM sent GROUP BY 1)
+    SELECT p.doc_id, CASE WHEN b.doc_id IS NULL OR (b.status <> 'ok' AND p.status = 'ok') THEN -1 ELSE b.version END AS version,
+           CASE WHEN b.doc_id IS NULL OR (b.status <> 'ok' AND p.status = 'ok') THEN p.status ELSE b.status END AS status
+    FROM profiles p LEFT JOIN best b ON b.doc_id = p.doc_id""")
+def _(t):
+    """Up to four rows of a key in one run."""
+    stored = t.profiles.select("doc_id", "status", F.lit(-1).cast("long").alias("version"))
+    status = F.when(F.col("doc_id") % 3 == 0, "failed").otherwise("ok")
+    received = t.profiles.filter("doc_id % 8 < 4").select((F.col("doc_id") - F.col("doc_id") % 4).alias("doc_id"), status.alias("status"), F.col("doc_id").alias("version"))
+    return lifecycle.replaced_profiles(stored, received, ["doc_id"], ["version"])[0]
 
 
 _DONE = "done AS (SELECT *, row_number() OVER (ORDER BY finished_no DESC, build_id DESC) AS n FROM builds WHERE status = 'done'), gone AS (SELECT build_id FROM done WHERE n > 3 UNION ALL SELECT build_id FROM builds WHERE status IN ('pilot','failed','incomplete') AND build_id < (SELECT min(build_id) FROM done WHERE n <= 3))"

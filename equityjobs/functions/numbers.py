@@ -93,3 +93,9 @@ def candidate_reasons(label: Column, reacted: Column, trading: Column, avg_value
         unless(~is_holding, "holding"), unless(row_tier.isNotNull(), "weak_similarity"),
     ]
     return F.array_compact(F.array(*found))
+
+
+def count_at_most(values: Column, steps: int, x: Column) -> Column:
+    """How many of the ascending ``values`` (an array of fewer than 2**steps) are at most ``x``, by binary search."""
+    powers = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
+    return F.aggregate(powers, F.lit(0), lambda n, p: F.when((n + p <= F.size(values)) & (F.get(values, n + p - 1) <= x), n + p).otherwise(n))

@@ -14,8 +14,31 @@ from equityjobs.schemas import CLASSIFICATION_ARRAYS, CLASSIFICATION_TEXTS, CLAS
 CRITERIA = ("unreadable", "publisher_not_in_dictionary", "publisher_filename_mismatch", "publisher_type_mismatch", "krx_unmatched")
 
 
-def upsert(stored: DataFrame, received: DataFrame, keys: list[str]) -> DataFrame:
-    """Received rows replace stored ones by key; columns that were not sent keep their values."""
+def one_per_key(received: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """Received rows once per key: the last by ``order``; without an order, a key with two different rows is an error.
+
+    Rows are compared by partial aggregation, so a key that was received very often is no task's whole load.
+    """
+    rest = [c for c in received.columns if c not in keys]
+    row = F.struct(*[F.col(c) for c in rest])
+    if order:
+        found = received.groupBy(*keys).agg(F.max_by(row, F.struct(F.col(order), row)).alias("_row"))
+    else:
+        differ = F.raise_error(F.lit(f"two different rows of one key ({', '.join(keys)}): name the column that orders them"))
+        ends = received.groupBy(*keys).agg(F.min(row).alias("_row"), F.max(row).alias("_other"))
+        found = ends.select(*keys, F.when(F.col("_row").eqNullSafe(F.col("_other")), F.col("_row")).otherwise(differ).alias("_row"))
+    return found.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
+
+
+def upsert(stored: DataFrame, received: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Received rows replace stored ones by key; columns that were not sent keep their values.
+
+    Of a key that was received more than once, the last row by the column ``order`` counts (see ``one_per_key``).
+    """
+    if set(received.columns) - set(keys):
+        received = one_per_key(received, keys, order)
+    else:
+        received = received.distinct()
     new = received.select(*[F.col(c).alias(f"_new_{c}" if c not in keys else c) for c in received.columns], F.lit(True).alias("_sent"))
     both = stored.join(new, keys, "full_outer")
     sent = set(received.columns) - set(keys)
@@ -38,14 +61,16 @@ def oos_shape(rows: DataFrame, reason: Column) -> DataFrame:
 def reviewed(reports: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M5: (rows after the decisions, refused decisions).
 
-    ``decisions``: id, action (verify, oos, retag), reason. Only rows still in review change; a decision on another
-    row, an unknown action or a bad reason is refused.
+    ``decisions``: decision (a number, in the order they were made), id, action (verify, oos, retag), reason. Only a row
+    still in review changes, so of several decisions on it the first valid one counts; the others, decisions on other rows,
+    unknown actions and bad reasons are refused.
     """
     good = F.col("action").isin("verify", "retag") | ((F.col("action") == "oos") & F.col("reason").isin(*OOS_REASONS))
     waiting = reports.filter("tagging_status = 'review_needed'").select("id")
     able = decisions.filter(good).join(waiting, "id", "left_semi")
-    refused = decisions.join(able.select("id", "action"), ["id", "action"], "left_anti")
-    joined = reports.join(able.select("id", F.col("action").alias("_action"), F.col("reason").alias("_reason")), "id", "left")
+    first = able.groupBy("id").agg(F.min(F.struct("decision", "action", "reason")).alias("_first"))
+    refused = decisions.join(first.select(F.col("_first.decision").alias("decision")), "decision", "left_anti")
+    joined = reports.join(first.select("id", F.col("_first.action").alias("_action"), F.col("_first.reason").alias("_reason")), "id", "left")
     columns = reports.columns
     verified = joined.filter("_action = 'verify'").withColumn("tagging_status", F.lit("verified"))
     outside = oos_shape(joined.filter("_action = 'oos'"), F.col("_reason")).withColumn("tagging_status", F.lit("verified"))
@@ -157,12 +182,15 @@ def unused_keys(keys: DataFrame, builds: DataFrame, dropped: DataFrame, names: l
     return keys.select(*names).distinct().join(used, names, "left_anti").filter(F.col("profile_version") != current_version)
 
 
-def replaced_profiles(stored: DataFrame, received: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """M9: (profiles after the run, kept earlier ones); new ok rows replace, a failed one does not replace an ok one."""
+def replaced_profiles(stored: DataFrame, received: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """M9: (profiles after the run, kept earlier ones); new ok rows replace, a failed one does not replace an ok one.
+
+    Of several rows of a key in one run, an ok one counts before a failed one, then the last by ``order``.
+    """
     ranked = stored.withColumn("_new", F.lit(0)).unionByName(received.withColumn("_new", F.lit(1)))
-    better = Window.partitionBy(*keys).orderBy(F.desc(F.col("status") == "ok"), F.desc("_new"))
-    best = ranked.withColumn("_n", F.row_number().over(better)).filter("_n = 1")
-    failed = received.filter("status <> 'ok'").select(*keys)
+    row = F.struct(*[F.col(c) for c in ranked.columns])
+    best = ranked.groupBy(*keys).agg(F.max_by(row, F.struct(F.col("status") == "ok", "_new", *order)).alias("_row")).select("_row.*")
+    failed = received.filter("status <> 'ok'").select(*keys).distinct()
     kept = best.filter("_new = 0 and status = 'ok'").join(failed, keys, "left_semi").select(*stored.columns)
     return best.select(*stored.columns), kept
 

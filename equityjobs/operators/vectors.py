@@ -9,9 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from equityjobs.functions import numbers
 from equityjobs.schemas import PERCENTILES
 from equityjobs.sources.scratch import stored
 
+#: Buckets of groups whose sums the driver reads, and cells that a group's vectors are ranked in.
+_BUCKETS, _CELLS = 1024, 16
+
 
 def unit(vector: Column) -> Column:
     """scaled to length one; a zero or non-finite vector gives null."""
@@ -90,7 +94,7 @@ def pair_percentiles(vectors: DataFrame, keys: list[str], group: str | None = No
     A cosine is one of 2e9 whole numbers. A first pass over the block pairs counts them in 2**15 coarse cells, a second
     one counts the single values of the cells that hold the wanted ranks: what leaves a task is never more than cells.
     """
-    pairs, low = stored(_block_pairs(vectors, keys, group, size), "block_pairs"), 16
+    pairs, low = _block_pairs(vectors, keys, group, size), 16  # the blocks are stored; their pairs are joined in each pass
 
     def counted(cells: list[int] | None) -> pd.DataFrame:
         def run(batches):
@@ -132,23 +136,51 @@ def percentile_table(counted: DataFrame, approximate: bool = False) -> DataFrame
 
 
 def sampled_cosines(vectors: DataFrame, keys: list[str], group: str, draws: int, seed: int = 0) -> DataFrame:
-    """``draws`` seeded random pairs of different vectors and groups, as (draw, cosine)."""
-    from pyspark.sql.window import Window as W
-
-    ordered = vectors.select(*keys, *([group] if group not in keys else []), unit(F.col("vector")).alias("vector")).filter("vector is not null")
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(1024)).cast("int")
-    numbered = ordered.withColumn("_b", bucket).withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(*keys)) - 1)
-    starts = numbered.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.withColumn("_s", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # 1024 rows
-    at = numbered.join(F.broadcast(starts.select("_b", "_s")), "_b").select((F.col("_s") + F.col("_r")).alias("_at"), group, "vector")
-    total = ordered.count()
-    drawn = vectors.sparkSession.range(draws * 2).select(
-        "id", F.pmod(F.xxhash64("id", F.lit(2 * seed)), F.lit(max(1, total))).alias("_i"), F.pmod(F.xxhash64("id", F.lit(2 * seed + 1)), F.lit(max(1, total))).alias("_j")
-    )
-    a = at.select(F.col("_at").alias("_i"), F.col(group).alias("_ga"), F.col("vector").alias("_va"))
-    b = at.select(F.col("_at").alias("_j"), F.col(group).alias("_gb"), F.col("vector").alias("_vb"))
-    pairs = drawn.join(a, "_i").join(b, "_j").filter("_i <> _j and _ga <> _gb")
-    return pairs.orderBy("id").limit(draws).select(F.col("id").alias("draw"), cosine(F.col("_va"), F.col("_vb")).alias("cosine"))
+    """``draws`` seeded random pairs of different vectors and groups, as (draw, cosine); none only if there is no pair.
+
+    Every ordered pair of different groups has the same chance, and no draw is rejected: a draw is a number below the count of
+    such pairs, and sums of group sizes tell which pair it stands for. Vectors stand in the order of (bucket of the group,
+    group, cell, keys), so that what is outside a group is two stretches. A group's vectors are ranked in ``_CELLS`` cells.
+    """
+    named = [*keys, *([group] if group not in keys else [])]
+    units = vectors.select(*named, unit(F.col("vector")).alias("vector")).filter("vector is not null")
+    bucket = F.pmod(F.xxhash64(group), F.lit(_BUCKETS)).cast("int")
+    cell = F.pmod(F.xxhash64(F.lit(5), *keys), F.lit(_CELLS)).cast("int")
+    placed = stored(units.select(*named, "vector", F.col(group).alias("_g"), bucket.alias("_b"), cell.alias("_c")), "sampled_vectors")
+    cells = placed.groupBy("_b", "_g", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    total = placed.count()
+    whole = cells.withColumn("_of_group", F.sum("_n").over(Window.partitionBy("_b", "_g"))).withColumn("_pairs", F.col("_n") * (F.lit(total) - F.col("_of_group")))
+    before = Window.partitionBy("_b").orderBy("_g", "_c").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"_{c}_before": F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)) for c in ("n", "pairs")}
+    table = stored(whole.withColumns(sums), "sampled_cells")
+    firsts = {r["_b"]: r for r in table.groupBy("_b").agg(F.sum("_n").alias("n"), F.sum("_pairs").alias("pairs")).collect()}  # at most _BUCKETS rows
+    starts = {c: np.concatenate([[0], np.cumsum([firsts[b][c] if b in firsts else 0 for b in range(_BUCKETS)])]).tolist() for c in ("n", "pairs")}
+    schema = "draw long, cosine double"
+    if not starts["pairs"][-1]:
+        return vectors.sparkSession.createDataFrame([], schema)
+
+    def located(rows: DataFrame, at: str, what: str, named: list[str]) -> DataFrame:
+        """``rows`` with the cell that the number ``at`` falls in, and its place there (``_rest``)."""
+        ascending = F.lit(starts[what][:-1]).cast("array<long>")
+        in_bucket = rows.withColumn("_b", numbers.count_at_most(ascending, _BUCKETS.bit_length(), F.col(at)) - 1)
+        rest = F.col(at) - F.get(ascending, F.col("_b"))
+        spans = table.select("_b", "_g", "_c", "_of_group", F.col(f"_{what}_before").alias("_from"), (F.col(f"_{what}_before") + F.col(f"_{what}")).alias("_to"))
+        joined = in_bucket.withColumn("_rest", rest).join(spans, "_b").filter("_rest >= _from and _rest < _to")
+        return joined.withColumn("_rest", F.col("_rest") - F.col("_from")).select(*named, "_b", "_g", "_c", "_of_group", "_rest")
+
+    drawn = vectors.sparkSession.range(draws).select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(starts["pairs"][-1])).alias("_pair"))
+    first = located(drawn, "_pair", "pairs", ["id"])
+    other = F.lit(total) - F.col("_of_group")
+    begins = table.groupBy("_g").agg(F.min("_n_before").alias("_begin"))
+    group_start = F.get(F.lit(starts["n"][:-1]).cast("array<long>"), F.col("_b")) + F.col("_begin")
+    first = first.join(begins, "_g").select("id", "_b", "_g", "_c", F.expr(f"_rest div ({total} - _of_group)").alias("_r"), F.pmod("_rest", other).alias("_out"), "_of_group", group_start.alias("_start"))
+    second = located(first.select("id", F.when(F.col("_out") < F.col("_start"), F.col("_out")).otherwise(F.col("_out") + F.col("_of_group")).alias("_j")), "_j", "n", ["id"])
+    rank = F.row_number().over(Window.partitionBy("_b", "_g", "_c").orderBy(*keys)) - 1
+    ranked = placed.select("_b", "_g", "_c", "vector", rank.cast("long").alias("_r"))
+    here = ["_b", "_g", "_c", "_r"]
+    a = first.select("id", *here).join(ranked, here).select("id", F.col("vector").alias("_va"))
+    b = second.select("id", "_b", "_g", "_c", F.col("_rest").alias("_r")).join(ranked, here).select("id", F.col("vector").alias("_vb"))
+    return a.join(b, "id").select(F.col("id").alias("draw"), cosine(F.col("_va"), F.col("_vb")).alias("cosine"))
 
 
 def _best_owners(sims: np.ndarray, asking: np.ndarray, owners: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
