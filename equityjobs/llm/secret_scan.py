@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equityjobs.llm.shared import stored
+from equityjobs.llm.shared import stored, text_batches
 from equityjobs.llm.tokens import sliced
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
@@ -29,10 +29,10 @@ PROVIDER = re.compile(r"(AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[ab
 ASSIGNED = re.compile(r"(?i)(token|secret|passw(or)?d|api_?key|credential)s?[\"']?\s*[:=]\s*[\"']?$")
 #: Values of any length and of any characters: after a secret-like word, and the password part of a URL.
 NAMES = ("token", "secret", "password", "passwd", "passphrase", "passwor", "pwd", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "privatekey", "private_key", "private-key", "credential")
-VALUE = re.compile(
-    "(?i:" + "|".join(NAMES) + r""")[A-Za-z0-9_\-]*["'`]?[ \t]{0,8}(?::=|=>|[:=])[ \t]{0,8}"""
-    r"""(?:"(?P<double>(?:\\.|[^"\\\n])+)"|'(?P<single>(?:\\.|[^'\\\n])+)'|`(?P<back>[^`\n]+)`|(?P<bare>[^\s"'`]+))"""
-)
+#: An identifier from its first character on, the mark after it and the blanks; and the value that follows.
+HEAD = re.compile(r"""(?<![A-Za-z0-9_\-])([A-Za-z0-9_\-]++)["'`]?+[ \t]*+(?::=|=>|[:=])[ \t]*+""")
+NAMED = re.compile("(?i:" + "|".join(NAMES) + ")")
+VALUE = re.compile(r"""(?:"(?P<double>(?:\\.|[^"\\\n])++)"|'(?P<single>(?:\\.|[^'\\\n])++)'|`(?P<back>[^`\n]++)`|(?P<bare>[^\s"'`]++))""")
 URL = re.compile(r"""://[^\s/:@"'`<>]*:(?P<url>[^\s/"'`<>]+)@(?=[^\s@])""")
 _NEAR = re.compile(r"[A-Za-z]+")
 #: Character classes of transitions: the letters, digits one by one, capitals together by letter, the rest.
@@ -81,6 +81,7 @@ def corpus_statistics(docs: DataFrame, text_col: str = "text", share: float = 2e
         counts = np.concatenate([pairs[pairs > 0], runs[runs > 0]])
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
 
+    text_batches(docs.sparkSession)
     table = docs.select(text_col).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(4096 + 26**RUN)
     counts[table["key"].to_numpy("i8")] = table["n"].to_numpy("f8")
@@ -100,9 +101,9 @@ def _numbers(word: str, before: str, after: str, corpus: Corpus) -> list[float]:
     seen = np.bincount(raw)
     p = seen[seen > 0] / n
     covered = np.zeros(n, bool)
-    for i, code in enumerate(_runs(raw)):
-        if code >= 0 and corpus.usual[code]:
-            covered[i : i + RUN] = True
+    found = _runs(raw)
+    at = np.flatnonzero((found >= 0) & corpus.usual[found])
+    covered[(at[:, None] + np.arange(RUN)).ravel()] = True
     return [
         min(n, 200), share[2], share[1], share[0], share[3], len(p) / n, float(-(p * np.log2(p)).sum()), float((kinds[1:] != kinds[:-1]).mean()) if n > 1 else 0.0,
         float(corpus.transitions[classes[:-1], classes[1:]].mean()) if n > 1 else 0.0, float(covered.mean()),
@@ -113,24 +114,47 @@ def _numbers(word: str, before: str, after: str, corpus: Corpus) -> list[float]:
 def _spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the candidates of a text, in order; kind is 'quoted', 'bare', 'url', or 'run' for ``CANDIDATE`` alone.
 
-    A value in a value and a run in a value are candidates of their own.
+    A value in a quoted value and a run in a value are candidates of their own. Of assignments within one unquoted value
+    (``token=secret=x``), the outermost and the innermost value are. Each pattern reads a character a bounded number of times.
     """
     spans = {m.span(): "run" for m in CANDIDATE.finditer(text)}
     folded = text.casefold()
     if any(n in folded for n in NAMES):
-        m = VALUE.search(text)
-        while m:
-            a, b = m.span(m.lastgroup)
+        ends, inner = -1, -1  # of the unquoted value so far: its end, and where its innermost value starts
+
+        def settle() -> None:
+            if inner >= 0:
+                _add_bare(text, inner, ends, spans)
+
+        for head in HEAD.finditer(text):
+            if not NAMED.search(head[1]):
+                continue
+            a = head.end()
+            if a < ends and text[a] not in "\"'`":
+                inner = a
+                continue
+            m = VALUE.match(text, a)
+            if not m:
+                continue
             if m.lastgroup == "bare":
-                b = a + len(m["bare"].rstrip(",;)]}>"))
-            if a < b:
-                spans[a, b] = "bare" if m.lastgroup == "bare" else "quoted"
-            m = VALUE.search(text, a)
+                settle()
+                ends, inner = m.end(), -1
+                _add_bare(text, a, ends, spans)
+            else:
+                spans[m.span(m.lastgroup)] = "quoted"
+        settle()
     if "://" in text:
         spans |= {m.span("url"): "url" for m in URL.finditer(text)}
     return sorted((a, b, kind) for (a, b), kind in spans.items())
 
 
+def _add_bare(text: str, a: int, b: int, spans: dict[tuple[int, int], str]) -> None:
+    while b > a and text[b - 1] in ",;)]}>":
+        b -= 1
+    if a < b:
+        spans[a, b] = "bare"
+
+
 def _shaped(word: str, before: str, kind: str) -> bool:
     """Whether the candidate has a known secret's shape."""
     if PROVIDER.fullmatch(word) or kind == "url" or (kind != "run" or ASSIGNED.search(before)) and re.search(r"\d", word):
@@ -158,6 +182,7 @@ def candidates(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col
             names = ("doc_id", "start", "length", "sha256", "path", "before", "after", "shaped", "numbers")
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col, path_col).mapInArrow(
         run, f"doc_id {kind}, start long, length long, sha256 string, path string, before string, after string, shaped boolean, numbers array<double>"
