@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from equityjobs.llm import binary_output, conversations, html_text, language_id, line_dedup, media, mixing, packing, periodic_runs, secret_scan, sharding, simhash, topk
 from equityjobs.llm.shared import scratch_path
 
-#: A line on so many of the distinct sources is boilerplate.
-LINE_SITES = 12
+#: A line on so many distinct sources is boilerplate; one of over LONG_LINE_WORDS words is on LONG_LINE_SITES.
+LINE_SITES, LONG_LINE_SITES, LONG_LINE_WORDS = 6, 4, 50
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -68,7 +68,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
-    return line_dedup.dedup_lines(docs, sites=LINE_SITES).select("doc_id", "text", F.col("lines_removed").cast("long").alias("lines_removed"))
+    found = line_dedup.dedup_lines(docs, sites=LINE_SITES, long_sites=LONG_LINE_SITES, long_words=LONG_LINE_WORDS)
+    return found.select("doc_id", "text", F.col("lines_removed").cast("long").alias("lines_removed"))
 
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +123,8 @@ ORACLE_SQL: dict[str, str] = {
         bare AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS b FROM lines),
         common AS (
             SELECT b, min(doc_id) AS owner FROM bare WHERE b <> '' GROUP BY b
-            HAVING count(DISTINCT coalesce('=' || source, '~')) >= {LINE_SITES}),
+            HAVING count(DISTINCT coalesce('=' || source, '~'))
+                   >= CASE WHEN len(regexp_extract_all(b, '[^\\x20\\x09-\\x0D]+')) > {LONG_LINE_WORDS} THEN {LONG_LINE_SITES} ELSE {LINE_SITES} END),
         marked AS (
             SELECT x.*, c.b IS NULL OR (x.doc_id = c.owner
                    AND row_number() OVER (PARTITION BY x.doc_id, x.b ORDER BY x.pos) = 1) AS stays
