@@ -80,6 +80,8 @@ def _multipliers(hist: DataFrame, targets: DataFrame, limit: int, steps: int, to
         )
         if not dual.filter(~F.col("done")).limit(1).count():
             break
+    else:
+        raise RuntimeError(f"the dual of some source is not solved to {tolerance:g} of its target in {steps} steps")
     return dual.select("skey", F.round("lam", 9).alias("lam"), "_mean")
 
 
