@@ -26,6 +26,8 @@ from equityjobs.llm.shared import stored
 
 #: Points of a node that is not split, and leaves that one query node meets at once.
 LEAF, MEET = 8, 512
+#: A node is not split either if it would have more children than this and fewer than two points in each on average.
+FLAT = 256
 _LEAST = np.iinfo("int64").min
 _NO_ID = np.iinfo("int64").max
 
@@ -56,15 +58,18 @@ class CoverTree:
         nodes, order, children = [(everyone, middle, distances(everyone, x[middle]), 0)], np.empty(len(ids), int), []
         for members, centre, far, start in nodes:  # grows while it is read
             radius, first = far.max(), len(nodes)
-            if len(members) <= leaf or radius == 0:
+            net, nearest, owner = [centre], far.copy(), np.zeros(len(members), int)
+            ends = len(members) <= leaf or radius == 0
+            while not ends and (bare := nearest > radius / 2).any():
+                net.append(int(members[bare.argmax()]))  # the first that is not covered
+                d = distances(members, x[net[-1]])
+                closer = d < nearest
+                nearest[closer], owner[closer] = d[closer], len(net) - 1
+                # Children of less than two points on average have bounds that cost more than they can save.
+                ends = len(net) > FLAT and 2 * len(net) > len(members)
+            if ends:
                 order[start : start + len(members)] = members
             else:
-                net, nearest, owner = [centre], far.copy(), np.zeros(len(members), int)
-                while (bare := nearest > radius / 2).any():
-                    net.append(int(members[bare.argmax()]))  # the first that is not covered
-                    d = distances(members, x[net[-1]])
-                    closer = d < nearest
-                    nearest[closer], owner[closer] = d[closer], len(net) - 1
                 sort = np.argsort(owner, kind="stable")
                 for point, part in zip(net, np.split(sort, np.cumsum(np.bincount(owner, minlength=len(net)))[:-1])):
                     nodes.append((members[part], point, nearest[part], start))
@@ -120,7 +125,7 @@ def _bounds(cq: np.ndarray, rq: np.ndarray, cx: np.ndarray, rx: np.ndarray) -> n
 class Search:
     """Running top k of the queries of one tree over any number of data trees; scores under ``floor`` are of no use.
 
-    ``compared`` counts the pairs of a query and a row whose inner product was taken.
+    ``compared`` counts the inner products that were taken: of queries with rows, and of centres for the bounds.
     """
 
     def __init__(self, queries: CoverTree, k: int, floor: np.ndarray | None = None) -> None:
@@ -146,6 +151,7 @@ class Search:
                 continue
             a, b = q.below(i), data.below(j)
             bounds = _bounds(q.centres[a], q.radii[a], data.centres[b], data.radii[b])
+            self.compared += bounds.size
             ends, stops = q.is_leaf(a), data.is_leaf(b)
             if ends.any() and stops.any():
                 self._meet(a[ends], b[stops], bounds[np.ix_(ends, stops)], data, asked, held)
@@ -259,7 +265,7 @@ def top_k(
     vec_id is a candidate row each time for other ids and asks once, with its smallest vector. A shorter vector counts
     as padded with zeros. Empty tables give no rows. Other columns are ignored. ``cells`` (at most) and ``sample``, the
     rows that centres are picked from, bound what is at the driver and decide speed only. With ``stats``:
-    asks, compared (rows of queries times rows of data whose inner product was taken) instead, a row for each task.
+    asks, compared (inner products taken, those of the bounds included) instead, a row for each task.
     """
     rows = stored(vectors.select("vec_id", "v"), "vectors")
     total = rows.count()
