@@ -370,6 +370,26 @@ def _(t):
     return jobs.collect_increment(t.messages, t.reports, t.attempts).select("chat", "message_id", "turn")
 
 
+_FIRST_RUN = """
+    asked AS (SELECT (message_id - message_id % 100) // 100 % 6 AS chat, message_id, mime, file_name, sent_at FROM messages),
+    pdf AS (SELECT * FROM asked WHERE mime = 'application/pdf' OR lower(file_name) LIKE '%.pdf'),
+    seen AS (SELECT chat, message_id FROM reports UNION SELECT chat, message_id FROM attempts),
+    hw AS (SELECT a.chat, coalesce(max(s.message_id), 0) AS high FROM (SELECT DISTINCT chat FROM asked) a LEFT JOIN seen s ON s.chat = a.chat GROUP BY 1),
+    fetched AS (SELECT CAST(pdf.chat AS BIGINT) AS chat, pdf.message_id, 'new' AS turn FROM pdf JOIN hw ON hw.chat = pdf.chat WHERE pdf.message_id > hw.high AND (hw.high > 0 OR sent_at >= TIMESTAMP '2024-01-03 00:00:00')
+        UNION ALL SELECT CAST(chat AS BIGINT), message_id, 'retry' FROM pdf WHERE (chat, message_id) IN (SELECT (chat, message_id) FROM attempts) AND (chat, message_id) NOT IN (SELECT (chat, message_id) FROM reports))"""
+
+
+def messages_of_more_chats(t):
+    """Two of the six chats have no history."""
+    return t.messages.withColumn("chat", F.expr("(message_id - message_id % 100) div 100 % 6"))
+
+
+@query("q11_first_run", f"WITH {_FIRST_RUN} SELECT * FROM fetched")
+def _(t):
+    found = jobs.collect_increment(messages_of_more_chats(t), t.reports, t.attempts, datetime(2024, 2, 2), 30)
+    return found.select("chat", "message_id", "turn")
+
+
 @query("m1_increment_counts", f"WITH {_M} SELECT count(*) FILTER (WHERE message_id % 3 = 0) AS processed, count(*) FILTER (WHERE message_id % 3 = 1) AS skipped, count(*) FILTER (WHERE message_id % 3 = 2) AS failed, 0 AS retried FROM ms JOIN hw USING (chat) WHERE message_id > high AND (mime = 'application/pdf' OR lower(file_name) LIKE '%.pdf')".replace("0 AS retried", "CAST(0 AS BIGINT) AS retried"))
 def _(t):
     fetched = collect.increment(t.messages, t.reports, t.attempts).filter("turn = 'new'")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from equityjobs.catalog.registry import query
 from equityjobs.functions import dates, texts
 from equityjobs.operators import reports as R
+from equityjobs.sources import layout
+from equityjobs.sources.scratch import scratch_path
 from equityjobs.sources.adapters import NOW, TODAY
 
 DAY, MOMENT = date.fromisoformat(TODAY), datetime.fromisoformat(NOW)
@@ -32,6 +34,16 @@ def _(t):
     return R.period_rows(t.reports, start).select("id", F.lit(False).alias("with_oos")).unionByName(R.period_rows(t.reports, start, True).select("id", F.lit(True).alias("with_oos")))
 
 
+@query("p3_month_layout", f"SELECT id, false AS with_oos FROM reports WHERE {IN_SCOPE} AND published_at >= DATE '2000-06-01' UNION ALL SELECT id, true FROM reports WHERE tagging_status IN ('auto','verified') AND {ED} >= DATE '2000-06-01'")
+def _(t):
+    """The same period out of reports that are stored by month."""
+    path, start = scratch_path(t.spark, "reports_by_month"), date(2000, 6, 1)
+    rows = t.reports.select("id", "published_at", "sent_at", "tagging_status", "out_of_scope_reason")
+    layout.write_by_month(rows, path)
+    found = [layout.read_period(t.spark, path, rows.schema, start, oos).select("id", F.lit(oos).alias("with_oos")) for oos in (False, True)]
+    return found[0].unionByName(found[1])
+
+
 @query("p4_period_start", f"SELECT count(*) AS n, '2000-08-01' AS start FROM reports WHERE {ED} >= DATE '2000-08-01'")
 def _(t):
     start = dates.period_start(365, MOMENT)

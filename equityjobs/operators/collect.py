@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +39,16 @@ def backfill(messages: DataFrame, reports: DataFrame, attempts: DataFrame) -> Da
     return messages.join(seen_ids(reports, attempts), ["chat", "message_id"], "left_anti")
 
 
-def increment(messages: DataFrame, reports: DataFrame, attempts: DataFrame) -> DataFrame:
-    """M1, Q11: what to fetch, by chat: failed messages first, then new ones above the high-water mark."""
+def increment(messages: DataFrame, reports: DataFrame, attempts: DataFrame, first_since: datetime | None = None) -> DataFrame:
+    """M1, Q11: what to fetch, by chat: failed messages first, then new ones above the high-water mark.
+
+    A chat without history is on its first run: with ``first_since``, it gives the messages sent from then on only.
+    """
     pdf = messages.filter(has_pdf(F.col("mime"), F.array("file_name"))).withColumn("file_name", safe_file_name(F.col("file_name")))
     stored = reports.select("chat", "message_id")
     retry = pdf.join(attempts.select("chat", "message_id").distinct(), ["chat", "message_id"], "left_semi").join(stored, ["chat", "message_id"], "left_anti").withColumn("turn", F.lit("retry"))
-    new = pdf.join(high_water(reports, attempts, messages), "chat").filter("message_id > high").drop("high").withColumn("turn", F.lit("new"))
+    recent = F.lit(True) if first_since is None else (F.col("high") > 0) | (F.col("sent_at") >= F.lit(first_since).cast("timestamp"))
+    new = pdf.join(high_water(reports, attempts, messages), "chat").filter((F.col("message_id") > F.col("high")) & recent).drop("high").withColumn("turn", F.lit("new"))
     return retry.unionByName(new)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from equityjobs.functions.numbers import numeric_change
 from equityjobs.functions.texts import numbers_in
 from equityjobs.schemas import METRIC_KEY
+from equityjobs.sources.scratch import stored
 
 
 def comparable_metrics(metrics: DataFrame) -> DataFrame:
@@ -39,10 +40,29 @@ def previous_reports(reports: DataFrame) -> DataFrame:
     return both.select("id", "stock_code", F.coalesce("_same", "_any").alias("prev_report_id"), kind.alias("prev_match_type"))
 
 
-def report_pairs(reports: DataFrame, most_days: int | None = None) -> DataFrame:
+def _in_blocks(left: DataFrame, right: DataFrame, keys: list[str], block_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with block numbers, so that a key with many rows is many groups of at most about ``block_rows`` rows a side.
+
+    Every left row meets every right row of its key in exactly one group. Only keys above ``block_rows`` are in the table of
+    blocks, so it has fewer rows than all rows by that factor; it is broadcast while it has at most 100,000.
+    """
+    sizes = left.select(*keys).unionByName(right.select(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block_rows)
+    hot = stored(sizes.select(*keys, F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks")), "hot_keys")
+    hot = F.broadcast(hot) if hot.count() <= 100_000 else hot
+
+    def dealt(side: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        known = side.join(hot, keys, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+        block = F.pmod(F.xxhash64(f"{name}_id"), F.col("_blocks")).cast("int")
+        return known.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+
+    return dealt(left, "left", "_a", "_b"), dealt(right, "right", "_b", "_a"), [*keys, "_a", "_b"]
+
+
+def report_pairs(reports: DataFrame, most_days: int | None = None, block_rows: int = 2_000) -> DataFrame:
     """Comparable pairs of reports on a common stock, earlier first, each once, with same_publisher.
 
-    Pairs grow with the square of a stock's reports; ``most_days`` bounds them to a window by joining day buckets.
+    Pairs grow with the square of a stock's reports; ``most_days`` bounds them to a window by joining day buckets. A stock with more
+    than ``block_rows`` rows on the two sides is dealt to pairs of blocks, so it is never one task's.
     """
     typed = reports.filter(F.col("report_type").isNull() | (F.col("report_type") == "단일종목"))
     held = typed.select("id", "publisher", "published_at", F.explode(F.array_distinct("stock_codes")).alias("_code"))
@@ -53,6 +73,7 @@ def report_pairs(reports: DataFrame, most_days: int | None = None) -> DataFrame:
         left = left.filter(F.col("left_published_at").isNotNull()).withColumn("_slot", F.explode(F.array(slot, slot + 1)))
         right = right.filter(F.col("right_published_at").isNotNull()).withColumn("_slot", F.floor(F.unix_date("right_published_at") / most_days))
         keys.append("_slot")
+    left, right, keys = _in_blocks(left, right, keys, block_rows)
     a, b = (F.struct(F.coalesce(F.col(f"{s}_published_at").cast("string"), F.lit("")), F.col(f"{s}_id")) for s in ("left", "right"))
     pairs = left.join(right, keys).filter(a < b)
     if most_days is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,9 +96,12 @@ def report_counts(rows: DataFrame, stocks: DataFrame, day: str) -> DataFrame:
     return coverage.report_counts(rows.filter(in_scope()), stocks, day)
 
 
-def collect_increment(messages: DataFrame, reports: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Q11: what to fetch: failed messages first, then new ones above each chat's high-water mark."""
-    return collect.increment(messages, reports, attempts)
+def collect_increment(messages: DataFrame, reports: DataFrame, attempts: DataFrame, now: datetime | None = None, initial_days: int = 30) -> DataFrame:
+    """Q11: what to fetch: failed messages first, then new ones above each chat's high-water mark.
+
+    With ``now``, a chat without history gives the messages of its last ``initial_days`` days.
+    """
+    return collect.increment(messages, reports, attempts, None if now is None else now - timedelta(days=initial_days))
 
 
 def requeue(selected_from: DataFrame, current: DataFrame, publishers: DataFrame, columns: list[str], backup: str, criteria: tuple[str, ...] = lifecycle.CRITERIA) -> DataFrame:

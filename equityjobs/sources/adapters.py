@@ -85,6 +85,7 @@ TABLES: dict[str, str] = {
         from lineitem""",
     "messages": """
         select conv_id % 4 as chat, conv_id * 100 + turn as message_id,
+               cast('2024-01-01 00:00:00' as timestamp) + HOURS(cast(conv_id % 960 as int)) as sent_at,
                case turn % 4 when 0 then 'application/pdf' else 'text/plain' end as mime,
                case when turn % 2 = 0 then concat('R_20260511_TAG', cast(conv_id % 5 as string), '.PDF') else concat('note: ', cast(conv_id as string), '?.txt') end as file_name
         from conversations""",
