@@ -318,6 +318,14 @@ def _(t):
     return counts.withColumn("build_status", numbers.build_status(F.col("eligible"), F.col("profiled"), F.col("fiscal_year") == 2021))
 
 
+@query("f35_tree_fingerprint", """
+    WITH h AS (SELECT sha256(code || chr(31) || name || chr(31) || coalesce(market, '')) AS hash FROM stocks), c AS (SELECT hash, count(*) AS n FROM h GROUP BY 1),
+    b AS (SELECT substr(hash, 1, 3) AS bucket, sha256(string_agg(hash || '*' || n, chr(10) ORDER BY hash)) AS part FROM c GROUP BY 1)
+    SELECT sha256(string_agg(bucket || '=' || part, chr(10) ORDER BY bucket)) AS fingerprint FROM b""")
+def _(t):
+    return lifecycle.tree_fingerprint(t.stocks.select("code", "name", "market"))
+
+
 @query("f35_fingerprint", "SELECT sha256(string_agg(code || chr(31) || name || chr(31) || coalesce(market, ''), chr(10) ORDER BY code)) AS fingerprint FROM stocks")
 def _(t):
     return lifecycle.fingerprint(t.stocks.select("code", "name", "market"), ["code"])

@@ -100,6 +100,13 @@ def guarded_reset(current: DataFrame, backup: DataFrame, columns: list[str]) ->
     return reset_shape(kept)
 
 
+def changed_rows(before: DataFrame, after: DataFrame, column: str, key: str = "id") -> DataFrame:
+    """Keys whose ``column`` differs between two versions of a table, or that only one of them has."""
+    old, new = before.select(key, F.col(column).alias("_old")), after.select(key, F.col(column).alias("_new"))
+    both = old.withColumn("_there", F.lit(True)).join(new.withColumn("_here", F.lit(True)), key, "full_outer")
+    return both.filter(F.col("_there").isNull() | F.col("_here").isNull() | ~F.col("_old").eqNullSafe(F.col("_new"))).select(key)
+
+
 def met_criteria(rows: DataFrame, publishers: DataFrame, criteria: tuple[str, ...] = CRITERIA) -> DataFrame:
     """``met``, the requeue criteria that each auto or review row meets (``renders``: its first page renders)."""
     types = publishers.select(F.col("canonical").alias("publisher"), F.col("publisher_type").alias("_type"), F.lit(True).alias("_known")).distinct()
@@ -213,6 +220,20 @@ def fingerprint(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["_line"]), "\n"), 256).alias("fingerprint"))
 
 
+def tree_fingerprint(rows: DataFrame) -> DataFrame:
+    """F35 for tables of any size: a hash of the hashes of 4,096 buckets, each of its rows' hashes in order of these.
+
+    A row's line is as in ``fingerprint`` and its bucket the first three digits of its hash, so a row that many others repeat is
+    counted before buckets are put together. The order of columns counts, that of rows does not.
+    """
+    line = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns])
+    counted = rows.select(F.sha2(line, 256).alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
+    listed = F.array_sort(F.collect_list(F.concat("_hash", F.lit("*"), F.col("_n").cast("string"))))
+    buckets = counted.groupBy(F.substring("_hash", 1, 3).alias("_bucket")).agg(F.sha2(F.array_join(listed, "\n"), 256).alias("_part"))
+    parts = F.array_sort(F.collect_list(F.concat("_bucket", F.lit("="), "_part")))
+    return buckets.agg(F.sha2(F.array_join(parts, "\n"), 256).alias("fingerprint"))
+
+
 def content_sum(rows: DataFrame) -> DataFrame:
     """F35 for tables of any size: an order-free sum of row hashes."""
     return rows.agg(F.sum(F.xxhash64(*rows.columns).cast("decimal(20,0)")).cast("string").alias("fingerprint"), F.count(F.lit(1)).alias("n"))

@@ -104,24 +104,29 @@ def collect_increment(messages: DataFrame, reports: DataFrame, attempts: DataFra
     return collect.increment(messages, reports, attempts, None if now is None else now - timedelta(days=initial_days))
 
 
-def requeue(selected_from: DataFrame, current: DataFrame, publishers: DataFrame, columns: list[str], backup: str, criteria: tuple[str, ...] = lifecycle.CRITERIA) -> DataFrame:
-    """Q12: rows that meet a criterion go back to pending, after a backup; returns id, met and the reset columns.
+def requeue(selected_from: DataFrame, current: DataFrame, publishers: DataFrame, columns: list[str], backup: str, criteria: tuple[str, ...] = lifecycle.CRITERIA) -> tuple[DataFrame, DataFrame]:
+    """Q12: (the table after the run, id and met of the rows that went back to pending).
 
-    ``selected_from`` is the table (with ``renders``) that the rows were picked from, ``current`` the table now. The backup (S6
-    lines under the path ``backup``) is counted before anything is reset; of the backed-up rows, those that are unchanged
-    in ``columns`` and still meet a criterion are reset, and just these.
+    ``selected_from`` is the table (with ``renders``) that rows meeting a criterion are picked from, ``current`` the table now. The
+    picked rows are backed up under the path ``backup`` (S6 lines) and the backup is read back and counted before anything is
+    reset. Of them, those that are unchanged in ``columns`` and still meet a criterion are reset, and just these: the table is
+    read as it was written and compared with what was to change, and a difference is an error.
     """
-    picked = stored(lifecycle.met_criteria(selected_from, publishers, criteria).filter(F.size("met") > 0), "picked")
+    both = selected_from.withColumn("_now", F.lit(False)).unionByName(current.withColumn("_now", F.lit(True)))
+    judged = stored(lifecycle.met_criteria(both, publishers, criteria).filter(F.size("met") > 0), "judged")
+    picked, still = (judged.filter(side).drop("_now") for side in (~F.col("_now"), F.col("_now")))
     cells = [F.to_json(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f.name) for f in picked.schema if f.name in ("id", *columns)]
     sinks.write_backup(picked.select(*cells), backup)
-    wanted = picked.count()
-    # A quoted line break is no line's end, so lines are counted by their first cell.
-    written = picked.sparkSession.read.text(backup, lineSep="\n").filter(F.col("value").rlike(r'^"-?\d+"(,|$)')).count()
-    if written < wanted:
+    wanted, written = picked.count(), sinks.read_backup(picked.sparkSession, backup, len(cells)).count()
+    if written != wanted:
         raise RuntimeError(f"the backup has {written} of {wanted} rows; nothing was reset")
-    still = lifecycle.met_criteria(current, publishers, criteria).filter(F.size("met") > 0)
-    kept = stored(still.join(picked.select("id"), "id", "left_semi").alias("c").join(picked.alias("b"), (F.col("c.id") == F.col("b.id")) & lifecycle.same_row("c", "b", columns), "left_semi"), "kept")
-    reset = stored(lifecycle.guarded_reset(kept.drop("met", "renders"), picked.drop("met", "renders"), columns), "reset")
-    if reset.count() != kept.count():
-        raise RuntimeError(f"{reset.count()} rows would be reset instead of {kept.count()}; nothing was reset")
-    return reset.join(kept.select("id", "met"), "id")
+    same = (F.col("c.id") == F.col("b.id")) & lifecycle.same_row("c", "b", columns)
+    kept = stored(still.alias("c").join(picked.alias("b"), same, "left_semi"), "kept")
+    rest = current.join(kept.select("id"), "id", "left_anti").select(*current.columns)
+    after = stored(rest.unionByName(lifecycle.reset_shape(kept.drop("met")).select(*current.columns)), "requeued")
+    changed = lifecycle.changed_rows(current, after, "tagging_status")
+    counts = {"rows": (current.count(), after.count()), "reset rows": (kept.filter("tagging_status <> 'pending'").count(), changed.count())}
+    for what, (expected, found) in counts.items():
+        if expected != found:
+            raise RuntimeError(f"the table has {found} {what} after the run instead of {expected}")
+    return after, kept.select("id", "met")

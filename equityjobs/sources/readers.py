@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from equityjobs.functions.texts import strip
+from equityjobs.sources.scratch import stored
 
 # The six headers of the stock list, line breaks taken out.
 STOCK_HEADERS = ("종목코드", "종목명", "시장", "산업명(대)", "산업명(중)", "주요제품")
@@ -16,14 +17,18 @@ def read_stock_list(spark: SparkSession, path: str, headers: tuple[str, ...] = S
     """line_no and the six columns of a CSV list whose header cells may hold line breaks.
 
     Rows with fewer than six cells are left out, further cells ignored, cells trimmed; a wrong header is an error.
-    The list is one small file, so the line numbers of one partition are the order of the file.
+    A list in several files is read in the order of their names, the header in the first; each file is one task.
     """
-    raw = spark.read.csv(path, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE").coalesce(1)
+    raw = spark.read.csv(path, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
     if len(raw.columns) < 6:
         raise ValueError(f"the stock list needs 6 columns, it has {len(raw.columns)}")
-    numbered = raw.withColumn("line_no", F.monotonically_increasing_id())
-    first = numbered.orderBy("line_no").first()
-    found = tuple((first[i] or "").replace("\r", "").replace("\n", "").strip() for i in range(6))
+    # Numbers rise within a partition, and a file is not split, so a row's place in its file is a difference.
+    rows = stored(raw.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id")), "stock_list")
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    files = rows.groupBy("_file").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    numbered = rows.join(F.broadcast(files), "_file").withColumn("line_no", F.col("_before") + F.col("_id") - F.col("_first"))
+    first = numbered.filter("line_no = 0").first()
+    found = tuple((first[c] or "").replace("\r", "").replace("\n", "").strip() for c in raw.columns[:6]) if first else ()
     if found != headers:
         raise ValueError(f"unexpected header of the stock list: {found}")
     cells = [strip(F.coalesce(F.col(c), F.lit(""))).alias(n) for c, n in zip(raw.columns, STOCK_COLUMNS)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,12 @@ def write_backup(rows: DataFrame, path: str) -> None:
     rows.select(backup_line(rows.columns).alias("value")).write.text(path)
 
 
+def read_backup(spark: SparkSession, path: str, columns: int) -> DataFrame:
+    """S6 read back: the cells as text, whatever line breaks and quotes they hold."""
+    schema = ", ".join(f"c{i} string" for i in range(columns))
+    return spark.read.csv(path, schema=schema, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
+
+
 def json_record(columns: list[str]) -> Column:
     """S7."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
