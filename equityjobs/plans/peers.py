@@ -5,10 +5,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equityjobs.operators import filings, peers, terms, vectors
+from equityjobs.functions import numbers, texts
+from equityjobs.operators import filings, lifecycle, peers, terms, vectors
 from equityjobs.sources.scratch import stored
 
 #: Matches that a vector search gives, and eligible ones that are kept of them.
@@ -87,24 +90,88 @@ def theme_search(queries: DataFrame, companies: DataFrame, segments: DataFrame,
     return found.join(stocks.select("code", "name"), "code").select("query", "code", "name", "score", "rank")
 
 
-def peer_build(
-    sections: DataFrame, stocks: DataFrame, profiles: DataFrame, companies: DataFrame, segments: DataFrame, year: int, spellings: Column, displays: Column, skip_names: str, skip_sector: str, most_terms: int = 12
-) -> dict[str, DataFrame]:
-    """Q5: the tables of one build.
+@dataclass
+class Build:
+    """What one build made: see ``peer_build``."""
+
+    targets: DataFrame
+    todo: DataFrame
+    reused: DataFrame
+    inputs: DataFrame
+    profiles: DataFrame
+    kept_previous: DataFrame
+    missing_companies: DataFrame
+    missing_segments: DataFrame
+    run: DataFrame
+    dropped_builds: DataFrame
+    unused_profiles: DataFrame
 
-    ``profiles``: doc_id, stock_code, status, text, terms. Keys of the result: targets, inputs (assembled texts of the target
-    filings), profiles (capped terms and their grounding), terms, company_percentiles, segment_percentiles, counts.
+
+def peer_build(
+    sections: DataFrame, stocks: DataFrame, profiles: DataFrame, extracted: DataFrame, companies: DataFrame, segments: DataFrame, builds: DataFrame, year: int, version: str, build_id: int,
+    skip_names: str, skip_sector: str, synonyms: dict[str, list[str]], most_terms: int = terms.PROFILE_CAPS["keywords"], pilot: bool = False,
+) -> Build:
+    """Q5: one build over the filings of ``year``.
+
+    Targets (J6) whose stored ok profile has the same filing and parser version are reused (J7); the others' texts are assembled
+    with their product tables (F10, F11). ``extracted`` (stock_code, rcept_no, parser_version, status, terms) answers for these: terms
+    are capped by comparison key (F9) and kept where the assembled text has one of their spellings, ``synonyms`` included (F8). A new ok
+    profile replaces the stored one, a failed one only where no ok one is stored (M9). ``profiles``: fiscal_year, profile_version,
+    stock_code, rcept_no, parser_version, status, terms. Then come the profiles that lack an embedding (J8), the build's row with its
+    status (A16), and what retention drops (W14). Tables are published by ``publication``.
+    """
+    spellings = texts.spelling_map(synonyms)
+    filed = filings.newest_sections(filings.sections_of_year(sections, year))
+    parser = filed.groupBy("stock_code", "rcept_no").agg(F.max_by("parser_version", texts.version_parts(F.col("parser_version"))).alias("parser_version"))
+    chosen = filings.targets(filings.latest_filings(filed), stocks, skip_names, skip_sector)
+    targets = stored(chosen.select("stock_code", "rcept_no").join(parser, ["stock_code", "rcept_no"]), "targets")
+    mine = profiles.filter((F.col("fiscal_year") == year) & (F.col("profile_version") == version))
+    todo, reused = filings.profile_work(targets, mine)
+    filing = ["stock_code", "rcept_no"]
+    texted = filed.join(todo.select(*filing), filing, "left_semi")
+    if "table_text" not in texted.columns:
+        texted = texted.withColumn("table_text", F.lit(None).cast("string"))
+    inputs = stored(filings.assembled_inputs(texted), "inputs")
+    asked = extracted.join(todo, [*filing, "parser_version"], "left_semi")
+    capped = asked.withColumn("terms", terms.tidy(F.coalesce("terms", F.expr("cast(array() as array<string>)")), most_terms, spellings))
+    said = capped.join(inputs.select(*filing, "text"), filing).select("stock_code", F.struct(*filing).alias("doc_id"), "text", "terms")
+    grounded = terms.grounded_terms(said.select("doc_id", "text", "terms"), synonyms)
+    kept = grounded.select("doc_id.*", F.col("kept_terms").alias("terms"), F.round("grounding_ratio", 4).alias("grounding_ratio"))
+    fresh = capped.drop("terms").join(kept, filing).select(
+        F.lit(year).alias("fiscal_year"), F.lit(version).alias("profile_version"), *filing, "parser_version", "status", F.when(F.col("status") == "ok", F.col("terms")).alias("terms"), "grounding_ratio"
+    )
+    before = mine.withColumn("grounding_ratio", F.lit(None).cast("double")).select(*fresh.columns)
+    after, kept_previous = lifecycle.replaced_profiles(before, fresh, ["stock_code"], ["rcept_no"])
+    after = stored(after, "profiles")
+    served = reused.count() + fresh.filter("status = 'ok'").count()
+    eligible = targets.count()
+    failed = fresh.filter("status <> 'ok'").count()
+    row = targets.sparkSession.createDataFrame([(build_id, year, version, eligible, served, failed)], "build_id long, fiscal_year int, profile_version string, eligible long, profiled long, failed long")
+    run = row.withColumn("status", F.when(F.col("eligible") == 0, "failed").otherwise(numbers.build_status(F.col("eligible"), F.col("profiled"), F.lit(pilot))))
+    closed = builds.select("build_id", "status", "fiscal_year", "profile_version", "finished_no").unionByName(
+        run.select("build_id", "status", "fiscal_year", "profile_version", F.lit(1 << 40).alias("finished_no"))  # this build is the last to finish
+    )
+    dropped = stored(lifecycle.dropped_builds(closed), "dropped_builds")
+    ok = after.filter("status = 'ok'")
+    return Build(
+        targets, todo, reused, inputs, after, kept_previous,
+        filings.missing_embeddings(ok, companies.select(F.col("code").alias("stock_code")), ["stock_code"]).select("stock_code"),
+        ok.select("stock_code").join(segments.select(F.col("code").alias("stock_code")), "stock_code", "left_anti"),
+        run, dropped, lifecycle.unused_keys(profiles, closed, dropped, ["fiscal_year", "profile_version"], version),
+    )
+
+
+def publication(build: Build, companies: DataFrame, segments: DataFrame, synonyms: dict[str, list[str]], displays: Column) -> dict[str, DataFrame]:
+    """Q5: the tables that a build publishes, none unless its status is done: the term table of the stored (capped and grounded) ok
+    profiles, and the percentile tables of their companies' and segments' vectors (A14), which are worked out here.
     """
-    filed = filings.sections_of_year(sections, year)
-    targets = filings.targets(filings.latest_filings(filed), stocks, skip_names, skip_sector)
-    inputs = filings.assembled_inputs(filed.join(targets.select("stock_code", "rcept_no"), ["stock_code", "rcept_no"], "left_semi").withColumn("table_text", F.lit("")))
-    usable = profiles.filter("status = 'ok'")
-    capped = usable.withColumn("terms", terms.tidy(F.col("terms"), most_terms, spellings))
-    table = terms.term_table(usable, spellings, displays, ["doc_id"])
-    company_table, segment_table = percentile_tables(companies, segments)
-    counts = build_counts(targets, profiles, table)
-    grounded = terms.grounded_terms(capped.select("doc_id", "text", "terms"), {})
-    return {"targets": targets, "inputs": inputs, "profiles": grounded, "terms": table, "company_percentiles": company_table, "segment_percentiles": segment_table, "counts": counts}
+    if build.run.first()["status"] != "done":  # one row
+        return {}
+    ok = build.profiles.filter("status = 'ok'")
+    codes = ok.select(F.col("stock_code").alias("code"))
+    company_table, segment_table = percentile_tables(companies.join(codes, "code", "left_semi"), segments.join(codes, "code", "left_semi"))
+    table = terms.term_table(ok, texts.spelling_map(synonyms), displays, ["stock_code"])
+    return {"terms": table, "company_percentiles": company_table, "segment_percentiles": segment_table}
 
 
 def build_counts(targets: DataFrame, profiles: DataFrame, table: DataFrame) -> DataFrame:
