@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from equityjobs.sources.scratch import stored
 
 #: Buckets of groups whose sums the driver reads, and cells that a group's vectors are ranked in.
 _BUCKETS, _CELLS = 1024, 16
+#: Bytes of block centres that may go to every task.
+_CENTRE_BYTES = 256 << 20
 
 
 def unit(vector: Column) -> Column:
@@ -207,18 +210,117 @@ def _best_owners(sims: np.ndarray, asking: np.ndarray, owners: np.ndarray, k: in
     return row, at, similarity
 
 
+def _centres(vectors: DataFrame, keys: list[str], most: int, sample: int = 2048) -> np.ndarray:
+    """At most ``most`` of at most ``sample`` vectors (by hash) as centres, each the farthest from those before it."""
+    rows = vectors.select(unit(F.col("vector")).alias("u"), *keys).filter("u is not null").orderBy(F.xxhash64(F.lit(3), *keys), *keys).limit(sample).collect()
+    x = np.array([r["u"] for r in rows])
+    picked, best = [0], np.full(len(x), -np.inf)
+    while len(picked) < min(most, len(x)):
+        best = np.maximum(best, x @ x[picked[-1]])
+        if best.min() >= 1 - 1e-12:
+            break
+        picked.append(int(best.argmin()))
+    return x[picked]
+
+
+def _clustered(vectors: DataFrame, keys: list[str], size: int, centres: np.ndarray) -> DataFrame:
+    """Stored blocks of about ``size`` vectors of one centre: block, data (as in ``_blocks``), centre, angle (the widest from the centre)."""
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    named = ", ".join(f"{c} {kinds[c]}" for c in keys)
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(cell=(np.stack(batch["vector"].to_numpy()) @ centres.T).argmax(axis=1))
+
+    units = vectors.select(*keys, unit(F.col("vector")).alias("vector")).filter("vector is not null")
+    celled = stored(units.mapInPandas(dealt, f"{named}, vector array<double>, cell long"), "celled")
+    counts = {r["cell"]: r["n"] for r in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each centre
+    many = [max(1, -(-counts.get(c, 0) // size)) for c in range(len(centres))]
+    first, parts = (F.lit(x).cast("array<int>") for x in (np.concatenate([[0], np.cumsum(many)[:-1]]).tolist(), many))
+    cell = F.col("cell").cast("int")
+    block = F.get(first, cell) + F.pmod(F.xxhash64(*keys), F.get(parts, cell)).cast("int")
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(keys)
+        out, m = io.BytesIO(), np.stack(part["vector"].to_numpy())
+        np.savez(out, m=m, **{k: part[k].to_numpy().astype("U" if part[k].dtype == object else part[k].dtype) for k in keys})
+        middle = m.sum(axis=0)
+        length = np.linalg.norm(middle)
+        middle = middle / length if length > 0 else m[0]
+        angle = float(np.arccos(np.clip(m @ middle, -1, 1)).max())
+        return pd.DataFrame({"block": part["block"].iloc[:1], "data": [out.getvalue()], "centre": [middle.tolist()], "angle": [angle]})
+
+    return stored(celled.withColumn("block", block).groupBy("block").applyInPandas(build, "block int, data binary, centre array<double>, angle double"), "vector_blocks")
+
+
+def _bounds(centre: np.ndarray, angle: float, centres: np.ndarray, angles: np.ndarray) -> np.ndarray:
+    """No cosine between a vector of the one block and one of the others is larger; with room for rounding."""
+    gap = np.arccos(np.clip(centres @ centre, -1, 1)) - angle - angles
+    return np.where(gap <= 0, 1.0, np.cos(np.minimum(gap, np.pi))) + 1e-8
+
+
+def block_pairs_to_meet(asking: DataFrame, blocks: DataFrame, owner: str, k: int) -> DataFrame:
+    """ask, block: the pairs of stored clustered blocks that may hold one of a row's ``k`` best owners.
+
+    Each asking block first meets the block that promises most, which gives its rows a k-th similarity; pairs of blocks whose bound
+    stays below the worst of these are left out. The centres go to every task, so they are counted: beyond ``_CENTRE_BYTES`` all pairs
+    are met.
+    """
+    spark = blocks.sparkSession
+    wide = len(blocks.first()["centre"])
+    if blocks.count() * wide * 8 > _CENTRE_BYTES:
+        return asking.select(F.col("block").alias("ask")).crossJoin(blocks.select("block"))  # numbers of blocks only
+    known = blocks.select("block", "centre", "angle").toPandas()
+    numbers_, centres, angles = known["block"].to_numpy(), np.stack(known["centre"].to_numpy()), known["angle"].to_numpy()
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            picks = [numbers_[_bounds(np.array(c), r, centres, angles).argmax()] for c, r in zip(batch["centre"], batch["angle"])]
+            yield pd.DataFrame({"ask": batch["block"], "block": picks}).astype("int32")
+
+    def floors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ask, a, b, c, r in zip(batch["ask"], batch["a"], batch["b"], batch["centre"], batch["angle"]):
+                x, y = _load(a), _load(b)
+                row, _, similarity = _best_owners(np.round(x["m"] @ y["m"].T, 9), x[owner].astype(str), y[owner].astype(str), k)
+                full = len(row) == k * len(x["m"])
+                yield pd.DataFrame({"ask": [ask], "centre": [c], "angle": [r], "worst": [float(similarity.min()) if full else -2.0]})
+
+    def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ask, c, r, worst in zip(batch["ask"], batch["centre"], batch["angle"], batch["worst"]):
+                yield pd.DataFrame({"ask": ask, "block": numbers_[_bounds(np.array(c), r, centres, angles) >= worst]}).astype("int32")
+
+    first = asking.select("block", "centre", "angle").mapInPandas(best, "ask int, block int")
+    asks = asking.select(F.col("block").alias("ask"), F.col("data").alias("a"), "centre", "angle")
+    met = first.join(asks, "ask").join(blocks.select("block", F.col("data").alias("b")), "block")
+    floor = stored(met.select("ask", "a", "b", "centre", "angle").mapInPandas(floors, "ask int, centre array<double>, angle double, worst double"), "floors")
+    return stored(floor.mapInPandas(left, "ask int, block int"), "block_pairs").repartition(max(1, spark.sparkContext.defaultParallelism), "ask", "block")
+
+
 def nearest(vectors: DataFrame, keys: list[str], owner: str, k: int, size: int = 2000, seeds: DataFrame | None = None) -> DataFrame:
     """K3: the ``k`` other owners most like every seed row, by their best row: seed keys, peer, peer keys, similarity, rank.
 
-    Each block pair gives at most ``k`` owners per seed row (ties at the cut by name), ranked again per seed.
+    Blocks hold vectors near one centre, and pairs of blocks that cannot reach a row's k-th similarity are skipped
+    (``block_pairs_to_meet``). Each pair gives at most ``k`` owners per seed row (ties at the cut by name), ranked again per seed.
     """
     keys = [owner, *(c for c in keys if c != owner)]
-    blocks, n = _blocks(vectors.select(*keys, "vector"), keys, size)
-    asking, _ = (blocks, n) if seeds is None else _blocks(seeds.select(*keys, "vector"), keys, size)
-    pairs = asking.select(F.col("data").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(blocks, "block").select("a", F.col("data").alias("b"))
+    total = vectors.count()
+    if total <= 2 * size:
+        blocks, n = _blocks(vectors.select(*keys, "vector"), keys, size)
+        asking, _ = (blocks, n) if seeds is None else _blocks(seeds.select(*keys, "vector"), keys, size)
+        every = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")  # two blocks at most
+        pairs = asking.select(F.col("data").alias("a"), every).join(blocks, "block").select("a", F.col("data").alias("b"))
+    else:
+        centres = _centres(vectors, keys, min(256, -(-total // size)))
+        blocks = _clustered(vectors.select(*keys, "vector"), keys, size, centres)
+        asking = blocks if seeds is None else _clustered(seeds.select(*keys, "vector"), keys, size, centres)
+        asks = asking.select(F.col("block").alias("ask"), F.col("data").alias("a"))
+        pairs = block_pairs_to_meet(asking, blocks, owner, k).join(asks, "ask").join(blocks.select("block", F.col("data").alias("b")), "block").select("a", "b")
     rest = [c for c in keys if c != owner]
 
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in zip(batch["a"], batch["b"]):
                 x, y = _load(a), _load(b)
