@@ -40,10 +40,15 @@ def spelling_map(synonyms: dict[str, list[str]]) -> Column:
 
 
 def term_key(term: Column, spellings: Column) -> Column:
-    """the standard key of a whole spelling, else the squashed term with each whole word that is a spelling replaced."""
+    """the standard key of a whole spelling, else the squashed term with each whole word that is a spelling replaced.
+
+    Most terms are one word of letters and digits, which has nothing to squash but its case.
+    """
+    low = F.lower(term)
     whole = F.try_element_at(spellings, squash(term))
     words = F.regexp_extract_all(F.coalesce(term, F.lit("")), F.lit(f"({_PARTS})"), F.lit(1))
-    return F.coalesce(whole, squash(F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(spellings, squash(w)), w)), "")))
+    parted = F.coalesce(whole, squash(F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(spellings, squash(w)), w)), "")))
+    return F.when(term.rlike(r"\A[A-Za-z0-9가-힣]+\z"), F.coalesce(F.try_element_at(spellings, low), low)).otherwise(parted)
 
 
 def term_keys(terms: Column, spellings: Column) -> Column:

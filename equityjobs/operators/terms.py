@@ -22,11 +22,11 @@ PROFILE_CAPS = {"products": 12, "keywords": 15, "applications": 8, "customers":
 def keyed_terms(profiles: DataFrame, spellings: Column, order: list[str], also: tuple[str, ...] = ()) -> DataFrame:
     """``order``, ``also``, key, raw: each comparison key of a profile's terms once, with its first spelling there.
 
-    ``order`` tells profiles apart. A spelling's first place in a profile is enough, so its key is worked out once a profile.
+    ``order`` tells profiles apart. A spelling's key is worked out once a profile, and rows stay where they are.
     """
-    rows = profiles.select(*order, *also, F.posexplode(F.array_distinct("terms")).alias("_pos", "_raw"))
-    keyed = rows.withColumn("key", term_key(F.col("_raw"), spellings)).filter("key <> ''")
-    return keyed.groupBy("key", *order, *also).agg(F.min_by("_raw", "_pos").alias("raw"))
+    firsts = _first_of_keys(F.array_distinct("terms"), spellings)
+    rows = profiles.select(*order, *also, F.explode(firsts).alias("_first"))
+    return rows.select("_first.key", *order, *also, F.col("_first.term").alias("raw"))
 
 
 def table_of(keyed: DataFrame, displays: Column, order: list[str]) -> DataFrame:
@@ -139,14 +139,19 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def tidy(terms: Column, cap: int, spellings: Column) -> Column:
-    """terms once per comparison key, the first spelling kept, up to the cap."""
-    keyed = F.transform(terms, lambda t, i: F.struct(term_key(strip(t), spellings).alias("key"), i.alias("pos"), strip(t).alias("term")))
+def _first_of_keys(terms: Column, spellings: Column) -> Column:
+    """(key, pos, term) of the first term of each comparison key, by key; the empty key is left out."""
+    keyed = F.transform(terms, lambda t, i: F.struct(term_key(t, spellings).alias("key"), i.alias("pos"), t.alias("term")))
 
-    def first_of_keys(entries: Column) -> Column:
+    def firsts(entries: Column) -> Column:
         return F.filter(entries, lambda e, i: (i == 0) | (F.get(entries, i - 1)["key"] != e["key"]))
 
-    firsts = _let(F.array_sort(F.filter(keyed, lambda e: e["key"] != "")), first_of_keys)
+    return _let(F.array_sort(F.filter(keyed, lambda e: e["key"] != "")), firsts)
+
+
+def tidy(terms: Column, cap: int, spellings: Column) -> Column:
+    """terms once per comparison key, the first spelling kept, up to the cap."""
+    firsts = _first_of_keys(F.transform(terms, strip), spellings)
     ordered = F.array_sort(F.transform(firsts, lambda e: F.struct(e["pos"].alias("pos"), e["term"].alias("term"))))
     return F.transform(F.slice(ordered, 1, cap), lambda e: e["term"])
 
