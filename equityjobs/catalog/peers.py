@@ -264,7 +264,7 @@ _TERM_RANK = f"{_HELD}, {_ASKED}, tr AS (SELECT query, code, count(*) AS keys, C
 @query("w12_term_ranking", f"WITH {_TERM_RANK} SELECT * FROM tr")
 def _(t):
     rows = keyed(t)
-    return peers.term_ranking(peers.term_totals(peers.term_holders(rows), asked(t), table(rows)))
+    return peers.term_ranking(peers.term_totals(peers.term_holders(rows), peers.asked_blocks(asked(t), table(rows))))
 
 
 _THEME = f"""{_HELD}, {_ASKED}, lst AS (SELECT DISTINCT code FROM stocks), qv AS (SELECT CAST(q.item_id AS VARCHAR) AS query, e.embedding AS vector FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id),

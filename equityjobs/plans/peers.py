@@ -79,13 +79,13 @@ def theme_search(queries: DataFrame, companies: DataFrame, segments: DataFrame,
         return stored(eligible(near.select(name, F.col("peer_code").alias("code"), "similarity", "rank"), stocks).select("query", "code", "rank"), "ranking")
 
     by_company, by_segment = ranked(companies, ["code"]), ranked(segments, ["code", "seg_no"])
-    wanted = queries.select("query", F.explode("keys").alias("key"))
+    wanted = peers.asked_blocks(queries.select("query", F.explode("keys").alias("key")), table)
     listed = holders.join(stocks.select("code"), "code", "left_semi")
-    first = stored(peers.term_ranking(peers.term_totals(listed, wanted, table, limit), limit), "first_by_terms")
+    first = stored(peers.term_ranking(peers.term_totals(listed, wanted, limit), limit), "first_by_terms")
     near = by_company.select("query", "code").unionByName(by_segment.select("query", "code")).distinct()
     deep = near.join(first, ["query", "code"], "left_anti").groupBy("code").agg(F.collect_list("query").alias("only"))
-    scored = stored(peers.term_totals(listed.join(deep, "code"), wanted, table), "near_by_terms")
-    by_terms = first.select("query", "code", "rank").unionByName(peers.term_ranks_of(listed, wanted, table, scored))
+    scored = stored(peers.term_totals(listed.join(deep, "code"), wanted), "near_by_terms")
+    by_terms = first.select("query", "code", "rank").unionByName(peers.term_ranks_of(listed, wanted, scored))
     found = peers.fused([by_company, by_segment, by_terms]).filter(F.col("rank") <= limit)
     return found.join(stocks.select("code", "name"), "code").select("query", "code", "name", "score", "rank")
 

@@ -70,14 +70,16 @@ def test_term_rankings_without_a_join_of_matches(spark, theme, monkeypatch):
     matched = peers.profiles_with_terms(holders, asked)
     assert "Exchange" not in plan_of(matched) and "Join" not in plan_of(matched)
     assert matched.count() == matched.distinct().count() == sum(n for _, n, _ in ranks.values())
-    got = peers.term_ranking(peers.term_totals(holders, asked, table)).collect()
+    blocks = peers.asked_blocks(asked, table)
+    assert len(blocks) > 1
+    got = peers.term_ranking(peers.term_totals(holders, blocks)).collect()
     assert {(r["query"], r["code"]): (r["rank"], r["keys"], r["holders"]) for r in got} == ranks
-    first = peers.term_ranking(peers.term_totals(holders, asked, table, 5), 5).collect()
+    first = peers.term_ranking(peers.term_totals(holders, blocks, 5), 5).collect()
     assert {(r["query"], r["code"]): (r["rank"], r["keys"], r["holders"]) for r in first} == {k: v for k, v in ranks.items() if v[0] <= 5}
     few = [k for k in ranks if int(k[1]) % 17 == 0]
     only = spark.createDataFrame(few, "query string, code string").groupBy("code").agg(F.collect_list("query").alias("only"))
-    scored = stored(peers.term_totals(holders.join(only, "code"), asked, table), "scored")
-    deep = peers.term_ranks_of(holders, asked, table, scored).collect()
+    scored = stored(peers.term_totals(holders.join(only, "code"), blocks), "scored")
+    deep = peers.term_ranks_of(holders, blocks, scored).collect()
     assert {(r["query"], r["code"]): r["rank"] for r in deep} == {k: ranks[k][0] for k in few}
 
 
