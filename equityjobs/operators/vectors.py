@@ -211,9 +211,14 @@ def _best_owners(sims: np.ndarray, asking: np.ndarray, owners: np.ndarray, k: in
 
 
 def _centres(vectors: DataFrame, keys: list[str], most: int, sample: int = 2048) -> np.ndarray:
-    """At most ``most`` of at most ``sample`` vectors (by hash) as centres, each the farthest from those before it."""
-    rows = vectors.select(unit(F.col("vector")).alias("u"), *keys).filter("u is not null").orderBy(F.xxhash64(F.lit(3), *keys), *keys).limit(sample).collect()
-    x = np.array([r["u"] for r in rows])
+    """At most ``most`` of at most ``sample`` vectors (those of least hash) as centres, each the farthest from those before it.
+
+    The driver sees ``sample`` hashes of each task and then ``sample`` vectors, whatever the number of tasks.
+    """
+    units = vectors.select(unit(F.col("vector")).alias("u"), F.xxhash64(F.lit(3), *keys).alias("h")).filter("u is not null")
+    hashes = [r["h"] for r in units.select("h").orderBy("h").limit(sample).collect()]
+    rows = units.filter(F.col("h") <= max(hashes, default=0)).limit(sample).collect()
+    x = np.array([r["u"] for r in sorted(rows, key=lambda r: (r["h"], r["u"]))])
     picked, best = [0], np.full(len(x), -np.inf)
     while len(picked) < min(most, len(x)):
         best = np.maximum(best, x @ x[picked[-1]])

@@ -11,7 +11,7 @@ from equityjobs.functions.dates import expected_trading_day
 from equityjobs.operators import classify, collect, compare, coverage, lifecycle, prices
 from equityjobs.operators.reports import in_scope, newest_in_scope, summary_invariants
 from equityjobs.sources import sinks
-from equityjobs.sources.scratch import stored
+from equityjobs.sources.scratch import scratch_path, stored
 
 
 def price_snapshot(daily: DataFrame, quotes: DataFrame, stocks: DataFrame, arrival: list[str], since: date | None = None) -> DataFrame:
@@ -104,13 +104,14 @@ def collect_increment(messages: DataFrame, reports: DataFrame, attempts: DataFra
     return collect.increment(messages, reports, attempts, None if now is None else now - timedelta(days=initial_days))
 
 
-def requeue(selected_from: DataFrame, current: DataFrame, publishers: DataFrame, columns: list[str], backup: str, criteria: tuple[str, ...] = lifecycle.CRITERIA) -> tuple[DataFrame, DataFrame]:
-    """Q12: (the table after the run, id and met of the rows that went back to pending).
+def requeue(selected_from: DataFrame, current: DataFrame, publishers: DataFrame, columns: list[str], backup: str, criteria: tuple[str, ...] = lifecycle.CRITERIA, table: str | None = None) -> DataFrame:
+    """Q12: rows that meet a criterion go back to pending, after a backup; returns them (with met) out of the table after the run.
 
     ``selected_from`` is the table (with ``renders``) that rows meeting a criterion are picked from, ``current`` the table now. The
     picked rows are backed up under the path ``backup`` (S6 lines) and the backup is read back and counted before anything is
     reset. Of them, those that are unchanged in ``columns`` and still meet a criterion are reset, and just these: the table is
-    read as it was written and compared with what was to change, and a difference is an error.
+    written (under the path ``table``, else to the scratch folder), read as it was written and compared with what was to change, and a
+    difference is an error.
     """
     both = selected_from.withColumn("_now", F.lit(False)).unionByName(current.withColumn("_now", F.lit(True)))
     judged = stored(lifecycle.met_criteria(both, publishers, criteria).filter(F.size("met") > 0), "judged")
@@ -123,10 +124,12 @@ def requeue(selected_from: DataFrame, current: DataFrame, publishers: DataFrame,
     same = (F.col("c.id") == F.col("b.id")) & lifecycle.same_row("c", "b", columns)
     kept = stored(still.alias("c").join(picked.alias("b"), same, "left_semi"), "kept")
     rest = current.join(kept.select("id"), "id", "left_anti").select(*current.columns)
-    after = stored(rest.unionByName(lifecycle.reset_shape(kept.drop("met")).select(*current.columns)), "requeued")
+    whole, path = rest.unionByName(lifecycle.reset_shape(kept.drop("met")).select(*current.columns)), table or scratch_path(current.sparkSession, "requeued")
+    whole.write.parquet(path)
+    after = current.sparkSession.read.schema(whole.schema).parquet(path)
     changed = lifecycle.changed_rows(current, after, "tagging_status")
     counts = {"rows": (current.count(), after.count()), "reset rows": (kept.filter("tagging_status <> 'pending'").count(), changed.count())}
     for what, (expected, found) in counts.items():
         if expected != found:
             raise RuntimeError(f"the table has {found} {what} after the run instead of {expected}")
-    return after, kept.select("id", "met")
+    return after.join(kept.select("id", "met"), "id")

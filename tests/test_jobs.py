@@ -222,7 +222,8 @@ def test_requeue_notices_a_table_that_was_not_written_whole(spark, monkeypatch,
     publishers = spark.createDataFrame([("P1", "pub", "broker")], "canonical string, alias string, publisher_type string")
     columns = ["tagging_status", "publisher", "tagging_notes"]
     now = reports.withColumn("publisher", F.when(F.col("id") == 4, "P1").otherwise(F.col("publisher")))
-    after, reset = jobs.requeue(reports, now, publishers, columns, f"file://{tmp_path}/a")
+    reset = jobs.requeue(reports, now, publishers, columns, f"file://{tmp_path}/a", table=f"file://{tmp_path}/after")
+    after = spark.read.parquet(f"file://{tmp_path}/after")
     assert sorted(r["id"] for r in reset.collect()) == [0, 2, 6] and sorted(r["id"] for r in after.filter("tagging_status = 'pending'").collect()) == [0, 2, 6] and after.count() == 8
     monkeypatch.setattr(jobs.lifecycle, "reset_shape", lambda df: df)
     with pytest.raises(RuntimeError, match="reset rows"):
