@@ -354,16 +354,18 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
 
 
 def fit(pages: DataFrame, html_col: str = "html", main_col: str | None = None, labelled: int = LABELLED, longest: int = LONGEST) -> dict[str, float]:
-    """Weights from at most ``labelled`` pages of at most ``longest`` characters: those of least hash among the labelled ones.
+    """Weights from at most ``labelled`` different pages of at most ``longest`` characters: those of least hash among the labelled ones.
 
-    A page is labelled by ``main_col`` (its main text) or, without such a column, by an ``article`` element of its own.
+    A page is labelled by ``main_col`` (its main text) or, without such a column, by an ``article`` element of its own. The
+    driver sees hashes first (``labelled`` of each task), then the chosen pages once each, however often a page is repeated.
     """
     source = F.col(html_col)
     label = F.col(main_col) if main_col else F.lit(None).cast("string")
     known = label.isNotNull() if main_col else F.lower(source).contains("<article")
-    chosen = pages.filter(known & (F.length(source) <= longest)).select(source.alias("html"), label.alias("main"))
-    rows = chosen.orderBy(F.xxhash64("html"), "html").limit(labelled).collect()
-    return learned([(r.html, r.main) for r in rows])
+    chosen = pages.filter(known & (F.length(source) <= longest)).select(source.alias("html"), label.alias("main"), F.xxhash64(source).alias("hash"))
+    hashes = [r["hash"] for r in chosen.select("hash").distinct().orderBy("hash").limit(labelled).collect()]
+    drawn = chosen.filter(F.col("hash").isin(hashes)).groupBy("hash").agg(F.min(F.struct("html", "main")).alias("page"))
+    return learned([(r["page"]["html"], r["page"]["main"]) for r in sorted(drawn.collect(), key=lambda r: r["hash"])])
 
 
 def extract(pages: DataFrame, weights: dict[str, float], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
