@@ -39,10 +39,12 @@ OUTSIDE = frozenset("nav footer aside form script style noscript template button
 OUTSIDE_ROLES = frozenset("navigation contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: Parts of class names and ids that mark such elements.
 OUTSIDE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion banner cookie cookies consent gdpr "
-    "notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall nav navbar navigation menu menus "
-    "breadcrumb breadcrumbs sidebar sidebars rail aside widget widgets footer share sharing social comment comments disqus respond "
-    "replies related recommended recommendations trending pagination pager search toolbar skip copyright disclaimer masthead".split()
+    "ad ads advert adverts advertisement advertisements advertising adsense adbox adslot adunit adbanner sponsor sponsors sponsored promo promos promotion promotions "
+    "banner banners cookie cookies cookiebar cookiebanner consent gdpr notice notices alert alerts popup popups modal overlay toast paywall "
+    "newsletter subscribe subscription signup login nav navbar navmenu navigation mainnav topnav subnav sidenav topbar menu menus menubar mainmenu "
+    "breadcrumb breadcrumbs sidebar sidebars leftbar rightbar rail aside widget widgets footer footers colophon share sharing social "
+    "comment comments commentlist commentform commentbox disqus respond replies discussion reactions talkback guestbook "
+    "related recommended recommendations trending teaser teasers pagination pager search toolbar skip copyright disclaimer masthead".split()
 )
 #: A name after one of these says what the element has or lacks, not what it is.
 OF_OTHERS = frozenset("has with no without is hide show".split())

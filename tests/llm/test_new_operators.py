@@ -205,6 +205,8 @@ PAGES = {
     f"<div class='cookie-notice'><p>{P}</p></div><div role='main'><p>{P}</p></div>": P,
     f"<header><h1>Site</h1></header><h1>Real title</h1><div class='story'><p>{P}</p></div>": f"Real title\n{P}",
     f"<article><p>one<b>two</b>three  <i>four</i><br>five</p><p>{P}</p></article>": f"onetwothree four five\n{P}",
+    f"<div class='topbar'>Call us today</div><section id='story'><h2>Head</h2><p>{P}</p><div class='adslot'><p>{P}</p></div><p>{P}</p></section><ol class='commentlist'><li>{P}</li><li>{P}</li><li>{P}</li></ol>": f"Head\n{P}\n{P}",
+    f"<div id=page><div id=nav-main>{'<a href=x>go there now</a> ' * 40}</div><div id=body><blockquote>{P}</blockquote>text in no paragraph<ul><li>a</li></ul></div><div role=contentinfo><p>{P}</p></div></div>": f"{P}\ntext in no paragraph\na",
     "just words": "just words", "": "", "<p></p>": "",
 }
 
