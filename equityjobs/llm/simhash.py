@@ -17,7 +17,7 @@ from math import ceil, comb, floor
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from equityjobs.llm.shared import give_back, join_side, lean, looked_up, stored, text_batches
@@ -457,6 +457,42 @@ def radii(similarity: float, bits: int, sigmas: float = 4.0, exact: int = 64) ->
     return np.array([ceil(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5) for p in shares])
 
 
+def _family_shards(held: DataFrame, similarity: float, block: int) -> DataFrame:
+    """``held`` (node, n, shingles, ...; value is the family) with the band and value of each shard that a set goes to.
+
+    A family of at most ``block`` hashes is one shard. In a larger one, sets that are ``similarity`` alike share one of the first
+    n - ceil(similarity n) + 1 shingles of each, the family's rarest first: each such shingle that two sets share is a shard (once, if the same sets share several), so
+    a set is copied at most once for each of its own, however large the family, and a set without one is alike to none.
+    Where that copies more hashes than all pairs of blocks do, the family stays one shard, which is cut into blocks. Both are exact.
+    """
+    load, copied = F.sum("n").alias("_load"), F.col("_load") * F.ceil(F.col("_load") / block)
+    whole = held.withColumn("band", F.lit(0))
+    large = stored(held.groupBy("value").agg(load).filter(F.col("_load") > block), "large_families")
+    if not large.limit(1).count():
+        return whole
+    inside = looked_up(held.select("node", "n", "shingles", "value"), large.select("value"), "value", "node").dropDuplicates(["node"])
+    words = inside.select("node", "n", F.col("value").alias("family"), F.explode("shingles").alias("_shingle"))
+    words = words.select("node", "n", "family", F.xxhash64("family", "_shingle").alias("value"))
+    common = stored(words.groupBy("value").agg(F.count(F.lit(1)).alias("_held")).filter("_held > 1"), "common_shingles")
+    # Shingles of one set only come first in every order, so their number is all that counts.
+    own = Window.partitionBy("node")
+    ranked = looked_up(words, common, "value", "node").select(
+        "node", "n", "family", "value", F.row_number().over(own.orderBy("_held", "value")).alias("_rank"), F.count(F.lit(1)).over(own).alias("_common")
+    )
+    first = ranked.filter(F.col("_rank") <= F.col("_common") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
+    keys = stored(first.select("node", "n", "family", "value"), "prefixes")
+    members = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"_members{seed}") for seed in (7, 8)]
+    shards = keys.groupBy("family", "value").agg(F.count(F.lit(1)).alias("_n"), load, *members).filter("_n > 1")
+    # Shards of the same sets say the same: one of them stays.
+    shared = stored(shards.groupBy("family", "_n", "_load", "_members7", "_members8").agg(F.min("value").alias("value")), "shared_prefixes")
+    costs = shared.groupBy("family").agg(F.sum(copied).alias("_cost")).withColumnRenamed("family", "value")
+    parted = stored(large.join(costs, "value", "left").filter(F.coalesce("_cost", F.lit(0)) < copied).select("value"), "parted_families")
+    kept = stored(shared.join(join_side(parted.withColumnRenamed("value", "family")), "family", "left_semi").select("value"), "prefix_shards")
+    own_sets = looked_up(held, parted, "value", "node").drop("value")
+    dealt = looked_up(keys, kept, "value", "node").select("node", "value").join(own_sets, "node").withColumn("band", F.lit(1))
+    return whole.join(join_side(parted), "value", "left_anti").unionByName(dealt)
+
+
 def near_copies(
     docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 4, bands: int = 10, rows: int = 3, seed: int = 42, block: int = 4096, task_rows: int = 1 << 15,
     shingles: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text",
@@ -466,8 +502,9 @@ def near_copies(
     Fingerprints of ``64 * words`` bits only propose pairs, within four standard deviations of their distance at
     ``similarity`` (``radii``); a pair links by its common shingles (64-bit hashes). Bands of so long fingerprints
     would not part them, so the shards of the BK-trees are min-hash keys: a pair at 0.8 shares one of 10 keys of
-    3 minima with probability 0.999. Proposed pairs make families; the sets of shingles of each family come together
-    once, in blocks of about ``shingles`` hashes, and its proposed pairs are checked there. Edge cases are those of
+    3 minima with probability 0.999. Proposed pairs make families; the sets of shingles of a family of up to ``shingles``
+    hashes come together once, those of a larger one by the rare shingles that they share (``_family_shards``), and its
+    proposed pairs are checked there. Edge cases are those of
     ``near_duplicates``; a text without a word has the empty set, which is alike to itself only.
     """
     prints = stored(fingerprints(docs, width, seed, id_col, text_col, words, bands, rows, sets=True), "fingerprints")
@@ -482,8 +519,8 @@ def near_copies(
     wanted = stored(members.select(F.col("least").alias("_least")).distinct(), "wanted")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(join_side(wanted), F.col("_id").eqNullSafe(F.col("_least")), "left_semi")
     sets = _shingle_sets(texts, width, seed, "_id", "_text").join(join_side(members.select("node", "n", "value", *names)), "node")
-    held = stored(sets.select("node", "shingles", "n", *names, F.lit(0).alias("band"), "value"), "shingles")
-    dealt = _dealt_shards(held, ["n", *names, "shingles"], shingles, shingles // 4, weight="n")
+    held = stored(sets.select("node", "shingles", "n", *names, "value"), "shingles")
+    dealt = _dealt_shards(_family_shards(held, similarity, shingles), ["n", *names, "shingles"], shingles, shingles // 4, weight="n")
     edges = stored(dealt.applyInPandas(lambda x: _family_links(x, names, radius, similarity), "a long, b long").distinct(), "links")
     roots = stored(components(edges).select(F.col("fp").alias("node"), "root"), "roots")
     rooted = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))

@@ -474,6 +474,40 @@ def test_near_copies_of_families_at_all_similarities(spark):
         assert all(root[linked[i]] == root[i] for i in range(len(sets)))  # no link between texts that are not alike
 
 
+def test_sets_of_a_large_family_are_not_copied_for_every_block(spark):
+    """Sets on one template, alike just below the threshold but for some pairs; a second family whose sets are all alike; a small one."""
+    rng = np.random.default_rng(5)
+    template, sets, family = list(range(220)), [], []
+    for i in range(200):
+        sets.append(template + [1000 * (i + 1) + k for k in range(80)])
+        family.append(1)
+    for i in range(0, 40, 2):  # the odd ones get nearly all of the even ones' own shingles
+        sets[i + 1] = sets[i][:-5] + sets[i + 1][-5:]
+    for i in range(200):
+        sets.append([x for x in range(500_000, 500_300) if rng.random() < 0.97])
+        family.append(2)
+    sets += [list(range(10)), list(range(11))]
+    family += [3, 3]
+    rows = [(i, len(s), [int(x) * 2654435761 for x in s], f) for i, (s, f) in enumerate(zip(sets, family))]
+    held = spark.createDataFrame([*rows, rows[0]], "node long, n long, shingles array<long>, value long")  # a repeated row
+    block = 6000
+    shards = simhash._family_shards(held, 0.8, block).select("node", "band", "value").distinct().collect()
+    of = {}
+    for r in shards:
+        of.setdefault(r["node"], set()).add((r["band"], r["value"]))
+    whole = {i for i, v in of.items() if (0, family[i]) in v}
+    assert {family[i] for i in whole} == {2, 3}  # copied less by blocks, or no large family at all
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if family[i] == family[j] and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
+    assert len([p for p in alike if family[p[0]] == 1]) == 20
+    assert all(of[i] & of[j] for i, j in alike)
+    # Of the 200 sets of the first family (10 blocks, so 10 copies each) only those with a partner are copied at all.
+    assert set(range(40)) == {i for i in of if family[i] == 1}
+    assert all(len(of[i]) == 1 for i in range(40))
+    assert simhash._family_shards(held, 0.8, 10**6).filter("band = 0").count() == len(sets) + 1
+    empty = held.filter("node < 0")
+    assert simhash._family_shards(empty, 0.8, block).count() == 0
+
+
 def test_repeated_ids_and_rows_of_near_copies(spark):
     text = " ".join(f"w{i}" for i in range(60))
     data = [(5, text)] * 40 + [(5, "another text of this id"), (6, text + " end"), (None, text), (7, None), (8, "")]
