@@ -156,6 +156,37 @@ def test_blocks_are_stored_once_for_percentiles(spark, monkeypatch):
     assert vectors.pair_percentiles(rows, ["k"], size=10).count() > 0 and written == ["vector_blocks"]
 
 
+def test_no_match_but_the_final_ones_leaves_a_task(spark):
+    rng = np.random.default_rng(2)
+    points = np.round(rng.normal(size=(30, 6)), 1)[rng.integers(0, 30, 400)]  # many copies: ties go by name, an owner's rows stand in several blocks
+    df = stored(spark.createDataFrame([(f"{i // 3:05d}", i % 3, r.tolist()) for i, r in enumerate(points)], "code string, seg int, vector array<double>"), "vectors")
+    near = vectors.nearest(df, ["code", "seg"], "code", 7, 40)
+    assert "Window" not in plan_of(near)
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    sims, expected = np.round(unit @ unit.T, 9), set()
+    for i in range(400):
+        best = {}
+        for j in range(400):
+            if j // 3 != i // 3 and (j // 3 not in best or sims[i, j] > best[j // 3][0]):
+                best[j // 3] = (sims[i, j], j)
+        expected |= {(i, j, n + 1) for n, (_, (_, j)) in enumerate(sorted(best.items(), key=lambda t: (-t[1][0], t[0]))[:7])}
+    assert {(3 * int(r["seed_code"]) + r["seed_seg"], 3 * int(r["peer_code"]) + r["peer_seg"], r["rank"]) for r in near.collect()} == expected
+
+
+def test_the_driver_reads_coarse_cells_only(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    read, keep = [], DataFrame.toPandas
+    monkeypatch.setattr(DataFrame, "toPandas", lambda df: read.append(1) or keep(df))
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(300, 4))
+    rows = stored(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "k int, vector array<double>"), "vectors")
+    got = {r["percentile"]: r["cosine"] for r in vectors.pair_percentiles(rows, ["k"], size=25).collect()}
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    expected = np.percentile(np.round((unit @ unit.T)[np.triu_indices(300, 1)], 9), sorted(got))
+    assert len(read) == 1 and np.allclose([got[p] for p in sorted(got)], expected, atol=2e-9)
+
+
 # --- reports ----------------------------------------------------------------------------------------------
 
 
