@@ -58,9 +58,12 @@ def with_excess(rows: DataFrame, medians: DataFrame) -> DataFrame:
     return joined.withColumns(excess).drop(*[f"_median_{p}" for p, _ in PERIODS])
 
 
-def merge_run(received: DataFrame, stored: DataFrame) -> DataFrame:
-    """Received rows, and the stored rows of the other stocks with the no_data flag first."""
-    others = stored.join(received.select("stock_code"), "stock_code", "left_anti").withColumn("flags", with_no_data(F.col("flags")))
+def merge_run(received: DataFrame, stored: DataFrame, keys: tuple[str, ...] = ("stock_code",)) -> DataFrame:
+    """Received rows, and the stored rows of the other stocks with the no_data flag first.
+
+    ``keys``: what tells a stock's rows apart where listings share a code.
+    """
+    others = stored.join(received.select(*keys), list(keys), "left_anti").withColumn("flags", with_no_data(F.col("flags")))
     return received.unionByName(others)
 
 
