@@ -360,3 +360,48 @@ def test_deliveries_again_change_nothing(spark, tmp_path):
     assert sorted(map(tuple, streams.merged(rows, table, ["k"], "no", "again").collect())) == expected  # all delivered again
     write([(2, "e", 5), (4, "f", 1)], schema, spark, tmp_path / "in", "c")
     assert sorted(map(tuple, streams.merged(rows, table, ["k"], "no").collect())) == [(1, "b", 2), (2, "e", 5), (3, "d", 1), (4, "f", 1)]
+
+
+# --- words in dealt partitions, one search a similarity, one pass over reports ------------------------------
+
+
+def test_words_are_cut_in_dealt_partitions(spark, tmp_path):
+    from equityjobs.catalog import terms as T
+    from equityjobs.sources.adapters import Tables
+
+    rows = [(i, "The cat and le CAT" if i % 2 else None, 3) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tables(spark, str(tmp_path))
+    assert "REPARTITION" in plan_of(T.with_terms(t)) and "REPARTITION" in plan_of(T.with_said_terms(t))
+    found = {r["doc_id"]: r["terms"] for r in T.with_said_terms(t).collect()}
+    assert found == {i: ["The", "cat", "and", "le", "CAT"] if i % 2 == 0 and i < 39 else [] for i in range(40)}
+
+
+def test_keys_of_plain_and_other_words(spark):
+    lists = [["The", "AND", "cat", "Cat", "", None, "x9"], ["양극재", "The", "n c-m", "cathode"], ["and", "N·C·M", "ncm", "The"], [], None, [None], ["a b", "AB"]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "doc_id long, terms array<string>").withColumn("code", F.concat(F.lit("c"), "doc_id"))
+    spellings = texts.spelling_map({"the": ["and"], "양극재": ["cathode"]})
+    found = terms.keyed_terms(rows, spellings, ["doc_id"], ("code",))
+    plain = rows.select("doc_id", "code", F.posexplode(F.array_distinct("terms")).alias("pos", "raw")).withColumn("key", texts.term_key(F.col("raw"), spellings)).filter("key <> ''")
+    wanted = plain.groupBy("key", "doc_id", "code").agg(F.min_by("raw", "pos").alias("raw"))
+    assert found.columns == ["key", "doc_id", "code", "raw"] and "MapInArrow" in plan_of(found)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_a_percentile_is_searched_once(spark):
+    table = spark.createDataFrame([(95.0, 0.5), (100.0, 0.875)], "percentile double, cosine double")
+    found = peers.with_percentile(spark.range(5).select((F.col("id") / 5).alias("s")), table, "s", "p")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_reports_under_review_are_joined_once(spark):
+    rows = [(i, "review_needed" if i != 4 else "auto", None, f"t{i}", ["s"]) for i in range(6)]
+    reports = spark.createDataFrame(rows, "id long, tagging_status string, out_of_scope_reason string, title string, sectors_major array<string>").withColumn("published_at", F.lit("2001-01-01").cast("date"))
+    made = [(1, 0, "verify", None), (2, 1, "oos", "fund"), (3, 2, "retag", None), (4, 3, "oos", "moon"), (5, 4, "verify", None), (6, 0, "retag", None)]
+    after, refused = lifecycle.reviewed(reports, spark.createDataFrame(made, "decision long, id long, action string, reason string"))
+    got = {r["id"]: (r["tagging_status"], r["out_of_scope_reason"], r["title"], r["sectors_major"], r["published_at"] is None) for r in after.collect()}
+    kept = {i: ("review_needed", None, f"t{i}", ["s"], False) for i in (3, 5)}
+    assert got == kept | {0: ("verified", None, "t0", ["s"], False), 1: ("verified", "fund", "t1", [], True), 2: ("pending", None, None, [], True), 4: ("auto", None, "t4", ["s"], False)}
+    assert sorted(r["decision"] for r in refused.collect()) == [4, 5, 6] and "Union" not in plan_of(after)
+    back = lifecycle.undone(after, reports, after, ["tagging_status", "title"])
+    assert {r["id"]: (r["tagging_status"], r["title"]) for r in back.collect()} == {i: (s, t) for i, s, _, t, _ in rows}
