@@ -261,3 +261,18 @@ def test_listings_that_share_a_code_stay_in_a_partial_run(spark):
     assert sorted((r["stock_code"], r["traded"]) for r in got) == [("A", False), ("A", True), ("B", False)]
     assert all(r["traded"] or r["flags"][0] == "no_data" for r in got)
     assert prices.merge_run(rows.filter("traded"), rows).count() == 2
+
+
+def test_shared_terms_meet_as_one_row_a_pair(spark):
+    """Lists of key numbers meet, so that a pair with many shared keys is one row until its rarest are chosen."""
+    held = [("1", f"k{i:02d}") for i in range(40)] * 2 + [("2", f"k{i:02d}") for i in range(10, 60)] + [("3", "zz"), ("3", "k50"), ("1", "unlisted"), ("2", "unlisted")]
+    terms = spark.createDataFrame(held, "code string, key string")
+    listed = [(f"k{i:02d}", f"K{i}", 1 + i % 3) for i in range(60)] + [("zz", "ZZ", 1)]
+    table = spark.createDataFrame(listed, "key string, display string, companies long")
+    pairs = spark.createDataFrame([("1", "2"), ("2", "1"), ("2", "3"), ("1", "3"), ("1", "none")], "seed string, peer string")
+    _, lists = peers.numbered_keys(terms, table)
+    assert lists.count() == 3 and peers.shared_ids(pairs, lists).count() == 3
+    assert {(r["seed"], r["peer"]): r["shared"] for r in peers.shared_counts(pairs, terms, table).collect()} == {("1", "2"): 30, ("2", "1"): 30, ("2", "3"): 1}
+    best = sorted((n, k, d) for k, d, n in listed if k in {f"k{i:02d}" for i in range(10, 40)})[:5]
+    got = {(r["seed"], r["peer"], r["place"]): (r["companies"], r["key"], r["display"]) for r in peers.shared_terms(pairs, terms, table).collect()}
+    assert got == {(a, b, i + 1): x for a, b in (("1", "2"), ("2", "1")) for i, x in enumerate(best)} | {("2", "3", 1): (3, "k50", "K50")}
