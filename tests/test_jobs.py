@@ -156,6 +156,33 @@ def test_blocks_are_stored_once_for_percentiles(spark, monkeypatch):
     assert vectors.pair_percentiles(rows, ["k"], size=10).count() > 0 and written == ["vector_blocks"]
 
 
+def test_blocks_hold_floats_as_floats_and_give_the_unit_vectors_bit_by_bit(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(200)] + [(200, [0.0] * 64)], "k long, vector array<float>")
+    expected = {r["k"]: r["u"] for r in df.select("k", vectors.unit(F.col("vector")).alias("u")).collect() if r["u"]}
+    for rows, most in ((df, 6), (df.withColumn("vector", F.col("vector").cast("array<double>")), 12)):
+        for blocks in (vectors._blocks(rows, ["k"], 60)[0], vectors._clustered(rows, ["k"], 60, vectors._centres(rows, ["k"], 3))):
+            data = [r["data"] for r in blocks.collect()]
+            assert sum(map(len, data)) < most * 64 * 200
+            found = [vectors._load(x) for x in data]
+            assert {k: v.tolist() for b in found for k, v in zip(b["k"].tolist(), b["m"])} == expected
+
+
+def test_each_pair_of_blocks_meets_in_one_of_the_few_tasks_that_a_block_goes_to(spark):
+    assert [vectors._sides(x) for x in (1, 2, 3, 4, 24, 28, 29)] == [1, 2, 2, 3, 7, 7, 8]
+    for n, tiles in ((40, 7), (5, 5), (3, 1)):
+        blocks = spark.createDataFrame([(i, bytes([i])) for i in range(n)], "block int, data binary")
+        tasks, copies, pairs = {}, {}, []
+        for r in vectors._met_once(blocks, n, tiles).withColumn("_p", F.spark_partition_id()).collect():
+            held = tasks.setdefault((r["_p"], r["task"]), [])
+            copies[r["block"]] = copies.get(r["block"], 0) + 1
+            if r["role"] < 2:
+                held.append(r["block"])
+            pairs += [tuple(sorted((x, r["block"]))) for x in held if r["role"]]
+        assert sorted(pairs) == [(i, j) for i in range(n) for j in range(i, n)]
+        assert set(copies.values()) == {tiles} and len(tasks) == len({p for p, _ in tasks}) == tiles * (tiles + 1) // 2
+
+
 def test_no_match_but_the_final_ones_leaves_a_task(spark):
     rng = np.random.default_rng(2)
     points = np.round(rng.normal(size=(30, 6)), 1)[rng.integers(0, 30, 400)]  # many copies: ties go by name, an owner's rows stand in several blocks
