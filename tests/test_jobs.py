@@ -309,6 +309,38 @@ def test_fingerprints_follow_rows_and_not_their_order(spark):
     assert first == lifecycle.tree_fingerprint(b.repartition(3)).first()[0] != lifecycle.tree_fingerprint(a.limit(299)).first()[0]
 
 
+def test_a_build_reads_its_answers_once_and_joins_them_capped(spark, monkeypatch):
+    from conftest import DATA
+    from equityjobs.catalog import jobs as J
+    from equityjobs.sources.adapters import Tables
+
+    read, given = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    grounded = terms.grounded_terms
+    monkeypatch.setattr(terms, "grounded_terms", lambda df, forms: grounded(df.mapInPandas(counted, df.schema), forms))
+    build = plans.peer_build
+    monkeypatch.setattr(plans, "peer_build", lambda *a: given.append(a[3]) or build(*a))
+    made = J.build(Tables(spark, str(DATA)))
+    made.run.collect()
+    asked = given[0].join(made.todo, ["stock_code", "rcept_no", "parser_version"], "left_semi").count()
+    assert asked > 0 and read.value == asked
+    assert given[0].agg(F.max(F.size("terms"))).first()[0] <= 15
+
+
+def test_tidy_of_plain_words_is_that_of_others(spark):
+    spelled = texts.spelling_map({"the": ["and", "of"]})
+    rows = spark.createDataFrame([(["And", "b", "The", "B", None, "", "b", "c1", "of"],), ([],), (None,)], "t array<string>")
+    plain = terms.tidy(F.col("t"), 9, spelled)
+    marked = terms.tidy(F.concat("t", F.array(F.lit("x-y"))), 9, spelled)  # a mark among them: the general way
+    got = [tuple(r) for r in rows.select(plain.alias("p"), marked.alias("m")).collect()]
+    assert got == [(["And", "b", "c1"], ["And", "b", "c1", "x-y"]), ([], ["x-y"]), (None, None)]
+
+
 def test_an_unfinished_build_publishes_nothing(spark):
     sections = [(f"{s:06d}", s, code, "0.2.0", "Y", f"Corp {s}", True, 2024, "2024-12", "alpha beta gamma " * 80, "품목 | 비중\nalpha | 12%\nbeta | -" if code == "020200" else "", s * 10 + n) for s in range(1, 21) for n, code in enumerate(("020100", "020200"))]
     filed = spark.createDataFrame(sections, "stock_code string, rcept_no long, section_code string, parser_version string, corp_cls string, corp_name string, is_final boolean, fiscal_year int, fiscal_end string, prose_text string, table_text string, doc_id long")
