@@ -294,8 +294,10 @@ def joined_plainly(rows, prices, counts, holdings, stocks):
     """How often each (seed, peer, rank, peer's excess, label, name, both sectors, peer's value, flags) stands in the join of the tables."""
     from collections import Counter
 
-    def side(df, code):
-        return [r for r in df.collect() if r[df.columns[0]] == code] or [None]
+    prices, counts, holdings, stocks = (df.collect() for df in (prices, counts, holdings, stocks))
+
+    def side(table, code):
+        return [r for r in table if r[0] == code] or [None]
 
     return Counter(
         (r["seed"], r["peer"], p and p["xret_1m"], c and c["label"], t and t["name"], (s and s["sector_minor"], t and t["sector_minor"]), p and p["avg_value_20d"])
@@ -314,3 +316,23 @@ def test_reactions_of_repeated_listings_are_counted_without_their_rows(spark):
         found[r["reaction"], r["trading"]] = found.get((r["reaction"], r["trading"]), 0) + r["times"]
     rows = peers.judged(*tables).groupBy("reaction", "trading").count().collect()
     assert found == {(r["reaction"], r["trading"]): r["count"] for r in rows} and found["none", True] == 3 * 4 * 5 * 3 * 2
+
+
+def test_large_report_files_are_read_as_streams(spark, tmp_path):
+    """A file that is over the bound has the checksum of all its bytes, whatever they are."""
+    import hashlib
+
+    rng = np.random.default_rng(0)
+    files = {
+        "random.pdf": rng.bytes(300_000), "feeds.pdf": b"\n" * 500, "ends with one.pdf": b"a\r\nb\r" * 40 + b"\n", "marked 100%.pdf": b"\xef\xbb\xbf" + b"x\n" * 50, "inside/marked.pdf": b"\xef\xbb\xbf\xff" * 60,
+        "no feed.pdf": b"\x00" * 5000, "small.pdf": b"%PDF\n", "other.txt": b"y" * 900,
+    }
+    for name, body in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    got = readers.read_report_files(spark, f"file://{tmp_path}", "*.pdf", whole=100).collect()
+    expected = {f"file:{tmp_path}/{n}": (len(b), hashlib.sha256(b).hexdigest()) for n, b in files.items() if n.endswith(".pdf")}
+    assert len(got) == len(expected) and {r["path"]: (r["size"], r["sha256"]) for r in got} == expected
+    (tmp_path / "packed.pdf.gz").write_bytes(__import__("gzip").compress(b"z" * 100_000))
+    with pytest.raises(Exception, match="bytes"):
+        readers.read_report_files(spark, f"file://{tmp_path}", "*.gz", whole=100).collect()
