@@ -502,3 +502,37 @@ def test_a_cap_is_filled_by_the_first_terms(spark):
     df = rows.withColumn("kept", terms.tidy(F.col("terms"), 3, spellings))
     assert {r["id"]: r["kept"] for r in df.collect()} == {1: ["w0", "w1", "w2"], 2: ["ab", "x", "Y-z"], 3: ["a b", "w0", "w1"], 4: None, 5: [], 6: ["w0", "w1"]}
     assert plan_of(df).count("slice(") >= 3
+
+
+def test_nearest_owners_need_few_exact_cosines(monkeypatch):
+    """K3: once a row has k owners, only pairs whose cosine of floats comes near its floor are worked out as doubles."""
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(6000, 64))
+    m[3000:3100] = m[:100]  # equal cosines go by name
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    worked, keep = [], vectors._exact
+    monkeypatch.setattr(vectors, "_exact", lambda x, y, row, col: worked.append(len(row)) or keep(x, y, row, col))
+    for per in (1, 3):
+        keys = ["code"] if per == 1 else ["code", "seg"]
+        order = rng.permutation(6000).reshape(6, 1000)  # an owner's rows stand in several blocks
+        blocks = []
+        for part in np.sort(order, axis=1):
+            block = {"m": m[part], "code": np.array([f"{i // per:05d}" for i in part]), "seg": part % per}
+            blocks.append(vectors._narrow(block, "code" if per > 1 else None))
+        best, part = vectors._Best(blocks[0], keys, 50), np.sort(order[0])
+        worked.clear()
+        for y in blocks:
+            best.meet(y)
+        got = best.ranked().to_pandas()
+        assert 0 < sum(worked) < 0.15 * 1000 * 5000
+        sims = np.round(m[part] @ m.T, 9)
+        for at in (0, 1, 500, 999):
+            first = {}
+            for j in np.lexsort((np.arange(6000), -sims[at])).tolist():
+                if j // per != part[at] // per:
+                    first.setdefault(j // per, (-sims[at, j], f"{j // per:05d}", j % per))
+            expected = [(name, -s) for s, name, _ in sorted(first.values())[:50]]
+            mine = got[(got["seed_code"] == f"{part[at] // per:05d}") & ((got["seed_seg"] == part[at] % per) if per > 1 else True)]
+            assert list(zip(mine["peer_code"], mine["similarity"])) == expected and mine["rank"].tolist() == list(range(1, 51))
+            if per > 1:
+                assert mine["peer_seg"].tolist() == [s[2] for s in sorted(first.values())[:50]]
