@@ -318,6 +318,23 @@ def test_reactions_of_repeated_listings_are_counted_without_their_rows(spark):
     assert found == {(r["reaction"], r["trading"]): r["count"] for r in rows} and found["none", True] == 3 * 4 * 5 * 3 * 2
 
 
+def test_answers_of_repeated_listings_have_all_their_rows(spark):
+    """A further join multiplies the counts, and repeating gives the rows of the plain joins."""
+    from collections import Counter
+
+    tables = listed_several_times(spark)
+    excess = peers.tallied(tables[1], "stock_code", "peer", F.col("xret_1m").alias("excess"))
+    once = peers.joined_tallies(peers.judged_once(*tables).filter("rank <= 10").select("seed", "peer", "name", "label", "times"), [(excess, "peer")])
+    found = Counter(tuple(r) for r in peers.repeated(once).select("seed", "peer", "name", "label", "excess").collect())
+    moves = {"A": [20.0] * 3 + [5.0] * 2, "B": [3.0] * 4}
+    expected = Counter()
+    for (seed, peer, _, label, name, *_), n in joined_plainly(*tables).items():
+        if (seed, peer) != ("X", "A"):
+            for x in moves.get(peer, [None]):
+                expected[seed, peer, name, label, x] += n
+    assert found == expected and once.count() * 5 < sum(expected.values())
+
+
 def test_large_report_files_are_read_as_streams(spark, tmp_path):
     """A file that is over the bound has the checksum of all its bytes, whatever they are."""
     import hashlib
