@@ -335,6 +335,17 @@ def test_answers_of_repeated_listings_have_all_their_rows(spark):
     assert found == expected and once.count() * 5 < sum(expected.values())
 
 
+def test_visible_rows_of_repeated_listings(spark):
+    """The filter sees equal rows once, and what passes is there as often as in the plain join."""
+    tables = listed_several_times(spark)
+    kept = peers.visible(peers.judged_once(*tables).withColumn("same_industry", F.coalesce("same_industry", F.lit(False))), ["same_industry"], 700_000_000)
+    expected = {}
+    for (seed, peer, _, _, _, (a, b), value), n in joined_plainly(*tables).items():
+        if a == b == "S" and (value or 0) >= 700_000_000:
+            expected[seed, peer] = expected.get((seed, peer), 0) + n
+    assert kept.count() < 10 and {(r["seed"], r["peer"]): r["count"] for r in peers.repeated(kept).groupBy("seed", "peer").count().collect()} == expected == {("B", "A"): 4 * 5 * 2 * 3}
+
+
 def test_large_report_files_are_read_as_streams(spark, tmp_path):
     """A file that is over the bound has the checksum of all its bytes, whatever they are."""
     import hashlib
