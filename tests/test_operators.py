@@ -346,6 +346,14 @@ def test_visible_rows_of_repeated_listings(spark):
     assert kept.count() < 10 and {(r["seed"], r["peer"]): r["count"] for r in peers.repeated(kept).groupBy("seed", "peer").count().collect()} == expected == {("B", "A"): 4 * 5 * 2 * 3}
 
 
+def test_rows_are_repeated_in_bounded_steps(spark):
+    """Q6: a row that stands for many is repeated without an array of all of them; a row that stands for itself stays one."""
+    rows = spark.createDataFrame([("a", 1), ("b", 25_001), ("c", 20_000), (None, 3)], "seed string, times long")
+    got = peers.repeated(rows)
+    assert got.columns == ["seed"] and {r["seed"]: r["count"] for r in got.groupBy("seed").count().collect()} == {"a": 1, "b": 25_001, "c": 20_000, None: 3}
+    assert peers.repeated(rows, 7).count() == 45_005
+
+
 def test_large_report_files_are_read_as_streams(spark, tmp_path):
     """A file that is over the bound has the checksum of all its bytes, whatever they are."""
     import hashlib
